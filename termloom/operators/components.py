@@ -7,6 +7,10 @@ large part of the graph is split over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    """Replace the edges of each partition by stars on the smallest ids they connect."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if not parts:
+            return
+        u, v = (np.concatenate(side) for side in zip(*parts, strict=True))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        least = np.arange(len(nodes))
+        while (least[a] != least[b]).any():
+            low = np.minimum(least[a], least[b])
+            np.minimum.at(least, least[a], low)
+            np.minimum.at(least, least[b], low)
+            least = least[least]
+        inner = np.flatnonzero(least != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes[inner]), pa.array(nodes[least[inner]])], ["u", "v"]
+        )
+
+    return edges.mapInArrow(work, "u long, v long")
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(
         edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -46,7 +74,7 @@ def connected_components(
     stars = edges.where("src != dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     )
-    stars = materialize(_small_star(stars), "stars")
+    stars = materialize(_small_star(_contract(stars)), "stars")
     seen = _signature(stars)
     for _ in range(max_rounds):
         if not seen[0]:

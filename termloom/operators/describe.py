@@ -154,21 +154,18 @@ def whole_lists(parts: DataFrame) -> DataFrame:
     )
 
 
-def cluster_lists(rows: DataFrame, numbers: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def cluster_lists(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Member lists of the clusters up to ``max_list_items``; larger ones stay in parts."""
-    large = numbers.where(F.col("keyword_count") > settings.max_list_items).select("cluster_id")
-    return whole_lists(member_lists(rows).join(large, "cluster_id", "left_anti"))
+    return whole_lists(member_lists(rows.where(F.col("cluster_rows") <= settings.max_list_items)))
 
 
 def cluster_summary(
     rows: DataFrame, edges: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """The cluster table. ``rows`` are tagged keywords with cluster_id, ``edges`` the graph."""
+    """The cluster table. ``rows`` are tagged keywords with cluster_id and cluster_rows,
+    ``edges`` the similarity graph between their row_ord."""
     numbers = cluster_numbers(rows, settings)
-    several = rows.join(
-        numbers.where("keyword_count > 1").select("cluster_id"), "cluster_id", "left_semi"
-    )
-    several = several.select("cluster_id", "row_ord", "normalized_keyword")
+    several = rows.where("cluster_rows > 1")
     label = F.when(
         F.col("keyword_count") == 1, single_label(F.col("canonical_normalized"), settings)
     ).otherwise(F.col("label"))
@@ -176,7 +173,7 @@ def cluster_summary(
         numbers.join(cluster_modes(rows), "cluster_id")
         .join(linked_weight(edges, rows.select("row_ord", "cluster_id")), "cluster_id", "left")
         .join(topic_labels(several, settings), "cluster_id", "left")
-        .join(cluster_lists(rows, numbers, settings), "cluster_id", "left")
+        .join(cluster_lists(rows, settings), "cluster_id", "left")
         .withColumn("cluster_slug", slug_of_ascii(F.col("canonical_normalized")))
         .withColumn("topic_label", F.coalesce(label, F.col("canonical_keyword")))
         .withColumn(

@@ -45,19 +45,18 @@ def cluster_term_weights(rows: DataFrame, settings: Settings = DEFAULTS) -> Data
 
     Each cluster is its own corpus and each row has unit length. Counts per cluster are
     combined map-side and joined back, so a term shared by a very large cluster is spread out.
+    ``rows`` carry cluster_rows (see split.with_cluster_rows).
     """
     terms = token_ngrams(
         _without(word_tokens(F.col("normalized_keyword")), label_stop_words(settings)), 1, 2
     )
     counts = (
-        rows.select("cluster_id", "row_ord", F.explode(terms).alias("term"))
+        rows.select("cluster_id", "cluster_rows", "row_ord", F.explode(terms).alias("term"))
         .groupBy("cluster_id", "row_ord", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        .agg(F.count(F.lit(1)).alias("tf"), F.max("cluster_rows").alias("n"))
     )
-    df = counts.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    idf = df.join(sizes, "cluster_id").select(
-        "cluster_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
+    idf = counts.groupBy("cluster_id", "term").agg(
+        (F.log((1 + F.max("n")) / (1 + F.count(F.lit(1)))) + 1).alias("idf")
     )
     weights = counts.join(idf, ["cluster_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     of_row = Window.partitionBy("row_ord")  # the terms of one keyword

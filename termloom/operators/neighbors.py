@@ -22,6 +22,7 @@ from ..storage import materialize, tasks_for
 DIGITS = 9  # similarities are compared at this precision, ties go to the smaller id
 _SLACK = 1e-6  # on squared distances; far above rounding, only ever visits more
 _STRIP = 256  # query rows multiplied at a time
+_SCRATCH = 4 << 20  # similarities held at a time
 
 
 def _matrix(array: pa.ListArray) -> np.ndarray:
@@ -39,16 +40,24 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(2.0 - 2.0 * (a @ b.T), 0.0)
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best columns per row by similarity, then id (ids ascend)."""
+def _best_of(
+    vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, row, similarity) of the k best rows per vector, by similarity, then id.
+
+    ``ids`` ascend. Only candidates at or above the k-th similarity, less the rounding step,
+    are rounded and sorted.
+    """
+    sims = vectors @ rows.T
     k = min(k, sims.shape[1])
     cut = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
-    row, col = np.nonzero(sims >= cut)
-    order = np.lexsort((ids[col], -sims[row, col], row))
-    row, col = row[order], col[order]
-    first = np.searchsorted(row, np.arange(sims.shape[0]))
-    keep = np.arange(len(row)) - first[row] < k
-    return row[keep], col[keep]
+    vector, row = np.nonzero(sims >= cut - 2 * 10.0**-DIGITS)
+    close = np.round(sims[vector, row], DIGITS)
+    order = np.lexsort((ids[row], -close, vector))
+    vector, row, close = vector[order], row[order], close[order]
+    first = np.searchsorted(vector, np.arange(sims.shape[0]))
+    keep = np.arange(len(vector)) - first[vector] < k
+    return vector[keep], row[keep], close[keep]
 
 
 class _Cells:
@@ -94,11 +103,10 @@ def _search_blocks(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
             asking = query.column("gid").to_numpy()
             vectors = _matrix(query.column("vec").combine_chunks())
             for top in range(0, len(asking), _STRIP):
-                sims = np.round(vectors[top : top + _STRIP] @ rows.T, DIGITS)
-                row, col = _best(sims, ids, k)
+                row, col, close = _best_of(vectors[top : top + _STRIP], rows, ids, k)
                 src.append(asking[top + row])
                 dst.append(ids[col])
-                sim.append(sims[row, col])
+                sim.append(close)
         empty = [np.zeros(0)]
         return pa.table(
             {
@@ -116,6 +124,32 @@ def _search_blocks(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _search_small(reps: DataFrame, rows: int, k: int) -> DataFrame:
+    """Best k per row against all rows, held as one matrix of checked size in every task."""
+    spark = reps.sparkSession
+    whole = reps.select("gid", "vec").toArrow().combine_chunks()
+    ids = whole.column("gid").to_numpy()
+    order = np.argsort(ids)
+    matrix = _matrix(whole.column("vec").combine_chunks())[order]
+    shared = spark.sparkContext.broadcast((ids[order], matrix))
+    step = max(1, min(_STRIP, _SCRATCH // max(rows, 1)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        for batch in batches:
+            asking = batch.column("gid").to_numpy()
+            vectors = _matrix(batch.column("vec"))
+            for top in range(0, len(asking), step):
+                row, col, sim = _best_of(vectors[top : top + step], matrix, ids, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asking[top + row]), pa.array(ids[col]), pa.array(sim)],
+                    ["src", "dst", "sim"],
+                )
+
+    spread = reps.select("gid", "vec").repartition(tasks_for(spark, rows, 8_192), "gid")
+    return spread.mapInArrow(work, "src long, dst long, sim double")
+
+
 def _top(pairs: DataFrame, k: int) -> DataFrame:
     """The k best rows per source; the limit is applied before and after the shuffle."""
     window = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
@@ -230,23 +264,18 @@ def knn_join(
     cell_rows: int | None = None,
     block_rows: int = 16_384,
     max_pivots: int = 65_536,
+    broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(src, dst, sim, rank): the k nearest other rows of each row of (row_ord, embedding).
 
-    ``k`` is at most the number of other rows; a single row has no neighbours. Order is by
-    cosine (9 digits) descending, then ``dst``. A zero vector has cosine 0 with every row.
-    Cell and block sizes change the work, never the result.
+    Rows have fewer neighbours only when there are not ``k`` others. Order is by cosine
+    (9 digits) descending, then ``dst``. A zero vector has cosine 0 with every row.
+    Up to ``broadcast_bytes`` of vectors every task holds all of them; beyond, the search goes
+    by cells. Cell and block sizes change the work, never the result.
     """
     spark = df.sparkSession
-    rows = df.count()
-    k = min(k, rows - 1)
     if k < 1:
-        return df.select(
-            F.col("row_ord").alias("src"), F.col("row_ord").alias("dst"),
-            F.lit(0.0).alias("sim"), F.lit(0).alias("rank"),
-        ).where("false")
-    if cell_rows is None:
-        cell_rows = min(block_rows, max(256, rows // (2 * spark.sparkContext.defaultParallelism)))
+        raise ValueError("k must be at least 1")
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,41 +290,49 @@ def knn_join(
     unit = df.select("row_ord", "embedding").mapInArrow(
         normalise, "row_ord long, vec array<double>"
     )
+    unit = unit.withColumn("key", F.xxhash64("vec"))
     # Members of a group of identical vectors. Nobody needs more than its k + 1 smallest ids:
     # they tie with all others of the group, and a row only leaves itself out.
-    key = Window.partitionBy("vec").orderBy("row_ord")
-    members = materialize(unit, "knn-unit")
-    reps = (
-        members.withColumn("nth", F.row_number().over(key))
+    group = ["key", "vec"]
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("row_ord"))
+    is_zero = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))) == 0
+    reps = materialize(
+        unit.withColumn("nth", nth)
         .where(F.col("nth") <= k + 1)
-        .groupBy("vec")
+        .groupBy(*group)
         .agg(F.min("row_ord").alias("gid"), F.sort_array(F.collect_list("row_ord")).alias("ids"))
+        .withColumn("zero", is_zero),
+        "knn-reps",
     )
-    reps = materialize(reps, "knn-reps")
-    is_zero = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))) == 0
-    nonzero = reps.where(~is_zero)
-    zero = reps.where(is_zero).collect()  # one group at most
-    groups = nonzero.count()
-
-    found = (
-        _distinct_search(nonzero, groups, k + 1, cell_rows, block_rows, max_pivots)
-        if groups
-        else spark.createDataFrame([], "src long, dst long, sim double")
-    )
-    if not zero and groups == rows:
+    facts = reps.agg(
+        F.count_if(~F.col("zero")).alias("groups"),
+        F.count_if("zero").alias("zeros"),
+        F.max(F.size("vec")).alias("width"),
+        F.max(F.size("ids")).alias("copies"),
+    ).first()
+    nonzero, groups = reps.where("not zero"), facts["groups"]
+    if not groups:
+        found = spark.createDataFrame([], "src long, dst long, sim double")
+    elif groups * facts["width"] * 8 <= broadcast_bytes:
+        found = _search_small(nonzero, groups, k + 1)
+    else:
+        if cell_rows is None:
+            share = groups // (2 * spark.sparkContext.defaultParallelism)
+            cell_rows = min(block_rows, max(256, share))
+        found = _distinct_search(nonzero, groups, k + 1, cell_rows, block_rows, max_pivots)
+    if not facts["zeros"] and facts["copies"] == 1:
         return _top(found.where("src != dst"), k)
 
-    if zero:
-        zero = zero[0]
-        smallest = [r["row_ord"] for r in members.orderBy("row_ord").limit(k + 1).collect()]
-        to_zero = nonzero.select(
-            F.col("gid").alias("src"), F.lit(zero["gid"]).alias("dst"), F.lit(0.0).alias("sim")
-        )
-        found = found.unionByName(to_zero)
     # Give the members of each group their group's answer, member by member.
-    of_group = members.join(reps.select("vec", "gid"), "vec").select(
-        F.col("row_ord"), F.col("gid").alias("src")
-    )
+    members = unit.join(reps.select(*group, "gid", "zero"), group)
+    if facts["zeros"]:
+        # One group, at cosine 0 from everything.
+        zero = reps.where("zero").first()
+        found = found.unionByName(
+            nonzero.select(
+                F.col("gid").alias("src"), F.lit(zero["gid"]).alias("dst"), F.lit(0.0).alias("sim")
+            )
+        )
     expanded = (
         _top(found, k + 1)
         .join(reps.select(F.col("gid").alias("dst"), "ids"), "dst")
@@ -304,11 +341,16 @@ def knn_join(
     nearest = _top(expanded, k + 1).groupBy("src").agg(
         F.collect_list(F.struct("dst", "sim")).alias("near")
     )
-    pairs = of_group.join(nearest, "src").select(
-        F.col("row_ord").alias("src"), F.inline("near")
+    pairs = (
+        members.where("not zero")
+        .join(nearest, F.col("gid") == F.col("src"))
+        .select(F.col("row_ord").alias("src"), F.inline("near"))
     )
-    if zero:
-        others = F.array(*(F.struct(F.lit(i).alias("dst"), F.lit(0.0).alias("sim")) for i in smallest))
-        zeros = members.where(is_zero).select(F.col("row_ord").alias("src"), F.inline(others))
+    if facts["zeros"]:
+        smallest = df.select("row_ord").orderBy("row_ord").limit(k + 1).collect()
+        others = F.array(
+            *(F.struct(F.lit(r[0]).alias("dst"), F.lit(0.0).alias("sim")) for r in smallest)
+        )
+        zeros = members.where("zero").select(F.col("row_ord").alias("src"), F.inline(others))
         pairs = pairs.unionByName(zeros)
     return _top(pairs.where("src != dst"), k)

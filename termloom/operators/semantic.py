@@ -16,6 +16,7 @@ from ..storage import tasks_for
 
 _STEP = 256  # rows multiplied at a time; bounds a task's scratch memory
 _CHUNK = 1024  # features per partial sum
+_DIRECT_BYTES = 64 << 20
 
 
 def _sparse_blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -33,21 +34,27 @@ def _sparse_blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarr
         yield used, dense
 
 
-def _tree_sum(partials: DataFrame, tasks: int, columns: int) -> dict[int, np.ndarray]:
-    """Add up (chunk, slot, part) blobs in two levels, so no group grows with the table."""
+def _tree_sum(
+    partials: DataFrame, tasks: int, size: int, columns: int
+) -> list[tuple[int, np.ndarray]]:
+    """Add up (chunk, slot, part) blobs in two levels, so no group grows with the table.
+
+    Few and small ones are brought to the driver as they are.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(p) for p in pdf["part"]], axis=0)
         return pdf.head(1).assign(part=[total.tobytes()])
 
     schema = partials.schema
-    if tasks > 16:
-        partials = partials.groupBy("chunk", "slot").applyInPandas(add, schema)
-    summed = partials.groupBy("chunk").applyInPandas(add, schema)
-    return {
-        r["chunk"]: np.frombuffer(r["part"]).reshape(-1, columns)
-        for r in summed.select("chunk", "part").collect()
-    }
+    if tasks * size * columns * 8 > _DIRECT_BYTES:
+        if tasks > 16:
+            partials = partials.groupBy("chunk", "slot").applyInPandas(add, schema)
+        partials = partials.groupBy("chunk").applyInPandas(add, schema)
+    return [
+        (r["chunk"], np.frombuffer(r["part"]).reshape(-1, columns))
+        for r in partials.select("chunk", "part").collect()
+    ]
 
 
 def _gram_product(features: DataFrame, basis: np.ndarray, tasks: int) -> np.ndarray:
@@ -86,8 +93,8 @@ def _gram_product(features: DataFrame, basis: np.ndarray, tasks: int) -> np.ndar
         work, "chunk int, slot int, part binary"
     )
     product = np.zeros((size, columns))
-    for chunk, part in _tree_sum(partials, tasks, columns).items():
-        product[chunk : chunk + len(part)] = part
+    for chunk, part in _tree_sum(partials, tasks, size, columns):
+        product[chunk : chunk + len(part)] += part
     shared.unpersist()
     return product
 

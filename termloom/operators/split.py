@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..storage import materialize
 from .ordinals import with_dense_ordinal
 
 
 def split_groups(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per sub-group of a component, with first_ord (its first row) and ``keeper``.
+    """One row per sub-group of a component: first_ord (its first row), size and ``keeper``.
 
     The sub-group that is seen first in a component keeps the component's number.
     """
     keys = split_keys(settings)
-    groups = rows.groupBy("component", *keys).agg(F.min("row_ord").alias("first_ord"))
+    groups = rows.groupBy("component", *keys).agg(
+        F.min("row_ord").alias("first_ord"), F.count(F.lit(1)).alias("cluster_rows")
+    )
     first = groups.groupBy("component").agg(F.min("first_ord").alias("component_ord"))
     return groups.join(first, "component").withColumn(
         "keeper", F.col("first_ord") == F.col("component_ord")
@@ -30,30 +31,27 @@ def split_keys(settings: Settings = DEFAULTS) -> list[str]:
 
 
 def post_split(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Replace ``component`` by a dense ``cluster_id``.
+    """Replace ``component`` by a dense ``cluster_id``, with the cluster's size ``cluster_rows``.
 
     Components count up in order of their first row; the further sub-groups follow in order of
     (component, first row).
     """
     keys = split_keys(settings)
-    groups = materialize(split_groups(rows, settings), "split-groups")
-    keepers = with_dense_ordinal(groups.where("keeper"), ["component_ord"], "cluster_id")
-    others = groups.where("not keeper")
-    numbered = keepers
-    if not others.isEmpty():
-        after = groups.where("keeper").count()
-        others = with_dense_ordinal(others, ["component_ord", "first_ord"], "cluster_id", after)
-        numbered = keepers.unionByName(others)
+    groups = split_groups(rows, settings).withColumn("later", ~F.col("keeper"))
+    numbered = with_dense_ordinal(groups, ["later", "component_ord", "first_ord"], "cluster_id")
     on = ["component", *keys]
-    return rows.join(numbered.select(*on, "cluster_id"), on).drop("component")
+    return rows.join(numbered.select(*on, "cluster_id", "cluster_rows"), on).drop("component")
+
+
+def with_cluster_rows(rows: DataFrame) -> DataFrame:
+    """Add cluster_rows, the number of rows of the row's cluster, to rows with a cluster_id."""
+    sizes = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_rows"))
+    return rows.join(sizes, "cluster_id")
 
 
 def flag_clustered(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add is_clustered: the cluster has at least the minimum number of rows."""
-    sizes = rows.groupBy("cluster_id").agg(
-        (F.count(F.lit(1)) >= settings.min_cluster_size).alias("is_clustered")
-    )
-    return rows.join(sizes, "cluster_id")
+    return rows.withColumn("is_clustered", F.col("cluster_rows") >= settings.min_cluster_size)
 
 
 def stable_cluster_key(rows: DataFrame) -> DataFrame:

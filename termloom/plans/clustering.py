@@ -57,7 +57,7 @@ def cluster_keywords(
     """
     detected = list(df.columns)
     prepared, mapping = prepare_keywords(df, settings, row_ord)
-    prepared = materialize(prepared, "prepared")
+    prepared = materialize(prepared, "prepared", spread_by="row_ord")
     rows = prepared.count()
     if rows == 0:
         raise InputError(
@@ -66,7 +66,7 @@ def cluster_keywords(
         )
     edges = materialize(similarity_graph(prepared, rows, settings, embeddings), "edges")
     labelled = connected_components(edges, prepared)
-    labelled = materialize(post_split(labelled, settings), "labelled")
+    labelled = materialize(post_split(labelled, settings), "labelled", spread_by="row_ord")
     clusters = materialize(cluster_summary(labelled, edges, settings), "clusters")
     return ClusteringResult(
         rows=attach_clusters(labelled, clusters),

@@ -33,9 +33,17 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/termloom/{spark.conf.get('spark.app.id')}"
 
 
-def materialize(df: DataFrame, label: str, read_schema=None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the checkpoint folder and read it back."""
+def materialize(df: DataFrame, label: str, read_schema=None, spread_by=None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
+
+    ``spread_by`` names a column to hash the rows by into at least one file per core. Adaptive
+    execution packs small shuffles into few partitions, which would leave the compute-heavy
+    readers of the table on few cores.
+    """
     spark = df.sparkSession
+    if spread_by:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(max(partitions, spark.sparkContext.defaultParallelism), spread_by)
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(read_schema or df.schema).parquet(path)
