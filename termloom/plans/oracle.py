@@ -130,27 +130,30 @@ CHAR_GRAMS = """
         END)))), lambda g: g IS NOT NULL)"""
 
 
-def tfidf(cap_word: int, cap_char: int) -> str:
-    """Steps from ``prep`` to unit-length blocks: t_all, t_n, t_vocab, t_w, t_unit."""
-    return f"""
-      t_all AS (
+def tfidf(cap_word: int, cap_char: int) -> dict[str, str]:
+    """Steps from ``prep`` to unit-length blocks and rows."""
+    return {
+        "t_all": f"""
         SELECT row_ord, 'word' AS block, unnest({grams('tok')}) AS term FROM
           (SELECT row_ord, {TOKENS.format(kw='normalized_keyword')} AS tok FROM prep)
         UNION ALL
-        SELECT row_ord, 'char', unnest({CHAR_GRAMS.format(kw='normalized_keyword')}) FROM prep),
-      t_n AS (
-        SELECT row_ord, block, term, count(*) AS tf FROM t_all GROUP BY ALL),
-      t_vocab AS (
+        SELECT row_ord, 'char', unnest({CHAR_GRAMS.format(kw='normalized_keyword')}) FROM prep""",
+        "t_n": "SELECT row_ord, block, term, count(*) AS tf FROM t_all GROUP BY ALL",
+        "t_vocab": f"""
         SELECT block, term, sum(tf) AS tf, count(*) AS df FROM t_n GROUP BY block, term
         QUALIFY row_number() OVER (PARTITION BY block ORDER BY sum(tf) DESC, term)
-          <= CASE block WHEN 'word' THEN {cap_word} ELSE {cap_char} END),
-      t_w AS (
+          <= CASE block WHEN 'word' THEN {cap_word} ELSE {cap_char} END""",
+        "t_w": """
         SELECT row_ord, block, term,
           t_n.tf * (ln((1 + (SELECT count(*) FROM prep)) / (1 + df)) + 1) AS w
-        FROM t_n JOIN t_vocab USING (block, term)),
-      t_unit AS (
+        FROM t_n JOIN t_vocab USING (block, term)""",
+        "t_unit": """
+        SELECT row_ord, block, term,
+          w / sqrt(sum(w * w) OVER (PARTITION BY row_ord, block)) AS weight FROM t_w""",
+        "t_row": """
         SELECT row_ord, block, term,
-          w / sqrt(sum(w * w) OVER (PARTITION BY row_ord, block)) AS weight FROM t_w)"""
+          weight / sqrt(sum(weight * weight) OVER (PARTITION BY row_ord)) AS weight FROM t_unit""",
+    }
 
 
 def cosine(a: str, b: str) -> str:
@@ -181,12 +184,6 @@ CTES: dict[str, str] = {
     "clean": f"""
       SELECT row_ord, keyword, {normal('keyword')} AS normalized_keyword, volume, difficulty,
         position, url FROM kw_parts""",
-    "dedup": """
-      SELECT min(row_ord) AS row_ord, min_by(keyword, row_ord) AS keyword, normalized_keyword,
-        max(volume) AS volume, avg(difficulty) AS difficulty, avg(position) AS position,
-        array_to_string(list_distinct_ordered, ' | ') AS url
-      FROM (SELECT *, list(url) OVER () AS list_distinct_ordered FROM clean) GROUP BY ALL""",
-    "tagged": "",
 }
 CTES["dedup_urls"] = """
   SELECT normalized_keyword, string_agg(url, ' | ' ORDER BY o) AS url
@@ -202,7 +199,6 @@ CTES["prep"] = f"""
     SELECT *, {intent('normalized_keyword')} AS intent,
       {modifiers('normalized_keyword')} AS modifier_group,
       {topic_root('normalized_keyword')} AS topic_root FROM dedup)"""
-del CTES["tagged"]
 CTES["topics"] = """
   SELECT *, dense_rank() OVER (ORDER BY first_ord) - 1 AS cluster_id,
     count(*) OVER (PARTITION BY intent, topic_root) AS n
@@ -236,34 +232,32 @@ CTES["words"] = """
   SELECT *, component AS cluster_id FROM (
     SELECT *, min(row_ord) OVER (PARTITION BY string_split(topic_root, ' ')[1]) AS component
     FROM prep)"""
-_STOP = "list_filter({t}, lambda w: NOT list_contains([%s], w))"
-
-
 def without_stops(tokens: str) -> str:
     return f"list_filter({tokens}, lambda w: NOT list_contains([{listed(default_stop_words())}], w))"
 
 
-def label_steps() -> str:
+def label_steps() -> dict[str, str]:
     tokens = without_stops(TOKENS.format(kw="normalized_keyword"))
-    return f"""
-      l_n AS (
+    return {
+        "l_n": f"""
         SELECT cluster_id, n, row_ord, term, count(*) AS tf FROM (
           SELECT cluster_id, n, row_ord, unnest({grams('tok')}) AS term FROM (
             SELECT cluster_id, n, row_ord, {tokens} AS tok FROM topics WHERE n > 1))
-        GROUP BY ALL),
-      l_w AS (
+        GROUP BY ALL""",
+        "l_w": """
         SELECT cluster_id, row_ord, term, tf * (ln((1 + n) /
-          (1 + count(*) OVER (PARTITION BY cluster_id, term))) + 1) AS w FROM l_n),
-      l_top AS (
+          (1 + count(*) OVER (PARTITION BY cluster_id, term))) + 1) AS w FROM l_n""",
+        "l_top": """
         SELECT cluster_id, term, round(sum(w), 9) AS weight FROM (
           SELECT cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_ord)) AS w FROM l_w)
-        GROUP BY cluster_id, term),
-      l_rank AS (
+        GROUP BY cluster_id, term""",
+        "l_rank": """
         SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term DESC)
-          AS rank FROM l_top QUALIFY rank <= 3),
-      labelled AS (
+          AS rank FROM l_top QUALIFY rank <= 3""",
+        "labelled": f"""
         SELECT cluster_id, string_agg({title('term')}, ' / ' ORDER BY rank) AS label
-        FROM l_rank GROUP BY cluster_id)"""
+        FROM l_rank GROUP BY cluster_id""",
+    }
 
 
 def single_label(col: str) -> str:
@@ -288,40 +282,89 @@ CTES["near"] = """
 CTES["pairs"] = """
   SELECT least(src, dst) AS src, greatest(src, dst) AS dst,
     max(greatest(least(sim, 1.0), 0.0)) AS sem FROM near GROUP BY 1, 2"""
-CTES["vedges"] = "SELECT src, dst, sem AS sim FROM pairs WHERE round(sem, 9) >= 0.2"
+CTES["vedges"] = "SELECT src, dst, sem AS sim FROM pairs WHERE round(sem, 9) >= 0.35"
 
 
-def build(body: str, *steps: str) -> str:
-    """``body`` preceded by the named steps and literal step texts, dependencies first."""
+def build(body: str, *steps: dict[str, str]) -> str:
+    """``body`` preceded by the steps it needs, dependencies first. Later steps replace earlier."""
+    known = dict(CTES)
+    for more in steps:
+        known |= more
     done: dict[str, str] = {}
 
     def need(sql: str) -> None:
-        for name in CTES:
+        for name in known:
             if name not in done and re.search(rf"\b{name}\b", sql):
-                need(CTES[name])
-                done.setdefault(name, f"{name} AS ({CTES[name]})")
-
-    need(body + " ".join(steps))
-    recursive = "RECURSIVE " if "reach AS" in " ".join(steps) else ""
-    ctes = ", ".join([*done.values(), *steps])
-    return f"WITH {recursive}{ctes} {body}" if ctes else body
-
-
-REACH = """
-  links AS (SELECT src AS a, dst AS b FROM vedges UNION ALL SELECT dst, src FROM vedges),
-  reach AS (
-    SELECT row_ord AS node, row_ord AS root FROM vec
-    UNION
-    SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node
-    WHERE reach.root < links.b),
-  comp AS (SELECT node AS row_ord, min(root) AS component FROM reach GROUP BY node)"""
-INSIDE = """
-  inside AS (
-    SELECT c.component AS cluster_id, sum(sim) AS linked FROM vedges
-    JOIN comp AS c ON c.row_ord = src JOIN comp AS d ON d.row_ord = dst
-    WHERE c.component = d.component GROUP BY c.component),
-  sized AS (SELECT component AS cluster_id, count(*) AS n FROM comp GROUP BY component)"""
-COHESION = "coalesce(linked / nullif(n * (n - 1) / 2, 0), 0)"
+                done[name] = ""  # a recursive step names itself
+                need(known[name])
+                del done[name]  # so that it comes after what it needs
+                done[name] = f"{name} AS ({known[name]})"
+
+    need(body)
+    recursive = "RECURSIVE " if "reach" in done else ""
+    return f"WITH {recursive}{', '.join(done.values())} {body}" if done else body
+
+
+CTES["links"] = "SELECT src AS a, dst AS b FROM vedges UNION ALL SELECT dst, src FROM vedges"
+CTES["reach"] = """
+  SELECT row_ord AS node, row_ord AS root FROM vec
+  UNION
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node
+  WHERE reach.root < links.b"""
+CTES["comp"] = "SELECT node AS row_ord, min(root) AS component FROM reach GROUP BY node"
+CTES["inside"] = """
+  SELECT c.component AS cluster_id, sum(sim) AS linked FROM vedges
+  JOIN comp AS c ON c.row_ord = src JOIN comp AS d ON d.row_ord = dst
+  WHERE c.component = d.component GROUP BY c.component"""
+CTES["sized"] = "SELECT component AS cluster_id, count(*) AS n FROM comp GROUP BY component"
+# Sum of edge weights inside each topic cluster; there is no graph there.
+CTES["linked"] = "SELECT 0 AS cluster_id, 0.0 AS linked WHERE false"
+CTES["dots"] = """
+  SELECT src, dst, least(greatest(sum(a.weight * b.weight), 0), 1) AS lex FROM to_score
+  JOIN t_row AS a ON a.row_ord = src
+  JOIN t_row AS b ON b.row_ord = dst AND b.block = a.block AND b.term = a.term
+  GROUP BY src, dst"""
+CTES["split_groups"] = """
+  SELECT component, intent, topic_root, min(row_ord) AS first_ord,
+    min(row_ord) = min(min(row_ord)) OVER (PARTITION BY component) AS keeper
+  FROM words GROUP BY component, intent, topic_root"""
+
+
+def post_split(source: str, groups: str, keys: str) -> str:
+    return f"""
+      SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n FROM (
+        SELECT {source}.*, CAST(CASE WHEN keeper THEN c
+          ELSE (SELECT count(DISTINCT component) FROM {groups}) + later END AS BIGINT) AS cluster_id
+        FROM {source} JOIN (
+          SELECT *, dense_rank() OVER (ORDER BY component) - 1 AS c,
+            sum(CASE WHEN keeper THEN 0 ELSE 1 END) OVER (ORDER BY component, first_ord) - 1
+            AS later FROM {groups}) USING (component, {keys}))"""
+
+
+# The whole run on catalog keywords that come with an embedding.
+EXTERNAL = {
+    "kw_parts": part_keywords("(p_name || ' ' || lower(p_type) || ' ' || p_brand)").replace(
+        "FROM part ", "FROM part JOIN embeddings ON vec_id = p_partkey "
+    ),
+    "vec": "SELECT row_ord, embedding FROM embeddings JOIN prep ON row_ord = vec_id",
+    **tfidf(20_000, 30_000),
+    "to_score": "SELECT src, dst FROM pairs",
+    "vedges": """
+      SELECT src, dst, 0.6 * sem + 0.4 * coalesce(lex, 0) AS sim
+      FROM pairs LEFT JOIN dots USING (src, dst)
+      WHERE round(0.6 * sem + 0.4 * coalesce(lex, 0), 9) >= 0.3""",
+    "in_comp": "SELECT prep.*, component FROM prep JOIN comp USING (row_ord)",
+    "comp_groups": """
+      SELECT component, intent, topic_root, min(row_ord) AS first_ord,
+        min(row_ord) = min(min(row_ord)) OVER (PARTITION BY component) AS keeper
+      FROM in_comp GROUP BY component, intent, topic_root""",
+    "topics": post_split("in_comp", "comp_groups", "intent, topic_root"),
+    "linked": """
+      SELECT a.cluster_id, sum(sim) AS linked FROM vedges
+      JOIN topics AS a ON a.row_ord = src JOIN topics AS b ON b.row_ord = dst
+      WHERE a.cluster_id = b.cluster_id GROUP BY a.cluster_id""",
+}
+COHESION = "coalesce(linked / nullif({n} * ({n} - 1) / 2, 0), 0)"
 
 
 def six(*names: str) -> str:
@@ -337,13 +380,14 @@ def oracle_queries() -> dict[str, str]:
         keyword_count >= 2 AS is_clustered, keyword_count, total_volume,
         round(d, 4) AS avg_difficulty, round(p, 4) AS avg_rank,
         CASE WHEN keyword_count = 1 THEN 0.55 ELSE
-          round(0.3 * topics_intent.share + 0.2 * topics_modifier_group.share, 4) END
+          round(0.5 * {COHESION.format(n='keyword_count')} + 0.3 * topics_intent.share
+            + 0.2 * topics_modifier_group.share, 4) END
           AS cluster_quality,
         opportunity_score
       FROM numbers JOIN opp USING (cluster_id) JOIN topics_intent USING (cluster_id)
       JOIN topics_page_type USING (cluster_id) JOIN topics_modifier_group USING (cluster_id)
-      LEFT JOIN labelled USING (cluster_id)"""
-    steps = (label_steps(), f"clusters AS ({clusters})")
+      LEFT JOIN labelled USING (cluster_id) LEFT JOIN linked USING (cluster_id)"""
+    steps = (label_steps(), {"clusters": clusters})
     summary = """
       SELECT CAST(sum(keyword_count) AS BIGINT) AS keywords, count(*) AS clusters,
         CAST(coalesce(sum(keyword_count) FILTER (is_clustered), 0) AS BIGINT) AS clustered_keywords,
@@ -370,12 +414,14 @@ def oracle_queries() -> dict[str, str]:
             SELECT row_ord, {TOKENS.format(kw='normalized_keyword')} AS tok FROM prep))
         GROUP BY ALL) GROUP BY term"""
     full = tfidf(20_000, 30_000)
-    split_groups = """
-      SELECT component, intent, topic_root, min(row_ord) AS first_ord,
-        min(row_ord) = min(min(row_ord)) OVER (PARTITION BY component) AS keeper
-      FROM words GROUP BY component, intent, topic_root"""
-
     q: dict[str, str] = {}
+    q["s01_profile_files"] = """
+      SELECT 'text' AS kind, d AS delimiter, CAST(NULL AS VARCHAR) AS error_code,
+        (SELECT count(*) > 0 FROM part) AS found FROM (VALUES (','), (chr(9))) AS t(d)"""
+    q["s02_detect_encoding"] = """
+      SELECT * FROM (VALUES ('utf-8', false), ('utf-16', true)) AS t(encoding, multiline)"""
+    q["s03_sniff_delimiter"] = """
+      SELECT CAST(5 AS BIGINT) AS columns, d AS delimiter FROM (VALUES (','), (chr(9))) AS t(d)"""
     q["s04_read_keyword_exports"] = build("""
       SELECT row_ord AS id, keyword, CAST(CAST(volume AS BIGINT) AS VARCHAR) AS volume,
         CAST(CAST(difficulty AS BIGINT) AS VARCHAR) AS kd, url FROM kw_parts""")
@@ -475,6 +521,11 @@ def oracle_queries() -> dict[str, str]:
     q["v07_unit_rows"] = build(
         """SELECT row_ord, block, term, round(weight / sqrt(sum(weight * weight)
           OVER (PARTITION BY row_ord)), 6) AS weight FROM t_unit""", full)
+    # Checks the number of components and the unit length; tests compare the values.
+    q["v08_svd_embed"] = build(
+        """SELECT row_ord, least(128, (SELECT count(*) FROM prep) - 1,
+          (SELECT count(*) FROM t_vocab) - 1) AS size, CAST(1.0 AS DOUBLE) AS length
+        FROM prep""", full)
     q["v09_embed_external"] = build(
         "SELECT row_ord, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM vec"
     )
@@ -487,28 +538,18 @@ def oracle_queries() -> dict[str, str]:
     q["j02_semantic_similarity"] = build(f"""
       SELECT src, dst, round(greatest(least({whole}, 1.0), 0.0), 6) AS sem FROM near
       JOIN vec AS a ON a.row_ord = src JOIN vec AS b ON b.row_ord = dst""")
+    topic_pairs = """
+      SELECT row_ord AS src, unnest([lead(row_ord, 1) OVER w, lead(row_ord, 2) OVER w]) AS dst
+      FROM prep WINDOW w AS (PARTITION BY topic_root ORDER BY row_ord)"""
     q["j03_lexical_similarity"] = build(
-        "SELECT src, dst, round(coalesce(lex, 0), 6) AS lex FROM tp LEFT JOIN dots USING (src, dst)",
-        full,
-        """tp AS (
-          SELECT row_ord AS src, unnest([lead(row_ord, 1) OVER w, lead(row_ord, 2) OVER w]) AS dst
-          FROM prep WINDOW w AS (PARTITION BY topic_root ORDER BY row_ord)),
-        t_row AS (
-          SELECT row_ord, block, term, weight / sqrt(sum(weight * weight)
-            OVER (PARTITION BY row_ord)) AS weight FROM t_unit),
-        dots AS (
-          SELECT src, dst, least(greatest(sum(a.weight * b.weight), 0), 1) AS lex FROM tp
-          JOIN t_row AS a ON a.row_ord = src
-          JOIN t_row AS b ON b.row_ord = dst AND b.block = a.block AND b.term = a.term
-          GROUP BY src, dst)""").replace(
-        "FROM tp LEFT JOIN dots USING (src, dst)",
-        "FROM tp LEFT JOIN dots USING (src, dst) WHERE dst IS NOT NULL",
-    )
+        """SELECT src, dst, round(coalesce(lex, 0), 6) AS lex
+        FROM to_score LEFT JOIN dots USING (src, dst) WHERE dst IS NOT NULL""",
+        full, {"to_score": topic_pairs})
     q["j04_hybrid_edges"] = build("""
       SELECT src, dst, round(0.6 * sem + 0.4 * 0.25, 6) AS sim FROM pairs
       WHERE round(0.6 * sem + 0.4 * 0.25, 9) >= 0.3""")
     q["j05_symmetric_edges"] = build("SELECT src, dst, round(sem, 6) AS sim FROM pairs")
-    q["j06_connected_components"] = build("SELECT row_ord, component FROM comp", REACH)
+    q["j06_connected_components"] = build("SELECT row_ord, component FROM comp")
     q["j07_attach_clusters"] = build(
         f"""SELECT row_ord, cluster_id, canonical_keyword, intent, page_type, is_clustered,
           opportunity_score FROM ({attached})""", *steps)
@@ -526,28 +567,25 @@ def oracle_queries() -> dict[str, str]:
     q["a02_flag_clustered"] = build(
         "SELECT row_ord, cluster_id, n >= 3 AS is_clustered FROM topics"
     )
+    finer = """
+      SELECT component, intent, topic_root, modifier_group, min(row_ord) AS first_ord,
+        min(row_ord) = min(min(row_ord)) OVER (PARTITION BY component) AS keeper
+      FROM words GROUP BY component, intent, topic_root, modifier_group"""
     q["a03_post_split"] = build(
-        """SELECT row_ord, CASE WHEN keeper THEN c ELSE (SELECT count(DISTINCT component) FROM g)
-            + later END AS cluster_id, cluster_rows
-        FROM words JOIN (
-          SELECT *, dense_rank() OVER (ORDER BY component) - 1 AS c,
-            sum(CASE WHEN keeper THEN 0 ELSE 1 END) OVER (ORDER BY component, first_ord) - 1
-            AS later FROM g) USING (component, intent, topic_root, modifier_group)""",
-        """g AS (
-          SELECT component, intent, topic_root, modifier_group, min(row_ord) AS first_ord,
-            count(*) AS cluster_rows,
-            min(row_ord) = min(min(row_ord)) OVER (PARTITION BY component) AS keeper
-          FROM words GROUP BY component, intent, topic_root, modifier_group)""").replace(
-        "END AS cluster_id, cluster_rows", "END::BIGINT AS cluster_id, cluster_rows"
-    )
+        "SELECT row_ord, cluster_id, n AS cluster_rows FROM divided",
+        {
+            "plain": "SELECT * EXCLUDE (cluster_id) FROM words",
+            "finer": finer,
+            "divided": post_split("plain", "finer", "intent, topic_root, modifier_group"),
+        })
     q["a04_canonical_keyword"] = build("SELECT cluster_id, canonical_keyword FROM numbers")
     q["a05_topic_labels"] = build("SELECT cluster_id, label FROM labelled", label_steps())
     q["a06_single_labels"] = build(
         f"SELECT row_ord, coalesce({single_label(kw)}, keyword) AS topic_label FROM prep"
     )
-    q["a07_cohesion"] = build(
-        f"""SELECT cluster_id, n, round({COHESION}, 6) AS cohesion
-        FROM sized LEFT JOIN inside USING (cluster_id)""", REACH, INSIDE)
+    q["a07_cohesion"] = build(f"""
+      SELECT cluster_id, n, round({COHESION.format(n='n')}, 6) AS cohesion
+      FROM sized LEFT JOIN inside USING (cluster_id)""")
     q["a08_mode_shares"] = build("""
       SELECT cluster_id, round(topics_intent.share, 6) AS intent_share,
         round(topics_modifier_group.share, 6) AS modifier_share
@@ -555,15 +593,15 @@ def oracle_queries() -> dict[str, str]:
     fill = ", ".join(f"coalesce({c}, 'core') AS {c}" for c in ("intent", "page_type", "modifier_group"))
     q["a09_quality_score"] = build(
         f"""SELECT cluster_id, CASE WHEN n = 1 THEN 0.55 ELSE round(least(greatest(
-            0.5 * {COHESION} + 0.3 * i.share + 0.2 * m.share, 0), 1), 4) END AS cluster_quality
+            0.5 * {COHESION.format(n='n')} + 0.3 * i.share + 0.2 * m.share, 0), 1), 4) END
+            AS cluster_quality
         FROM sized LEFT JOIN inside USING (cluster_id)
         JOIN ({mode('vt', 'intent')}) AS i USING (cluster_id)
         JOIN ({mode('vt', 'modifier_group')}) AS m USING (cluster_id)""",
-        REACH,
-        INSIDE,
-        f"""vt AS (SELECT component AS cluster_id, {fill} FROM comp LEFT JOIN (
-          SELECT row_ord, {intent(kw)} AS intent, '' AS page_type, {modifiers(kw)} AS modifier_group
-          FROM clean) USING (row_ord))""")
+        {"vt": f"""
+          SELECT component AS cluster_id, {fill} FROM comp LEFT JOIN (
+            SELECT row_ord, {intent(kw)} AS intent, '' AS page_type,
+              {modifiers(kw)} AS modifier_group FROM clean) USING (row_ord)"""})
     q["a10_opportunity_score"] = build("SELECT cluster_id, opportunity_score FROM opp")
     q["a11_mode"] = build("""
       SELECT cluster_id, words_intent.value AS intent, words_page_type.value AS page_type
@@ -580,7 +618,7 @@ def oracle_queries() -> dict[str, str]:
       SELECT row_ord, row_number() OVER (ORDER BY keyword, row_ord) - 1 AS place FROM kw_phrases""")
     q["w02_cluster_rows"] = build("""
       SELECT row_ord, count(*) OVER (PARTITION BY cluster_id) AS cluster_rows FROM words""")
-    q["w03_first_seen_groups"] = build(split_groups)
+    q["w03_first_seen_groups"] = build("SELECT * FROM split_groups")
     q["w04_top_neighbors"] = build("SELECT src, dst, rank FROM near WHERE rank <= 3")
     q["w05_top_terms"] = build(
         "SELECT cluster_id, term, rank, round(weight, 6) AS weight FROM l_rank", label_steps()
@@ -623,5 +661,8 @@ def oracle_queries() -> dict[str, str]:
     q["k06_formula_guard"] = build(r"""
       SELECT row_ord, CASE WHEN regexp_matches(keyword, '^[=+\-@]') THEN '''' || keyword
         ELSE keyword END AS cell FROM kw_phrases""")
+    q["r04_external_embedding_clusters"] = build(
+        "SELECT clusters.*, keywords, urls FROM clusters JOIN lists USING (cluster_id)",
+        *steps, EXTERNAL)
     q["r01_topic_opportunities"] = build(f"SELECT * FROM clusters {ranked}", *steps)
     return q

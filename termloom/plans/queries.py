@@ -25,7 +25,7 @@ from .clustering import cluster_keywords
 
 BRANDS = ("Gear", "bolt", "Brand#1")
 # The embeddings have few similar pairs, so their graph is built at a lower threshold.
-VECTORS = Settings(similarity_threshold=0.2, semantic_weight=1.0, lexical_weight=0.0)
+VECTORS = Settings(similarity_threshold=0.35, semantic_weight=1.0, lexical_weight=0.0)
 MAPPING = {
     "keyword": "keyword", "volume": "volume", "difficulty": "difficulty",
     "position": "position", "url": "url",
@@ -718,6 +718,17 @@ def r3_keyword_rows(spark, folder):
     return describe.order_rows(result.rows).select(*ROW_COLUMNS)
 
 
+def r4_external(spark, folder):
+    """The whole run with embeddings that come from a column instead of the SVD."""
+    vec = views.vectors(spark, folder)
+    df = views.kw_catalog(spark, folder).join(vec.select("row_ord"), "row_ord", "left_semi")
+    kept = prepare.prepare_keywords(df, row_ord="row_ord")[0].select("row_ord")
+    result = cluster_keywords(df, row_ord="row_ord", embeddings=vec.join(kept, "row_ord"))
+    return result.clusters.withColumns(
+        {"keywords": F.array_join("keywords", "|"), "urls": F.array_join("urls", "|")}
+    )
+
+
 QUERIES = {
     "s01_profile_files": s1_profile,
     "s02_detect_encoding": s2_encoding,
@@ -800,4 +811,5 @@ QUERIES = {
     "r01_topic_opportunities": r1_topics,
     "r02_keyword_clusters": r2_keyword_clusters,
     "r03_page_title_rows": r3_keyword_rows,
+    "r04_external_embedding_clusters": r4_external,
 }
