@@ -7,6 +7,7 @@ import io
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ SNIFF_CHARS = 65_536
 DELIMITERS = ",\t;|"
 # Files above this size are reported, not profiled; the binary file source holds one in memory.
 MAX_FILE_BYTES = 1 << 30
+# Encodings Spark reads itself; text in others is split as bytes and decoded afterwards.
+_SPARK_CHARSETS = {
+    "ascii": "us-ascii", "utf-8": "utf-8", "utf-8-sig": "utf-8", "latin-1": "iso-8859-1",
+    "iso8859-1": "iso-8859-1", "utf-16": "utf-16", "utf-16-le": "utf-16le",
+    "utf-16-be": "utf-16be", "utf-32": "utf-32",
+}
 _BYTE_ORDER_MARKS = [
     (b"\xef\xbb\xbf", "utf-8-sig"),
     (b"\xff\xfe\x00\x00", "utf-32"),
@@ -95,7 +102,22 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     )
     large = files.where(F.col("length") > MAX_FILE_BYTES).select(
-        "path", "length", F.lit("unknown").alias("kind"), F.lit("FILE_TOO_LARGE").alias("error_code")
+        "path",
+        "length",
+        F.lit("unknown").alias("kind"),
+        F.lit("FILE_TOO_LARGE").alias("error_code"),
+    )
+    # The scan skips files without any bytes; the listing knows them.
+    local = r"^file:/+"
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(
+        F.regexp_replace("path", local, "file:/").alias("path")
+    )
+    scanned = files.select(F.regexp_replace("path", local, "file:/").alias("path"))
+    empty = listed.join(scanned, "path", "left_anti").select(
+        "path",
+        F.lit(0).cast("long").alias("length"),
+        F.lit("text").alias("kind"),
+        F.lit("EMPTY_FILE").alias("error_code"),
     )
     first = F.hex(F.substring("content", 1, 8))
     kinds = files.where(F.col("length") <= MAX_FILE_BYTES).select(
@@ -122,7 +144,8 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=_PROFILE)
 
-    return kinds.mapInArrow(work, _PROFILE_DDL).unionByName(large, allowMissingColumns=True)
+    profiled = kinds.mapInArrow(work, _PROFILE_DDL)
+    return profiled.unionByName(large.unionByName(empty), allowMissingColumns=True)
 
 
 def header_names(header: list[str]) -> list[str]:
@@ -135,17 +158,29 @@ def header_names(header: list[str]) -> list[str]:
     return names
 
 
+def _decoder(encoding: str):
+    """Column function that decodes text which was read byte by byte as ISO-8859-1."""
+
+    @F.pandas_udf("string")
+    def decode(text: pd.Series) -> pd.Series:
+        return text.str.encode("latin-1").str.decode(encoding, errors="replace")
+
+    return decode
+
+
 def _read_group(spark: SparkSession, paths: list[str], layout) -> DataFrame:
     encoding, delimiter, header, multiline = layout
     names = header_names(list(header))
     fields = [f"c{i}" for i in range(len(names))]
     # One more column than the header shows which rows are too long.
     schema = ", ".join(f"{c} string" for c in [*fields, "over"])
+    charset = _SPARK_CHARSETS.get(encoding.replace("_", "-"))
+    decode = (lambda c: c) if charset else _decoder(encoding)
     lines = (
         spark.read.schema(schema)
         .option("header", True)
         .option("sep", delimiter)
-        .option("encoding", {"utf-8-sig": "utf-8"}.get(encoding, encoding))
+        .option("encoding", charset or "iso-8859-1")
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
@@ -153,7 +188,7 @@ def _read_group(spark: SparkSession, paths: list[str], layout) -> DataFrame:
         .csv(paths)
     )
     kept = lines.where(F.col("over").isNull()).select(
-        *(F.nullif(F.col(c), F.lit("")).alias(c) for c in fields),
+        *(F.nullif(decode(F.col(c)), F.lit("")).alias(c) for c in fields),
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
