@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import functools
-import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,51 +17,42 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 @functools.cache
-def _fold_tables() -> tuple[str, str, str]:
+def _fold_tables() -> tuple[str, str, dict[str, str], str]:
     """Compatibility folding per character, derived from the Unicode data.
 
-    Gives the characters that fold to one ASCII character, their images, and a regular
-    expression class of those that fold to several. Every other non-ASCII character folds
-    to nothing. Combining marks all vanish, so folding one character at a time is exact.
+    Gives the characters that fold to one ASCII character, their images, those that fold to
+    several with their images, and a regular expression class of the latter. Every other
+    non-ASCII character folds to nothing. Combining marks all vanish, so folding one character
+    at a time is exact. Planes above the second only hold ideographs.
     """
-    source, image, several = [], [], []
-    for code in range(0x80, sys.maxunicode + 1):
-        char = chr(code)
+    source, image, several = [], [], {}
+    for char in map(chr, range(0x80, 0x20000)):
         folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode("ascii")
         if len(folded) == 1:
             source.append(char)
             image.append(folded)
         elif folded:
-            several.append(code)
-    ranges: list[list[int]] = []
-    for code in several:
-        if ranges and code == ranges[-1][1] + 1:
-            ranges[-1][1] = code
-        else:
-            ranges.append([code, code])
-    pattern = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-    return "".join(source), "".join(image), pattern
-
-
-@F.pandas_udf(T.StringType())
-def _fold_fully(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
-
-
-# Declared non-deterministic so that filters on the result do not evaluate it a second time.
-_fold_fully = _fold_fully.asNondeterministic()
+            several[char] = folded
+    pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+    return "".join(source), "".join(image), several, pattern
 
 
 def fold_ascii(col: Column) -> Column:
-    """Compatibility-decompose and drop what is not ASCII.
+    """Compatibility-decompose and drop what is not ASCII, without leaving the JVM.
 
-    One-to-one folding is a JVM ``translate``. Only values with a character that folds to
-    several (ligatures, fractions) reach Python; all others go there as nulls.
+    ASCII text, the usual case, is passed on as it is. Characters that fold to one are
+    translated; only text with one that folds to several (ligatures, fractions) is taken apart.
     """
-    source, image, several = _fold_tables()
-    in_jvm = F.regexp_replace(F.translate(col, source, image), r"[^\x00-\x7F]", "")
-    in_python = _fold_fully(F.when(col.rlike(several), col))
-    return F.coalesce(in_python, in_jvm)
+    source, image, several, pattern = _fold_tables()
+    # As one literal, which is folded into a constant map. No character here is a control code.
+    pairs = F.lit("\x02".join(f"{c}\x01{folded}" for c, folded in several.items()))
+    unfold = F.str_to_map(pairs, F.lit("\x02"), F.lit("\x01"))
+    spelled = F.array_join(
+        F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(unfold, c), c)), ""
+    )
+    plain = F.translate(F.when(col.rlike(pattern), spelled).otherwise(col), source, image)
+    ascii_only = F.regexp_replace(plain, r"[^\x00-\x7F]+", "")
+    return F.when(col.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(col)
 
 
 def normalize_ascii(col: Column) -> Column:

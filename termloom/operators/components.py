@@ -67,25 +67,38 @@ def _signature(edges: DataFrame) -> tuple:
     )
 
 
-def connected_components(
-    edges: DataFrame, vertices: DataFrame, id_column: str = "row_ord", max_rounds: int = 60
-) -> DataFrame:
-    """Add ``component`` (smallest id reachable) to the vertices; isolated ones keep their own."""
-    stars = edges.where("src != dst").select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
-    )
-    stars = materialize(_small_star(_contract(stars)), "stars")
+def _alternate(stars: DataFrame, max_rounds: int) -> DataFrame:
+    stars = materialize(_small_star(stars), "stars")
     seen = _signature(stars)
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
         stars = materialize(_small_star(_large_star(stars)), "stars")
         now = _signature(stars)
         if now == seen:
-            break
+            return stars
         seen = now
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def connected_components(
+    edges: DataFrame,
+    vertices: DataFrame,
+    id_column: str = "row_ord",
+    one_task_edges: int = 2_000_000,
+    max_rounds: int = 60,
+) -> DataFrame:
+    """Add ``component`` (smallest id reachable) to the vertices; isolated ones keep their own.
+
+    What the local contraction leaves is finished in one task if it is at most
+    ``one_task_edges`` edges (32 MB), and by rounds over all tasks if it is more.
+    """
+    stars = edges.where("src != dst").select(
+        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
+    )
+    stars = materialize(_contract(stars), "stars")
+    if stars.count() <= one_task_edges:
+        stars = _contract(stars.coalesce(1))
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        stars = _alternate(stars, max_rounds)
     roots = stars.select(F.col("u").alias(id_column), F.col("v").alias("_root"))
     return (
         vertices.join(roots, id_column, "left")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, tasks_for
@@ -258,6 +258,10 @@ def _distinct_search(
     return _top(home.drop("rank").unionByName(away), k).drop("rank")
 
 
+def _no_neighbours(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "src long, dst long, sim double, rank int")
+
+
 def knn_join(
     df: DataFrame,
     k: int = 15,
@@ -287,32 +291,52 @@ def knn_join(
                     ["row_ord", "vec"],
                 )
 
-    unit = df.select("row_ord", "embedding").mapInArrow(
-        normalise, "row_ord long, vec array<double>"
-    )
-    unit = unit.withColumn("key", F.xxhash64("vec"))
-    # Members of a group of identical vectors. Nobody needs more than its k + 1 smallest ids:
-    # they tie with all others of the group, and a row only leaves itself out.
-    group = ["key", "vec"]
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy("row_ord"))
     is_zero = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))) == 0
-    reps = materialize(
-        unit.withColumn("nth", nth)
-        .where(F.col("nth") <= k + 1)
-        .groupBy(*group)
-        .agg(F.min("row_ord").alias("gid"), F.sort_array(F.collect_list("row_ord")).alias("ids"))
-        .withColumn("zero", is_zero),
-        "knn-reps",
+    unit = materialize(
+        df.select("row_ord", "embedding")
+        .mapInArrow(normalise, "row_ord long, vec array<double>")
+        .withColumns({"key": F.xxhash64("vec"), "zero": is_zero, "width": F.size("vec")}),
+        "knn-unit",
+        spread_by="row_ord",
+    )
+    # Whether there are copies is decided on hashes, without moving a vector.
+    facts = (
+        unit.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("zero").alias("zero"), F.max("width").alias("d"))
+        .agg(
+            F.sum("n").alias("rows"),
+            F.max("n").alias("copies"),
+            F.max("zero").alias("zero"),
+            F.max("d").alias("width"),
+        )
+        .first()
     )
-    facts = reps.agg(
-        F.count_if(~F.col("zero")).alias("groups"),
-        F.count_if("zero").alias("zeros"),
-        F.max(F.size("vec")).alias("width"),
-        F.max(F.size("ids")).alias("copies"),
-    ).first()
-    nonzero, groups = reps.where("not zero"), facts["groups"]
+    plain = facts["copies"] == 1 and not facts["zero"]
+    if facts["rows"] is None:
+        return _no_neighbours(spark)
+    if plain:
+        nonzero = unit.select(F.col("row_ord").alias("gid"), "vec")
+        groups = facts["rows"]
+    else:
+        # Members of a group of identical vectors. Nobody needs more than its k + 1 smallest
+        # ids: they tie with all others of the group, and a row only leaves itself out.
+        group = ["key", "vec"]
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("row_ord"))
+        reps = materialize(
+            unit.withColumn("nth", nth)
+            .where(F.col("nth") <= k + 1)
+            .groupBy(*group, "zero")
+            .agg(
+                F.min("row_ord").alias("gid"), F.sort_array(F.collect_list("row_ord")).alias("ids")
+            ),
+            "knn-reps",
+            spread_by="gid",
+        )
+        nonzero = reps.where("not zero")
+        groups = nonzero.count()
+
     if not groups:
-        found = spark.createDataFrame([], "src long, dst long, sim double")
+        found = _no_neighbours(spark).drop("rank")
     elif groups * facts["width"] * 8 <= broadcast_bytes:
         found = _search_small(nonzero, groups, k + 1)
     else:
@@ -320,12 +344,12 @@ def knn_join(
             share = groups // (2 * spark.sparkContext.defaultParallelism)
             cell_rows = min(block_rows, max(256, share))
         found = _distinct_search(nonzero, groups, k + 1, cell_rows, block_rows, max_pivots)
-    if not facts["zeros"] and facts["copies"] == 1:
+    if plain:
         return _top(found.where("src != dst"), k)
 
     # Give the members of each group their group's answer, member by member.
-    members = unit.join(reps.select(*group, "gid", "zero"), group)
-    if facts["zeros"]:
+    members = unit.drop("zero").join(reps.select(*group, "gid", "zero"), group)
+    if facts["zero"]:
         # One group, at cosine 0 from everything.
         zero = reps.where("zero").first()
         found = found.unionByName(
@@ -346,7 +370,7 @@ def knn_join(
         .join(nearest, F.col("gid") == F.col("src"))
         .select(F.col("row_ord").alias("src"), F.inline("near"))
     )
-    if facts["zeros"]:
+    if facts["zero"]:
         smallest = df.select("row_ord").orderBy("row_ord").limit(k + 1).collect()
         others = F.array(
             *(F.struct(F.lit(r[0]).alias("dst"), F.lit(0.0).alias("sim")) for r in smallest)

@@ -239,9 +239,11 @@ def graphs():
 
 
 @pytest.mark.parametrize("name, n, pairs", list(graphs()))
-def test_components_equal_union_find(spark, name, n, pairs):
+@pytest.mark.parametrize("one_task", [2_000_000, -1])
+def test_components_equal_union_find(spark, name, n, pairs, one_task):
     edges = spark.createDataFrame(pairs, "src long, dst long").repartition(7)
-    got = connected_components(edges, spark.range(n).withColumnRenamed("id", "row_ord"))
+    vertices = spark.range(n).withColumnRenamed("id", "row_ord")
+    got = connected_components(edges, vertices, one_task_edges=one_task)
     want = brute.components(n, pairs)
     assert [r["component"] for r in got.orderBy("row_ord").collect()] == want
 
