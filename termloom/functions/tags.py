@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, MODIFIER_WORDS, TOPIC_STOP_WORDS, Settings
-from .text import normalize_text
+from .text import normalize_text, word_list
 
 
 def has_word(col: Column, words: Iterable[str]) -> Column:
@@ -61,7 +61,7 @@ def tag_brand(col: Column, terms: Iterable[str]) -> Column:
 
 def topic_root(col: Column) -> Column:
     """First four words that are no stop words; the whole keyword when none is left."""
-    stop = F.array(*(F.lit(w) for w in TOPIC_STOP_WORDS))
+    stop = word_list(TOPIC_STOP_WORDS)
     words = F.filter(F.split(col, " "), lambda w: ~F.array_contains(stop, w))
     return F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, 4), " ")).otherwise(col)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +137,12 @@ def title_case(col: Column) -> Column:
     )
 
 
+def word_list(words: Iterable[str]) -> Column:
+    """Constant array of words, given to the optimizer as one literal."""
+    words = list(words)
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
+
+
 def formula_guard(col: Column) -> Column:
     """Prefix cells a spreadsheet would run as a formula."""
     return F.when(col.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), col)).otherwise(col)

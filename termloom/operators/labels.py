@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.ngrams import token_ngrams, word_tokens
-from ..functions.text import title_case
+from ..functions.text import title_case, word_list
 
 LABEL_TERMS = 3
 SINGLE_WORDS = 4
@@ -28,7 +28,7 @@ def label_stop_words(settings: Settings = DEFAULTS) -> tuple[str, ...]:
 
 
 def _without(words: Column, stop: tuple[str, ...]) -> Column:
-    listed = F.array(*(F.lit(w) for w in stop)) if stop else F.array().cast("array<string>")
+    listed = word_list(stop)
     return F.filter(words, lambda w: ~F.array_contains(listed, w))
 
 

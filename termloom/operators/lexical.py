@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..errors import InputError
 from ..functions.ngrams import char_wb_ngrams, word_ngrams
-from ..storage import materialize, tasks_for
+from ..storage import materialize, spread_small
 
 BLOCKS = ("word", "char")
 # What a stored sparse vector looks like to a reader that names its parts.
@@ -96,7 +96,7 @@ def lexical_features(
         raise InputError("NO_KEYWORDS", "Keywords are too short or empty to analyse.")
 
     schema = ", ".join(["row_ord bigint", *(f"{c} {_PARTS}" for c in columns[1:])])
-    spread = df.select(*columns).repartition(tasks_for(df.sparkSession, rows), "row_ord")
+    spread = spread_small(df.select(*columns), rows, "row_ord")
     vectors = materialize(spread, "lexical", schema)
     return vectors.select(
         "row_ord",

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, tasks_for
+from ..storage import materialize, spread_small
 
 DIGITS = 9  # similarities are compared at this precision, ties go to the smaller id
 _SLACK = 1e-6  # on squared distances; far above rounding, only ever visits more
@@ -60,34 +60,30 @@ def _best_of(
     return vector[keep], row[keep], close[keep]
 
 
-class _Cells:
-    """Pivots and per-cell statistics; bounded by the number of pivots."""
-
-    def __init__(self, pivots: np.ndarray):
-        self.pivots = pivots
-        self.apart = np.sqrt(_squared(pivots, pivots))
-        self.nearest_row = np.zeros(len(pivots))
-        self.farthest_row = np.zeros(len(pivots))
-        self.rows = np.zeros(len(pivots), dtype=np.int64)
-
-    def to_visit(self, vectors: np.ndarray, home: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """Mask of the cells that may hold rows within ``reach`` of each vector."""
-        to_pivot = _squared(vectors, self.pivots)
-        away = np.sqrt(to_pivot)
-        own = np.take_along_axis(to_pivot, home[:, None], axis=1)
-        gap = np.maximum(self.apart[home], 1e-12)
-        bound = np.maximum.reduce(
-            [
-                away - self.farthest_row,
-                self.nearest_row - away,
-                (to_pivot - own) / (2 * gap),  # beyond the plane between the two pivots
-            ]
-        )
-        bound = np.maximum(bound, 0.0)
-        may = bound * bound <= (reach * reach)[:, None] + _SLACK
-        may &= self.rows > 0
-        may[np.arange(len(vectors)), home] = False
-        return may
+def _to_visit(
+    cells: dict[str, np.ndarray], vectors: np.ndarray, home: np.ndarray, reach: np.ndarray
+) -> np.ndarray:
+    """Mask of the cells that may hold rows within ``reach`` of each vector.
+
+    ``cells`` has one entry per pivot in each array: the pivots, and the distance of the nearest
+    and farthest row and the number of rows of each cell.
+    """
+    to_pivot = _squared(vectors, cells["pivots"])
+    away = np.sqrt(to_pivot)
+    own = np.take_along_axis(to_pivot, home[:, None], axis=1)
+    gap = np.maximum(np.sqrt(_squared(cells["pivots"][home], cells["pivots"])), 1e-12)
+    bound = np.maximum.reduce(
+        [
+            away - cells["farthest"],
+            cells["nearest"] - away,
+            (to_pivot - own) / (2 * gap),  # beyond the plane between the two pivots
+        ]
+    )
+    bound = np.maximum(bound, 0.0)
+    may = bound * bound <= (reach * reach)[:, None] + _SLACK
+    may &= cells["rows"] > 0
+    may[np.arange(len(vectors)), home] = False
+    return may
 
 
 def _search_blocks(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -124,8 +120,12 @@ def _search_blocks(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _search_small(reps: DataFrame, rows: int, k: int) -> DataFrame:
-    """Best k per row against all rows, held as one matrix of checked size in every task."""
+def _search_small(reps: DataFrame, rows: int, k: int, others_only: bool) -> DataFrame:
+    """Best k per row against all rows, held as one matrix of checked size in every task.
+
+    With ``others_only`` the row itself is not counted. Every row is answered in one place, so
+    the answer comes ranked.
+    """
     spark = reps.sparkSession
     whole = reps.select("gid", "vec").toArrow().combine_chunks()
     ids = whole.column("gid").to_numpy()
@@ -140,14 +140,20 @@ def _search_small(reps: DataFrame, rows: int, k: int) -> DataFrame:
             asking = batch.column("gid").to_numpy()
             vectors = _matrix(batch.column("vec"))
             for top in range(0, len(asking), step):
-                row, col, sim = _best_of(vectors[top : top + step], matrix, ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asking[top + row]), pa.array(ids[col]), pa.array(sim)],
-                    ["src", "dst", "sim"],
+                row, col, sim = _best_of(
+                    vectors[top : top + step], matrix, ids, k + 1 if others_only else k
                 )
+                src, dst = asking[top + row], ids[col]
+                if others_only:
+                    src, dst, sim = (x[src != dst] for x in (src, dst, sim))
+                starts = np.flatnonzero(np.append(True, src[1:] != src[:-1])[: len(src)])
+                sizes = np.diff(np.append(starts, len(src)))
+                rank = np.arange(len(src)) - np.repeat(starts, sizes) + 1
+                found = [pa.array(x[rank <= k]) for x in (src, dst, sim, rank.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(found, ["src", "dst", "sim", "rank"])
 
-    spread = reps.select("gid", "vec").repartition(tasks_for(spark, rows, 8_192), "gid")
-    return spread.mapInArrow(work, "src long, dst long, sim double")
+    spread = spread_small(reps.select("gid", "vec"), rows, "gid")
+    return spread.mapInArrow(work, "src long, dst long, sim double, rank int")
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
@@ -163,35 +169,36 @@ def _distinct_search(
     spark = reps.sparkSession
     pivots = min(max_pivots, max(1, rows // cell_rows))
     chosen = reps.orderBy(F.xxhash64("gid"), "gid").limit(pivots).select("vec").collect()
-    cells = _Cells(np.array([r["vec"] for r in chosen], dtype=np.float64))
-    shared = spark.sparkContext.broadcast(cells)
+    cells = {"pivots": np.array([r["vec"] for r in chosen], dtype=np.float64)}
+    shared = spark.sparkContext.broadcast(cells["pivots"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                away = _squared(_matrix(batch.column("vec")), shared.value.pivots)
+            for top in range(0, batch.num_rows, _STRIP):
+                part = batch.slice(top, _STRIP)
+                away = _squared(_matrix(part.column("vec")), shared.value)
                 home = away.argmin(axis=1)
                 near = np.sqrt(away[np.arange(len(home)), home])
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(home.astype(np.int32)), pa.array(near)],
+                    [*part.columns, pa.array(home.astype(np.int32)), pa.array(near)],
                     ["gid", "vec", "cell", "away"],
                 )
 
-    spread = reps.select("gid", "vec").repartition(tasks_for(spark, rows), "gid")
+    spread = spread_small(reps.select("gid", "vec"), rows, "gid")
     placed = materialize(
         spread.mapInArrow(assign, "gid long, vec array<double>, cell int, away double"),
         "knn-cells",
     )
     stats = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("away").alias("near"), F.max("away").alias("far")
+        F.count(F.lit(1)).alias("rows"), F.min("away").alias("nearest"), F.max("away").alias("farthest")
     )
-    for r in stats.collect():
-        cells.rows[r["cell"]] = r["rows"]
-        cells.nearest_row[r["cell"]] = r["near"]
-        cells.farthest_row[r["cell"]] = r["far"]
-    shared = spark.sparkContext.broadcast(cells)
+    cells |= {name: np.zeros(pivots) for name in ("rows", "nearest", "farthest")}
+    for r in stats.collect():  # one row per pivot
+        for name in ("rows", "nearest", "farthest"):
+            cells[name][r["cell"]] = r[name]
+    bounds = spark.sparkContext.broadcast(cells)
 
-    blocks = np.maximum(1, -(-cells.rows // block_rows))
+    blocks = np.maximum(1, -(-cells["rows"] // block_rows))
     plan = spark.createDataFrame(
         [(i, int(b)) for i, b in enumerate(blocks)], "cell int, blocks int"
     )
@@ -230,9 +237,10 @@ def _distinct_search(
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for top in range(0, batch.num_rows, 4 * _STRIP):
-                part = batch.slice(top, 4 * _STRIP)
-                visit = shared.value.to_visit(
+            for top in range(0, batch.num_rows, _STRIP):
+                part = batch.slice(top, _STRIP)
+                visit = _to_visit(
+                    bounds.value,
                     _matrix(part.column("vec")),
                     part.column("cell").to_numpy(),
                     part.column("reach").to_numpy(),
@@ -267,7 +275,7 @@ def knn_join(
     k: int = 15,
     cell_rows: int | None = None,
     block_rows: int = 16_384,
-    max_pivots: int = 65_536,
+    max_pivots: int = 16_384,
     broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(src, dst, sim, rank): the k nearest other rows of each row of (row_ord, embedding).
@@ -297,7 +305,6 @@ def knn_join(
         .mapInArrow(normalise, "row_ord long, vec array<double>")
         .withColumns({"key": F.xxhash64("vec"), "zero": is_zero, "width": F.size("vec")}),
         "knn-unit",
-        spread_by="row_ord",
     )
     # Whether there are copies is decided on hashes, without moving a vector.
     facts = (
@@ -330,7 +337,6 @@ def knn_join(
                 F.min("row_ord").alias("gid"), F.sort_array(F.collect_list("row_ord")).alias("ids")
             ),
             "knn-reps",
-            spread_by="gid",
         )
         nonzero = reps.where("not zero")
         groups = nonzero.count()
@@ -338,7 +344,10 @@ def knn_join(
     if not groups:
         found = _no_neighbours(spark).drop("rank")
     elif groups * facts["width"] * 8 <= broadcast_bytes:
-        found = _search_small(nonzero, groups, k + 1)
+        found = _search_small(nonzero, groups, k if plain else k + 1, plain)
+        if plain:
+            return found
+        found = found.drop("rank")
     else:
         if cell_rows is None:
             share = groups // (2 * spark.sparkContext.defaultParallelism)

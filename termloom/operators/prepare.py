@@ -11,6 +11,7 @@ from ..config import DEFAULTS, Settings
 from ..functions.tags import add_tags
 from ..functions.text import clean_numeric, clean_url, is_junk, normalize_text, strip_text
 from ..sources.roles import clean_headers, resolve_columns
+from ..storage import all_cores
 from .ordinals import with_dense_ordinal
 
 PREPARED = ["row_ord", "keyword", "normalized_keyword", "volume", "difficulty", "position", "url"]
@@ -75,8 +76,10 @@ def dedupe_keywords(rows: DataFrame) -> DataFrame:
         F.count("position").alias("p_n"),
     )
     ordered_url = F.when(F.col("url") != "", F.struct("row_ord", "url"))
+    # The width is fixed here so that what follows, on few bytes, still uses every core.
     return (
-        per_url.groupBy("normalized_keyword")
+        per_url.repartition(all_cores(rows.sparkSession), "normalized_keyword")
+        .groupBy("normalized_keyword")
         .agg(
             F.min("row_ord").alias("first_ord"),
             F.min_by("keyword", "row_ord").alias("keyword"),

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..storage import tasks_for
 
 _STEP = 256  # rows multiplied at a time; bounds a task's scratch memory
 _CHUNK = 1024  # features per partial sum
@@ -127,7 +126,7 @@ def svd_embed(
     """
     components = min(settings.svd_components, rows - 1, size - 1)
     lean = rows >= settings.lean_rows
-    tasks = tasks_for(features.sparkSession, rows)
+    tasks = features.rdd.getNumPartitions()
     directions = (
         np.eye(size)
         if components < 2

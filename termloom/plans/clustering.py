@@ -16,7 +16,7 @@ from ..operators.neighbors import knn_join
 from ..operators.prepare import prepare_keywords
 from ..operators.semantic import svd_embed
 from ..operators.split import post_split
-from ..storage import materialize
+from ..storage import materialize, spread_small
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def similarity_graph(
     if embeddings is None:
         embeddings = svd_embed(features, len(terms), rows, settings)
     neighbors = knn_join(embeddings, settings.neighbor_k)
-    pairs = candidate_pairs(neighbors)
+    pairs = spread_small(candidate_pairs(neighbors), rows, "src", "dst")
     return hybrid_edges(lexical_similarity(pairs, features), settings)
 
 
@@ -57,7 +57,7 @@ def cluster_keywords(
     """
     detected = list(df.columns)
     prepared, mapping = prepare_keywords(df, settings, row_ord)
-    prepared = materialize(prepared, "prepared", spread_by="row_ord")
+    prepared = materialize(prepared, "prepared")
     rows = prepared.count()
     if rows == 0:
         raise InputError(
@@ -66,7 +66,8 @@ def cluster_keywords(
         )
     edges = materialize(similarity_graph(prepared, rows, settings, embeddings), "edges")
     labelled = connected_components(edges, prepared)
-    labelled = materialize(post_split(labelled, settings), "labelled", spread_by="row_ord")
+    labelled = spread_small(post_split(labelled, settings), rows, "row_ord")
+    labelled = materialize(labelled, "labelled")
     clusters = materialize(cluster_summary(labelled, edges, settings), "clusters")
     return ClusteringResult(
         rows=attach_clusters(labelled, clusters),

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_ROWS = 200_000
+
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -33,25 +35,29 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/termloom/{spark.conf.get('spark.app.id')}"
 
 
-def materialize(df: DataFrame, label: str, read_schema=None, spread_by=None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
-
-    ``spread_by`` names a column to hash the rows by into at least one file per core. Adaptive
-    execution packs small shuffles into few partitions, which would leave the compute-heavy
-    readers of the table on few cores.
-    """
+def materialize(df: DataFrame, label: str, read_schema=None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the checkpoint folder and read it back."""
     spark = df.sparkSession
-    if spread_by:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(max(partitions, spark.sparkContext.defaultParallelism), spread_by)
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(read_schema or df.schema).parquet(path)
 
 
-def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = 100_000) -> int:
-    """Number of partitions for compute-heavy steps: all cores, more when rows need it."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+def all_cores(spark: SparkSession) -> int:
+    """Partitions that keep every core busy: the configured shuffle width, or more cores."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, spark.sparkContext.defaultParallelism)
+
+
+def spread_small(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Hash a small table over all cores; leave a large one, which already is, alone.
+
+    Adaptive execution packs small shuffles into one or two partitions. That suits plain
+    expressions, but would leave the compute-heavy steps on as many cores.
+    """
+    if rows > SMALL_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def clear_scratch(spark: SparkSession) -> None:
