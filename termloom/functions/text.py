@@ -18,13 +18,13 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 @functools.cache
-def _fold_tables() -> tuple[str, str, dict[str, str], str]:
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
     """Compatibility folding per character, derived from the Unicode data.
 
-    Gives the characters that fold to one ASCII character, their images, those that fold to
-    several with their images, and a regular expression class of the latter. Every other
-    non-ASCII character folds to nothing. Combining marks all vanish, so folding one character
-    at a time is exact. Planes above the second only hold ideographs.
+    Gives the characters that fold to one ASCII character, their images, and those that fold to
+    several with their images. Every other non-ASCII character folds to nothing. Combining marks
+    all vanish, so folding one character at a time is exact. Planes above the second only hold
+    ideographs.
     """
     source, image, several = [], [], {}
     for char in map(chr, range(0x80, 0x20000)):
@@ -34,8 +34,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
             image.append(folded)
         elif folded:
             several[char] = folded
-    pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
-    return "".join(source), "".join(image), several, pattern
+    return "".join(source), "".join(image), several
 
 
 def fold_ascii(col: Column) -> Column:
@@ -44,15 +43,20 @@ def fold_ascii(col: Column) -> Column:
     ASCII text, the usual case, is passed on as it is. Characters that fold to one are
     translated; only text with one that folds to several (ligatures, fractions) is taken apart.
     """
-    source, image, several, pattern = _fold_tables()
-    # As one literal, which is folded into a constant map. No character here is a control code.
+    source, image, several = _fold_tables()
+    # One literal per row that needs it; no character in it is a control code.
     pairs = F.lit("\x02".join(f"{c}\x01{folded}" for c, folded in several.items()))
-    unfold = F.str_to_map(pairs, F.lit("\x02"), F.lit("\x01"))
-    spelled = F.array_join(
-        F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(unfold, c), c)), ""
-    )
-    plain = F.translate(F.when(col.rlike(pattern), spelled).otherwise(col), source, image)
-    ascii_only = F.regexp_replace(plain, r"[^\x00-\x7F]+", "")
+    unfold = F.array(F.str_to_map(pairs, F.lit("\x02"), F.lit("\x01")))
+
+    def spell(table: Column) -> Column:
+        letters = F.split(col, "")
+        return F.array_join(
+            F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+        )
+
+    needs_spelling = F.translate(col, "".join(several), "") != col
+    spelled = F.when(needs_spelling, F.element_at(F.transform(unfold, spell), 1)).otherwise(col)
+    ascii_only = F.regexp_replace(F.translate(spelled, source, image), r"[^\x00-\x7F]+", "")
     return F.when(col.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(col)
 
 
