@@ -19,7 +19,7 @@ from ..operators.components import connected_components
 from ..operators.neighbors import knn_join
 from ..sinks import tables as sinks
 from ..sources import files, roles
-from ..storage import materialize, scratch_folder
+from ..storage import scratch_folder
 from . import views
 from .clustering import cluster_keywords
 
