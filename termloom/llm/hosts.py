@@ -5,7 +5,7 @@ so rates are shrunk from the top down: the suffix (last label) to the overall ra
 domain (last two labels) to its suffix, the host to its domain. How strongly is learnt per level:
 the strength of the beta prior comes from the variance between siblings beyond binomial noise
 (analysis-of-variance estimate of the beta-binomial correlation). A host is blocked when the upper
-bound of its posterior (mean plus ``Z`` deviations) stays below ``LEAST_GOOD``.
+bound of its posterior (mean plus ``Z`` deviations) stays below ``LEAST_GOOD`` of the overall rate.
 
 Rules decide first: a rule ``host/path`` fits its host and all subdomains if the url's path starts
 with the rule's; the longest wins. A null url or one without ``://`` has empty host and path and is
@@ -116,7 +116,7 @@ def host_reputation(
     upper = a / (a + b) + z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return hosts.select(
         "host", "n", "good", (a / (a + b)).alias("reputation"), upper.alias("upper"),
-        (upper < least_good).alias("blocked"),
+        (upper < least_good * overall).alias("blocked"),
     )
 
 
@@ -196,7 +196,8 @@ WITH p AS (
 ), {_level_sql('h', 'h1', 'host', 'rate_d', 'rate_h')}, u AS (
   SELECT host, good + strength * rate_d AS a, n - good + strength * (1 - rate_d) AS b FROM h
 ), v AS (
-  SELECT host, a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {LEAST_GOOD} AS blocked
+  SELECT host, a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+         < {LEAST_GOOD}::DOUBLE * (SELECT any_value(prior) FROM s0) AS blocked
   FROM u
 ), j AS (
   SELECT page_id, p.host, path, blocked, CASE

@@ -6,15 +6,16 @@ a source gets at most ``REPEATS`` times its own, and what that leaves is shared
 until no target is above that.
 
 Within a source, documents stand in an order shuffled by hash, and the whole order is queued
-``REPEATS`` times. A copy's virtual finish time is the words of its source queued up to its own end
-divided by the source's target. All copies are taken in order of finish time (range-sorted into
-equal steps of virtual time) until the next would exceed the total budget, so the sources advance
-side by side and each ends within a document of its target. Documents are taken whole.
+``REPEATS`` times. A copy's virtual finish time is the words of its source queued up to its end,
+less half its own, divided by the source's target: a source is at its target at time 1. All copies
+are taken in order of finish time (range-sorted into equal steps of virtual time) up to time 1, or
+until the next would exceed the total budget, so the sources advance side by side and each ends
+within half a document of its target. Documents are taken whole.
 
 Running sums never see a whole source: a source is cut into ``BUCKETS`` ranges of the hash, each
 range sums its own rows, and offsets come from one row per (source, range). The cut lies in one
 step of virtual time, and only that step is sorted. Through the driver go one row per step (at most
-``2 * STEPS + 1``) and one row per round of sharing out.
+``STEPS + 1``) and one row per round of sharing out.
 
 Documents without words take no part (taken 0). Rows repeated with one doc_id queue one after the
 other, by size and text. A null doc_id is hashed as its own value. No documents give no rows.
@@ -100,8 +101,10 @@ def _running(queued: DataFrame, offsets: DataFrame, id_column: str, text: str, n
 
 
 def _finish(n: dict, turn: int) -> Column:
+    """Virtual finish time of the row's copy of a turn; null if the mix never comes to it."""
     queued = F.col(n["sum"]) + F.col(n["before"]) + turn * F.col(n["total"])
-    return F.when((F.col(n["size"]) > 0) & (F.col(n["target"]) > 0), queued / F.col(n["target"]))
+    time = (queued - F.col(n["size"]) / F.lit(2.0)) / F.col(n["target"])
+    return F.when((F.col(n["size"]) > 0) & (F.col(n["target"]) > 0) & (time <= 1), time)
 
 
 def _plan(
@@ -136,9 +139,7 @@ def _plan(
             F.struct(F.lit(t).alias("turn"), _finish(n, t).alias("finish")) for t in range(repeats)
         ))).alias("c"),
     ).where("c.finish IS NOT NULL").select("key", "hash", "id", "sum", "size", "c.*")
-    copies = copies.withColumn(
-        "step", F.least(F.floor(F.col("finish") * STEPS), F.lit(2 * STEPS)).cast("int")
-    )
+    copies = copies.withColumn("step", F.floor(F.col("finish") * STEPS).cast("int"))
     words = sorted(copies.groupBy("step").agg(F.sum("size")).collect())
     left, cut_step = budget, None
     for step, size in words:
@@ -165,7 +166,7 @@ def _copies(n: dict, repeats: int, cut: tuple) -> Column:
         if step is None:
             got = finish.isNotNull()
         else:
-            got = F.least(F.floor(finish * STEPS), F.lit(2 * STEPS)) < step
+            got = F.floor(finish * STEPS) < step
             if last is not None:
                 same = F.floor(finish * STEPS) >= step
                 key, digest, at = F.col(n["key"]), F.col(n["hash"]), F.col(n["sum"])
@@ -232,8 +233,8 @@ WITH d AS (
          ROWS UNBOUNDED PRECEDING)::BIGINT AS run
   FROM d JOIN t USING (key)
 ), c AS (
-  SELECT doc_id, key, hash, turn, run, size, (run + turn * source_size)::DOUBLE / target AS finish
-  FROM q, (VALUES (0), (1)) x(turn) WHERE size > 0 AND target > 0
+  SELECT doc_id, key, hash, turn, run, size, (run + turn * source_size - size / 2.0::DOUBLE) / target AS finish
+  FROM q, (VALUES (0), (1)) x(turn) WHERE size > 0 AND target > 0 AND (run + turn * source_size - size / 2.0::DOUBLE) / target <= 1
 ), r AS (
   SELECT doc_id, size, sum(size) OVER (ORDER BY finish, key, hash, turn, run ROWS UNBOUNDED PRECEDING) AS reach
   FROM c

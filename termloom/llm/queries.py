@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hosts, mix, shard
+from . import counts, exact, hosts, langid, mix, records, shard, simhash
 from .common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_components(table(spark, folder, "documents")).drop("text_hash")
+
+
 def op2_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard.shard_table(table(spark, folder, "documents"))
 
@@ -17,6 +22,14 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify_languages(table(spark, folder, "documents"))
+
+
+def op7_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    return records.record_table(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     labels = table(spark, folder, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
@@ -30,11 +43,19 @@ def op9_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.mix_plan(table(spark, folder, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_histogram_shards": op2_histogram_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_token_records": op7_token_records,
     "op8_url_reputation": op8_url_reputation,
     "op9_fair_mix": op9_fair_mix,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL = {
