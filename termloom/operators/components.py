@@ -67,38 +67,30 @@ def _signature(edges: DataFrame) -> tuple:
     )
 
 
-def _alternate(stars: DataFrame, max_rounds: int) -> DataFrame:
-    stars = materialize(_small_star(stars), "stars")
-    seen = _signature(stars)
-    for _ in range(max_rounds):
-        stars = materialize(_small_star(_large_star(stars)), "stars")
-        now = _signature(stars)
-        if now == seen:
-            return stars
+def _settled(stars: DataFrame) -> DataFrame:
+    """Stars of which every node hangs on the smallest id it is connected to.
+
+    Each round at least halves the longest way to a root or shortens it to one step, so their
+    number grows with the logarithm of the largest component, not with the table.
+    """
+    seen = None
+    while (now := _signature(stars)) != seen and now[0]:
         seen = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        stars = materialize(_contract(_small_star(_large_star(stars))), "stars")
+    return stars
 
 
 def connected_components(
-    edges: DataFrame,
-    vertices: DataFrame,
-    id_column: str = "row_ord",
-    one_task_edges: int = 2_000_000,
-    max_rounds: int = 60,
+    edges: DataFrame, vertices: DataFrame, id_column: str = "row_ord"
 ) -> DataFrame:
     """Add ``component`` (smallest id reachable) to the vertices; isolated ones keep their own.
 
-    What the local contraction leaves is finished in one task if it is at most
-    ``one_task_edges`` edges (32 MB), and by rounds over all tasks if it is more.
+    Edges are contracted inside each partition first, so a round only moves stars.
     """
     stars = edges.where("src != dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     )
-    stars = materialize(_contract(stars), "stars")
-    if stars.count() <= one_task_edges:
-        stars = _contract(stars.coalesce(1))
-    else:
-        stars = _alternate(stars, max_rounds)
+    stars = _settled(materialize(_contract(stars), "stars"))
     roots = stars.select(F.col("u").alias(id_column), F.col("v").alias("_root"))
     return (
         vertices.join(roots, id_column, "left")

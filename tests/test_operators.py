@@ -234,16 +234,16 @@ def graphs():
     yield "shuffled path", 150, [
         (p[i], p[i + 1]) for p in [rng.sample(range(150), 150)] for i in range(149)
     ]
+    yield "all in one", 500, [(i, i // 3) for i in range(1, 500)]
     yield "none", 5, []
     yield "loops", 4, [(1, 1), (2, 2)]
 
 
 @pytest.mark.parametrize("name, n, pairs", list(graphs()))
-@pytest.mark.parametrize("one_task", [2_000_000, -1])
-def test_components_equal_union_find(spark, name, n, pairs, one_task):
+def test_components_equal_union_find(spark, name, n, pairs):
     edges = spark.createDataFrame(pairs, "src long, dst long").repartition(7)
     vertices = spark.range(n).withColumnRenamed("id", "row_ord")
-    got = connected_components(edges, vertices, one_task_edges=one_task)
+    got = connected_components(edges, vertices)
     want = brute.components(n, pairs)
     assert [r["component"] for r in got.orderBy("row_ord").collect()] == want
 
