@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, exact, hosts, langid, mix, records, shard, simhash
+from . import bpe, counts, exact, hosts, langid, mix, records, shard, simhash
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard.shard_table(table(spark, folder, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
@@ -50,6 +55,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_histogram_shards": op2_histogram_shards,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_token_records": op7_token_records,

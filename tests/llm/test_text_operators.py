@@ -11,7 +11,7 @@ import xxhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from termloom.llm import counts, langid, records, simhash  # noqa: E402
+from termloom.llm import bpe, counts, langid, records, simhash  # noqa: E402
 
 from . import cases  # noqa: E402
 
@@ -230,3 +230,28 @@ def test_empty_tables(spark):
     assert records.record_table(empty, public_tokenizers.path("word_bpe_49k.json")).collect() == []
     assert langid.identify_languages(empty).collect() == []
     assert langid.accepted(empty).collect() == []
+    assert bpe.encode(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect() == []
+
+
+@pytest.mark.parametrize("block_bytes", [1, 200_000, bpe.BLOCK_BYTES])
+def test_byte_bpe_matches_tiktoken(docs, rows, block_bytes):
+    import tiktoken
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding(
+        "x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={}
+    )
+    found = bpe.encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=block_bytes)
+    expected = Counter()
+    for r in rows:
+        ids = library.encode_ordinary(r["text"] or "")
+        expected[r["doc_id"], len(ids), struct.pack(f"<{len(ids)}I", *ids)] += 1
+    assert Counter((r[0], r[1], bytes(r[2])) for r in found.collect()) == expected
+
+
+def test_byte_bpe_round_trip(docs, rows):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).collect()
+    expected = Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in rows)
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in found) == expected
+    assert all(hashlib.sha256(bytes(r["ids"])).hexdigest() == r["ids_sha256"] for r in found)
