@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, hosts, langid, mix, records, shard, simhash
+from . import bpe, counts, exact, graph_ann, hosts, langid, mix, records, shard, simhash
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard.shard_table(table(spark, folder, "documents"))
 
 
+def op3_graph_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
@@ -55,6 +59,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_histogram_shards": op2_histogram_shards,
+    "op3_graph_neighbors": op3_graph_neighbors,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
