@@ -61,6 +61,22 @@ TOPIC_STOP_WORDS = [
     "the", "a", "an", "and", "of", "in", "on", "use", "choose",
 ]
 
+# English stop words that labels leave out: those of Spark ML without an apostrophe.
+LABEL_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours",
+    "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself",
+    "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which",
+    "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an",
+    "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don",
+    "should", "now", "cannot", "could", "ought", "would",
+]
+
 # Column order of the two exports.
 ROW_COLUMNS = [
     "keyword", "normalized_keyword", "cluster_id", "canonical_keyword", "topic_label",
@@ -73,6 +89,9 @@ CLUSTER_COLUMNS = [
     "cluster_quality", "opportunity_score", "keywords", "urls",
 ]
 
+# The cluster table itself; its member lists are a table of their own, in parts.
+CLUSTER_FACTS = CLUSTER_COLUMNS[:-2]
+
 # First bytes of workbook files.
 XLSX_MAGIC = "504B0304"
 XLS_MAGIC = "D0CF11E0A1B11AE1"
@@ -96,8 +115,8 @@ class Settings:
     char_ngrams: tuple[int, int] = (3, 5)
     max_word_features: int = 20_000
     max_char_features: int = 30_000
-    lean_rows: int = 10_000  # from here on: min_df 2 and float32 embeddings
-    semantic_backend: str = "svd"  # svd | column
+    min_df: int = 1  # terms in fewer rows are left out
+    precision: str = "double"  # of embeddings: float or double
     svd_components: int = 128
     svd_oversampling: int = 10
     svd_power_passes: int = 5
@@ -114,16 +133,13 @@ class Settings:
     split_on_intent: bool = True
     split_on_modifiers: bool = False
     rank_ceiling: int = 20
-    # Member lists longer than this are only given in parts (see describe.member_lists).
-    max_list_items: int = 1_000_000
 
     # Rules.
     branded_terms: tuple[str, ...] = ()
     commercial_words: tuple[str, ...] = tuple(COMMERCIAL_WORDS)
     transactional_words: tuple[str, ...] = tuple(TRANSACTIONAL_WORDS)
     navigational_words: tuple[str, ...] = tuple(NAVIGATIONAL_WORDS)
-    # None: Spark ML's English list.
-    label_stop_words: tuple[str, ...] | None = None
+    label_stop_words: tuple[str, ...] = tuple(LABEL_STOP_WORDS)
 
     def requested_columns(self) -> dict[str, str | None]:
         return {
@@ -134,9 +150,6 @@ class Settings:
             "url": self.url_column,
         }
 
-    def min_df(self, rows: int) -> int:
-        return 2 if rows >= self.lean_rows else 1
-
     def to_json(self) -> str:
         return json.dumps(dataclasses.asdict(self), sort_keys=True)
 

@@ -48,15 +48,11 @@ def tag_page_type(col: Column, intent: Column) -> Column:
 
 def tag_brand(col: Column, terms: Iterable[str]) -> Column:
     """True where a (normalized) branded term occurs anywhere, also inside a word."""
-    from pyspark.sql import SparkSession
-
-    terms = [t for t in terms if t.strip()]
-    if not terms:
-        return F.lit(False)
-    spark = SparkSession.getActiveSession()
-    rows = spark.createDataFrame([(t,) for t in terms], "term string")
-    plain = [r[0] for r in rows.select(normalize_text(F.col("term"))).collect() if r[0]]
-    return col.rlike("|".join(re.escape(t) for t in plain)) if plain else F.lit(False)
+    found = F.lit(False)
+    for term in terms:
+        plain = normalize_text(F.lit(term))
+        found = found | ((plain != "") & F.contains(col, plain))
+    return found
 
 
 def topic_root(col: Column) -> Column:

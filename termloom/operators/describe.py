@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CLUSTER_COLUMNS, DEFAULTS, ROW_COLUMNS, Settings
+from ..config import CLUSTER_COLUMNS, CLUSTER_FACTS, DEFAULTS, ROW_COLUMNS, Settings
 from ..functions.text import slug_of_ascii
 from .graph import clip01
 from .labels import single_label, topic_labels
@@ -128,42 +128,42 @@ def quality_score(
     return F.when(n == 1, SINGLE_QUALITY).otherwise(F.round(clip01(mixed), 4))
 
 
-def member_lists(rows: DataFrame) -> DataFrame:
-    """(cluster_id, part, members): members (row_ord, keyword, url) in row order, in parts.
+def member_parts(rows: DataFrame) -> DataFrame:
+    """(cluster_id, part, keywords, urls): members in row order, cut into parts.
 
     A part covers a fixed range of row numbers, so no list can outgrow it, however large the
-    cluster is.
+    cluster is. A url is listed once per cluster, where it first appears; empty ones are not.
     """
-    return rows.groupBy(
-        "cluster_id", F.floor(F.col("row_ord") / MEMBERS_PER_PART).alias("part")
-    ).agg(F.sort_array(F.collect_list(F.struct("row_ord", "keyword", "url"))).alias("members"))
+    part = F.floor(F.col("row_ord") / MEMBERS_PER_PART).alias("part")
 
-
-def whole_lists(parts: DataFrame) -> DataFrame:
-    """(cluster_id, keywords, urls): parts put together; urls distinct, without empty ones."""
-    joined = F.flatten(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("part", "members"))), lambda p: p["members"]
+    def listed(df: DataFrame, column: str, name: str) -> DataFrame:
+        found = F.sort_array(F.collect_list(F.struct("row_ord", column)))
+        return df.groupBy("cluster_id", part).agg(found.alias("m")).select(
+            "cluster_id", "part", F.col(f"m.{column}").alias(name)
         )
+
+    first = rows.where("url <> ''").groupBy("cluster_id", "url").agg(F.min("row_ord").alias("row_ord"))
+    both = listed(rows, "keyword", "keywords").join(
+        listed(first, "url", "urls"), ["cluster_id", "part"], "left"
     )
-    lists = parts.groupBy("cluster_id").agg(joined.alias("m"))
-    return lists.select(
-        "cluster_id",
-        F.col("m.keyword").alias("keywords"),
-        F.filter(F.array_distinct("m.url"), lambda u: u != "").alias("urls"),
-    )
+    none = F.array().cast("array<string>")
+    return both.withColumn("urls", F.coalesce("urls", none))
 
 
-def cluster_lists(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Member lists of the clusters up to ``max_list_items``; larger ones stay in parts."""
-    return whole_lists(member_lists(rows.where(F.col("cluster_rows") <= settings.max_list_items)))
+def whole_lists(parts: DataFrame) -> DataFrame:
+    """(cluster_id, keywords, urls): the parts of each cluster put together."""
+    inside = F.sort_array(F.collect_list(F.struct("part", "keywords", "urls")))
+    lists = parts.groupBy("cluster_id").agg(inside.alias("p"))
+    return lists.select(
+        "cluster_id", F.flatten("p.keywords").alias("keywords"), F.flatten("p.urls").alias("urls")
+    )
 
 
 def cluster_summary(
     rows: DataFrame, edges: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """The cluster table. ``rows`` are tagged keywords with cluster_id and cluster_rows,
-    ``edges`` the similarity graph between their row_ord."""
+    """The cluster table without member lists. ``rows`` are tagged keywords with cluster_id and
+    cluster_rows, ``edges`` the similarity graph between their row_ord."""
     numbers = cluster_numbers(rows, settings)
     several = rows.where("cluster_rows > 1")
     label = F.when(
@@ -173,7 +173,6 @@ def cluster_summary(
         numbers.join(cluster_modes(rows), "cluster_id")
         .join(linked_weight(edges, rows.select("row_ord", "cluster_id")), "cluster_id", "left")
         .join(topic_labels(several, settings), "cluster_id", "left")
-        .join(cluster_lists(rows, settings), "cluster_id", "left")
         .withColumn("cluster_slug", slug_of_ascii(F.col("canonical_normalized")))
         .withColumn("topic_label", F.coalesce(label, F.col("canonical_keyword")))
         .withColumn(
@@ -185,7 +184,7 @@ def cluster_summary(
                 F.col("modifier_share"),
             ),
         )
-        .select(*CLUSTER_COLUMNS)
+        .select(*CLUSTER_FACTS)
     )
 
 
@@ -212,8 +211,10 @@ def export_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def export_clusters(clusters: DataFrame) -> DataFrame:
-    return clusters.select(*CLUSTER_COLUMNS)
+def export_clusters(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per cluster with its whole lists, which have to fit in a row; the sinks store
+    the parts instead."""
+    return clusters.join(whole_lists(members), "cluster_id").select(*CLUSTER_COLUMNS)
 
 
 def order_rows(rows: DataFrame) -> DataFrame:
@@ -246,5 +247,5 @@ def summary(clusters: DataFrame) -> DataFrame:
         clustered.alias("clustered_keywords"),
         (total - clustered).alias("unclustered_keywords"),
         F.coalesce(F.round(F.avg("cluster_quality"), 4), F.lit(0.0)).alias("avg_cluster_quality"),
-        F.max_by(F.struct(*CLUSTER_COLUMNS), rank).alias("top_cluster"),
+        F.max_by(F.struct(*CLUSTER_FACTS), rank).alias("top_cluster"),
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +13,6 @@ LABEL_TERMS = 3
 SINGLE_WORDS = 4
 
 
-@functools.cache
-def default_stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop words that can occur in a normalized keyword."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(w for w in StopWordsRemover.loadDefaultStopWords("english") if "'" not in w)
-
-
-def label_stop_words(settings: Settings = DEFAULTS) -> tuple[str, ...]:
-    return default_stop_words() if settings.label_stop_words is None else settings.label_stop_words
-
-
 def _without(words: Column, stop: tuple[str, ...]) -> Column:
     listed = word_list(stop)
     return F.filter(words, lambda w: ~F.array_contains(listed, w))
@@ -34,7 +20,7 @@ def _without(words: Column, stop: tuple[str, ...]) -> Column:
 
 def single_label(keyword: Column, settings: Settings = DEFAULTS) -> Column:
     """First four words that are no stop words in title case; null when none is left."""
-    words = _without(F.split(keyword, " "), label_stop_words(settings))
+    words = _without(F.split(keyword, " "), settings.label_stop_words)
     return F.when(
         F.size(words) > 0, title_case(F.array_join(F.slice(words, 1, SINGLE_WORDS), " "))
     )
@@ -43,12 +29,13 @@ def single_label(keyword: Column, settings: Settings = DEFAULTS) -> Column:
 def cluster_term_weights(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(cluster_id, term, weight): summed TF-IDF of uni- and bigrams inside each cluster.
 
-    Each cluster is its own corpus and each row has unit length. Counts per cluster are
-    combined map-side and joined back, so a term shared by a very large cluster is spread out.
+    Each cluster is its own corpus and each row has unit length. Counts per cluster are combined
+    map-side and joined back; a term that all rows of a very large cluster share is a hot key of
+    that join, whose partition adaptive execution splits.
     ``rows`` carry cluster_rows (see split.with_cluster_rows).
     """
     terms = token_ngrams(
-        _without(word_tokens(F.col("normalized_keyword")), label_stop_words(settings)), 1, 2
+        _without(word_tokens(F.col("normalized_keyword")), settings.label_stop_words), 1, 2
     )
     counts = (
         rows.select("cluster_id", "cluster_rows", "row_ord", F.explode(terms).alias("term"))

@@ -73,7 +73,7 @@ def lexical_features(
         terms = f"{block}_terms"
         df = df.withColumn(terms, analyse(block, F.col("normalized_keyword"), settings))
         stats = term_statistics(df, terms)
-        vocabulary = cap_vocabulary(stats, cap, settings.min_df(rows)).collect()
+        vocabulary = cap_vocabulary(stats, cap, settings.min_df).collect()
         if not vocabulary:
             continue
         model = CountVectorizerModel.from_vocabulary(

@@ -125,7 +125,6 @@ def svd_embed(
     With fewer than two components to be had, the stacked feature rows are the embedding.
     """
     components = min(settings.svd_components, rows - 1, size - 1)
-    lean = rows >= settings.lean_rows
     tasks = features.rdd.getNumPartitions()
     directions = (
         np.eye(size)
@@ -152,7 +151,7 @@ def svd_embed(
     embedded = features.select("row_ord", "fids", "weights").mapInArrow(
         work, "row_ord long, embedding array<double>"
     )
-    return set_precision(embedded, "float" if lean else "double")
+    return set_precision(embedded, settings.precision)
 
 
 def matrix_to_lists(matrix: np.ndarray) -> pa.Array:

@@ -12,16 +12,17 @@ from .ordinals import with_dense_ordinal
 def split_groups(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per sub-group of a component: first_ord (its first row), size and ``keeper``.
 
-    The sub-group that is seen first in a component keeps the component's number.
+    The sub-group that is seen first in a component keeps the component's number. It is found by
+    an aggregate and marked by a join on all keys, so no key holds a component's sub-groups.
     """
     keys = split_keys(settings)
     groups = rows.groupBy("component", *keys).agg(
         F.min("row_ord").alias("first_ord"), F.count(F.lit(1)).alias("cluster_rows")
     )
-    first = groups.groupBy("component").agg(F.min("first_ord").alias("component_ord"))
-    return groups.join(first, "component").withColumn(
-        "keeper", F.col("first_ord") == F.col("component_ord")
-    )
+    first = groups.groupBy("component").agg(F.min(F.struct("first_ord", *keys)).alias("k"))
+    first = first.select("component", "k.*").drop("first_ord").withColumn("keeper", F.lit(True))
+    marked = groups.join(first, ["component", *keys], "left")
+    return marked.withColumn("keeper", F.coalesce("keeper", F.lit(False)))
 
 
 def split_keys(settings: Settings = DEFAULTS) -> list[str]:
@@ -33,12 +34,12 @@ def split_keys(settings: Settings = DEFAULTS) -> list[str]:
 def post_split(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Replace ``component`` by a dense ``cluster_id``, with the cluster's size ``cluster_rows``.
 
-    Components count up in order of their first row; the further sub-groups follow in order of
-    (component, first row).
+    Components count up in their order (they are named by their first row); the further
+    sub-groups follow in order of (component, first row).
     """
     keys = split_keys(settings)
     groups = split_groups(rows, settings).withColumn("later", ~F.col("keeper"))
-    numbered = with_dense_ordinal(groups, ["later", "component_ord", "first_ord"], "cluster_id")
+    numbered = with_dense_ordinal(groups, ["later", "component", "first_ord"], "cluster_id")
     on = ["component", *keys]
     return rows.join(numbered.select(*on, "cluster_id", "cluster_rows"), on).drop("component")
 

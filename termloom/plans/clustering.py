@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from ..config import DEFAULTS, Settings
 from ..errors import InputError
 from ..operators.components import connected_components
-from ..operators.describe import attach_clusters, cluster_summary, summary
+from ..operators.describe import attach_clusters, cluster_summary, member_parts, summary
 from ..operators.graph import candidate_pairs, hybrid_edges, lexical_similarity
 from ..operators.lexical import lexical_features
 from ..operators.neighbors import knn_join
@@ -21,10 +21,12 @@ from ..storage import materialize, spread_small
 
 @dataclass(frozen=True)
 class ClusteringResult:
-    """Tables of one run. ``rows`` also keeps the row-level tags and ``row_ord``."""
+    """Tables of one run. ``rows`` also keeps the row-level tags and ``row_ord``; ``members`` are
+    the clusters' keyword and url lists in parts."""
 
     rows: DataFrame
     clusters: DataFrame
+    members: DataFrame
     summary: DataFrame
     edges: DataFrame
     column_mapping: dict[str, str | None]
@@ -53,7 +55,8 @@ def cluster_keywords(
     """Cluster a keyword table.
 
     ``row_ord`` names the column that gives the row order. ``embeddings`` (row_ord, embedding)
-    replaces the SVD when given, joined by the first row number of each distinct keyword.
+    replaces the SVD when given, joined by the first row number of each distinct keyword. Other
+    ids are left out; a keyword without an embedding is an error.
     """
     detected = list(df.columns)
     prepared, mapping = prepare_keywords(df, settings, row_ord)
@@ -64,6 +67,14 @@ def cluster_keywords(
             "NO_KEYWORDS", "No usable keywords in the mapped column.",
             keyword_column=mapping["keyword"],
         )
+    if embeddings is not None:
+        kept = prepared.select("row_ord")
+        embeddings = materialize(embeddings.join(kept, "row_ord", "left_semi"), "embeddings")
+        missing = kept.join(embeddings.where("embedding IS NOT NULL"), "row_ord", "left_anti").count()
+        if missing:
+            raise InputError(
+                "EMBEDDINGS_MISSING", f"{missing} of {rows} keywords have no embedding.", missing=missing
+            )
     edges = materialize(similarity_graph(prepared, rows, settings, embeddings), "edges")
     labelled = connected_components(edges, prepared)
     labelled = spread_small(post_split(labelled, settings), rows, "row_ord")
@@ -72,6 +83,7 @@ def cluster_keywords(
     return ClusteringResult(
         rows=attach_clusters(labelled, clusters),
         clusters=clusters,
+        members=member_parts(labelled),
         summary=summary(clusters),
         edges=edges,
         column_mapping=mapping,

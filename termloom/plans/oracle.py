@@ -8,15 +8,58 @@ from __future__ import annotations
 
 import re
 
-from ..config import (
-    COMMERCIAL_WORDS,
-    JUNK_STRINGS,
-    MODIFIER_WORDS,
-    NAVIGATIONAL_WORDS,
-    TOPIC_STOP_WORDS,
-    TRANSACTIONAL_WORDS,
-)
-from ..operators.labels import default_stop_words
+# The rules' fixed word lists, written out here so that the SQL does not follow the library's.
+JUNK_STRINGS = [
+    "", "nan", "none", "null", "n/a", "na", "-", "--",
+]
+COMMERCIAL_WORDS = [
+    "best", "top", "compare", "comparison", "review", "alternatives?", "vs",
+]
+TRANSACTIONAL_WORDS = [
+    "buy", "price", "cost", "pricing", "quote", "demo", "trial", "deal", "discount",
+]
+NAVIGATIONAL_WORDS = [
+    "login", "sign in", "official", "docs", "homepage",
+]
+TOPIC_STOP_WORDS = [
+    "best", "top", "free", "review", "reviews", "vs", "versus", "compare", "comparison",
+    "pricing", "price", "cost", "how", "guide", "tutorial", "what", "is", "to", "for", "the",
+    "a", "an", "and", "of", "in", "on", "use", "choose",
+]
+LABEL_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours",
+    "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself",
+    "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which",
+    "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an",
+    "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don",
+    "should", "now", "cannot", "could", "ought", "would",
+]
+MODIFIER_WORDS = {
+    "best": [
+        "best", "top",
+    ],
+    "compare": [
+        "vs", "versus", "compare", "comparison",
+    ],
+    "review": [
+        "review", "reviews",
+    ],
+    "alternatives": [
+        "alternatives?",
+    ],
+    "pricing": [
+        "pricing", "price", "cost",
+    ],
+    "learn": [
+        "how", "guide", "tutorial",
+    ],
+}
 
 
 def listed(words) -> str:
@@ -233,7 +276,7 @@ CTES["words"] = """
     SELECT *, min(row_ord) OVER (PARTITION BY string_split(topic_root, ' ')[1]) AS component
     FROM prep)"""
 def without_stops(tokens: str) -> str:
-    return f"list_filter({tokens}, lambda w: NOT list_contains([{listed(default_stop_words())}], w))"
+    return f"list_filter({tokens}, lambda w: NOT list_contains([{listed(LABEL_STOP_WORDS)}], w))"
 
 
 def label_steps() -> dict[str, str]:
@@ -341,12 +384,12 @@ def post_split(source: str, groups: str, keys: str) -> str:
             AS later FROM {groups}) USING (component, {keys}))"""
 
 
-# The whole run on catalog keywords that come with an embedding.
+# The whole run on all catalog keywords, with embeddings that come round in turn.
 EXTERNAL = {
-    "kw_parts": part_keywords("(p_name || ' ' || lower(p_type) || ' ' || p_brand)").replace(
-        "FROM part ", "FROM part JOIN embeddings ON vec_id = p_partkey "
-    ),
-    "vec": "SELECT row_ord, embedding FROM embeddings JOIN prep ON row_ord = vec_id",
+    "kw_parts": part_keywords("(p_name || ' ' || lower(p_type) || ' ' || p_brand)"),
+    "vec": """
+      SELECT row_ord, embedding FROM prep
+      JOIN embeddings ON vec_id = row_ord % (SELECT count(*) FROM embeddings)""",
     **tfidf(20_000, 30_000),
     "to_score": "SELECT src, dst FROM pairs",
     "vedges": """
@@ -441,7 +484,9 @@ def oracle_queries() -> dict[str, str]:
         count(*) > 0 AS passed FROM kw_phrases
       UNION ALL
       SELECT 'has_keywords', 'NO_KEYWORDS', count(*) - count(*) FILTER ({usable}),
-        count(*) FILTER ({usable}) > 0 FROM kw_phrases""")
+        count(*) FILTER ({usable}) > 0 FROM kw_phrases
+      UNION ALL SELECT 'has_keyword_column', 'KEYWORD_COLUMN_NOT_FOUND', 0, true
+      UNION ALL SELECT 'files_parse', 'UNPARSEABLE_FILE', 0, true""")
 
     q["p01_normalize_text"] = build(
         f"SELECT row_ord, {normal('keyword')} AS normalized_keyword FROM kw_phrases"
@@ -513,11 +558,11 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT term, df FROM ({char_stats}) WHERE df >= 20 ORDER BY tf DESC, term LIMIT 30000"
     )
     q["v05_tfidf"] = build(
-        "SELECT row_ord, term, round(weight, 6) AS weight FROM t_unit WHERE block = 'word'", full
+        "SELECT row_ord, block, term, round(weight, 6) AS weight FROM t_unit", full
     )
     q["v06_stack_blocks"] = build(
         """SELECT row_ord, block, count(*) AS terms, round(sum(weight), 6) AS weight
-        FROM t_unit GROUP BY row_ord, block""", tfidf(40, 60))
+        FROM t_unit GROUP BY row_ord, block""", full)
     q["v07_unit_rows"] = build(
         """SELECT row_ord, block, term, round(weight / sqrt(sum(weight * weight)
           OVER (PARTITION BY row_ord)), 6) AS weight FROM t_unit""", full)
@@ -527,11 +572,13 @@ def oracle_queries() -> dict[str, str]:
           (SELECT count(*) FROM t_vocab) - 1) AS size, CAST(1.0 AS DOUBLE) AS length
         FROM prep""", full)
     q["v09_embed_external"] = build(
-        "SELECT row_ord, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM vec"
+        """SELECT row_ord, i AS place, round(CAST(embedding[i] AS DOUBLE), 5) AS value
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM vec)"""
     )
     q["v10_precision"] = build("""
-      SELECT row_ord, 'array<float>' AS type, round(CAST(embedding[2] AS DOUBLE), 5) AS second
-      FROM vec""")
+      SELECT row_ord, 'array<float>' AS type, i AS place,
+        round(CAST(embedding[i] AS DOUBLE), 5) AS value
+      FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM vec)""")
 
     q["j01_knn_join"] = build("SELECT src, dst, rank, round(sim, 6) AS sim FROM near")
     whole = cosine("a.embedding", "b.embedding")
@@ -558,8 +605,7 @@ def oracle_queries() -> dict[str, str]:
           canonical_keyword = keyword AS is_canonical, is_clustered
         FROM ({attached}) WHERE keyword_count > 1""", *steps)
     q["j09_vocabulary_join"] = build(
-        "SELECT term, count(*) AS rows FROM t_unit WHERE block = 'word' GROUP BY term",
-        tfidf(50, 1))
+        "SELECT block, term, count(*) AS rows FROM t_unit GROUP BY block, term", full)
 
     q["a01_dedupe_keywords"] = build(f"""
       SELECT row_ord, keyword, normalized_keyword, {six('volume', 'difficulty', 'position')}, url
@@ -646,11 +692,12 @@ def oracle_queries() -> dict[str, str]:
       FROM prep, (VALUES ('u1'), ('u2')) AS u(upload_id) GROUP BY upload_id""")
     q["k02_write_json"] = build(
         """SELECT cluster_id, canonical_keyword, round(total_volume, 6) AS total_volume,
-          round(p, 4) AS avg_rank FROM numbers""")
+          round(p, 4) AS avg_rank, CAST(13 AS BIGINT) AS keys FROM numbers""")
     q["k03_persist_results"] = build("""
       SELECT cluster_id AS cluster_index, keyword_count, keyword_count AS stored,
         (SELECT count(*) FROM topics WHERE topics.cluster_id = numbers.cluster_id
-           AND keyword = canonical_keyword) AS canonical, 'Fair' AS quality_label FROM numbers""")
+           AND keyword = canonical_keyword) AS canonical, 'Fair' AS quality_label,
+        keyword_count AS listed, 'complete' AS status FROM numbers""")
     q["k04_pending_runs"] = """
       SELECT DISTINCT sha256(text) AS run_key FROM documents WHERE sha256(text) NOT IN (
         SELECT sha256(text) FROM documents JOIN labels USING (doc_id))"""

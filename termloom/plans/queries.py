@@ -19,9 +19,9 @@ from ..operators.components import connected_components
 from ..operators.neighbors import knn_join
 from ..sinks import tables as sinks
 from ..sources import files, roles
-from ..storage import scratch_folder
+from ..storage import materialize, scratch_folder
 from . import views
-from .clustering import cluster_keywords
+from .clustering import ClusteringResult, cluster_keywords
 
 BRANDS = ("Gear", "bolt", "Brand#1")
 # The embeddings have few similar pairs, so their graph is built at a lower threshold.
@@ -63,13 +63,29 @@ def no_edges(spark: SparkSession) -> DataFrame:
 
 
 def topic_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return describe.cluster_summary(topic_rows(spark, folder), no_edges(spark))
+    rows = materialize(topic_rows(spark, folder), "topics")
+    return describe.cluster_summary(rows, no_edges(spark))
+
+
+def topic_run(spark: SparkSession, folder: str) -> ClusteringResult:
+    """A run's tables, with topics in place of the graph's clusters."""
+    rows = materialize(topic_rows(spark, folder), "topics")
+    clusters = materialize(describe.cluster_summary(rows, no_edges(spark)), "clusters")
+    return ClusteringResult(
+        rows=describe.attach_clusters(rows, clusters),
+        clusters=clusters,
+        members=describe.member_parts(rows),
+        summary=describe.summary(clusters),
+        edges=no_edges(spark),
+        column_mapping=MAPPING,
+        columns_detected=["row_ord", *MAPPING],
+        settings=Settings(),
+    )
 
 
 def topic_result(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = topic_rows(spark, folder)
-    clusters = describe.cluster_summary(rows, no_edges(spark))
-    return describe.attach_clusters(rows, clusters), clusters
+    run = topic_run(spark, folder)
+    return run.rows, run.clusters
 
 
 def features(spark: SparkSession, folder: str, **limits) -> tuple[DataFrame, list]:
@@ -169,15 +185,13 @@ def s6_roles(spark, folder):
 
 def s7_preview(spark, folder):
     df = parts(spark, folder)
-    facts = roles.preview(df.orderBy("row_ord"))
-    out = spark.createDataFrame(
-        [(r["row_ord"], r["keyword"]) for r in facts["sample_rows"]], "row_ord long, keyword string"
-    )
-    return out.select("*", F.lit(facts["row_count"]).cast("long").alias("row_count"))
+    first = roles.preview_rows(df, "row_ord")
+    return first.select("row_ord", "keyword", F.lit(df.count()).cast("long").alias("row_count"))
 
 
 def s8_checks(spark, folder):
-    return roles.input_checks(views.kw_phrases(spark, folder), "keyword")
+    profile = files.profile_files(spark, written_exports(spark, folder))
+    return roles.input_checks(views.kw_phrases(spark, folder), "keyword", profile)
 
 
 # Projections and filters --------------------------------------------------------------------
@@ -280,7 +294,8 @@ def p15_export_rows(spark, folder):
 
 
 def p16_export_clusters(spark, folder):
-    out = describe.export_clusters(topic_clusters(spark, folder))
+    run = topic_run(spark, folder)
+    out = describe.export_clusters(run.clusters, run.members)
     return out.withColumns(
         {"keywords": F.array_join("keywords", "|"), "urls": F.array_join("urls", "|")}
     )
@@ -293,9 +308,11 @@ def p17_title(spark, folder):
 
 
 def p18_records(spark, folder):
-    rows, clusters = topic_result(spark, folder)
-    out = sinks.cluster_records(clusters, "upload-1", "project-1")
-    return out.drop("id").withColumns(
+    run = topic_run(spark, folder)
+    out = sinks.cluster_records(run.clusters, "upload-1", "project-1")
+    lists = describe.whole_lists(sinks.member_records(run.members, "upload-1"))
+    out = out.join(lists, F.col("id") == F.col("cluster_id"))
+    return out.drop("id", "cluster_id").withColumns(
         {"keywords": F.array_join("keywords", "|"), "urls": F.array_join("urls", "|")}
     )
 
@@ -335,13 +352,11 @@ def named_weights(spark, rows, terms):
 
 def v5_tfidf(spark, folder):
     rows, terms = features(spark, folder)
-    return named_weights(spark, rows, terms).where("block = 'word'").select(
-        "row_ord", "term", *r6("weight")
-    )
+    return named_weights(spark, rows, terms).select("row_ord", "block", "term", *r6("weight"))
 
 
 def v6_stack(spark, folder):
-    rows, terms = features(spark, folder, max_word_features=40, max_char_features=60)
+    rows, terms = features(spark, folder)
     weights = named_weights(spark, rows, terms)
     return weights.groupBy("row_ord", "block").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight")
@@ -366,16 +381,24 @@ def v8_svd(spark, folder):
 
 
 def v9_external(spark, folder):
-    return semantic.embed_external(views.vectors(spark, folder), "embedding").select(
-        "row_ord", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first")
+    vectors = semantic.embed_external(views.vectors(spark, folder), "embedding")
+    return vectors.select("row_ord", F.posexplode("embedding").alias("at", "value")).select(
+        "row_ord", *component_columns()
     )
 
 
+def component_columns() -> list:
+    return [
+        (F.col("at") + 1).cast("long").alias("place"),
+        F.round(F.col("value").cast("double"), 5).alias("value"),
+    ]
+
+
 def v10_precision(spark, folder):
     lean = semantic.set_precision(views.vectors(spark, folder), "float")
-    return lean.select(
-        "row_ord", F.typeof("embedding").alias("type"),
-        F.round(F.element_at("embedding", 2).cast("double"), 5).alias("second"),
+    kind = F.typeof("embedding").alias("type")
+    return lean.select("row_ord", kind, F.posexplode("embedding").alias("at", "value")).select(
+        "row_ord", "type", *component_columns()
     )
 
 
@@ -449,9 +472,9 @@ def j8_surrogate(spark, folder):
 
 
 def j9_vocabulary(spark, folder):
-    rows, terms = features(spark, folder, max_word_features=50, max_char_features=1)
-    weights = named_weights(spark, rows, terms).where("block = 'word'")
-    return weights.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    rows, terms = features(spark, folder)
+    weights = named_weights(spark, rows, terms)
+    return weights.groupBy("block", "term").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # Aggregations -------------------------------------------------------------------------------
@@ -543,11 +566,11 @@ def a12_totals(spark, folder):
 
 
 def a13_summary(spark, folder):
-    return topic_clusters(spark, folder).drop("keywords", "urls")
+    return topic_clusters(spark, folder)
 
 
 def a14_lists(spark, folder):
-    lists = describe.cluster_lists(topic_rows(spark, folder))
+    lists = describe.whole_lists(describe.member_parts(topic_rows(spark, folder)))
     return lists.select(
         "cluster_id",
         F.array_join("keywords", "|").alias("keywords"),
@@ -573,8 +596,11 @@ def a16_terms(spark, folder):
 
 
 def w1_ordinal(spark, folder):
+    """Files written in order of the keyword; rows are numbered as they arrive from them."""
+    path = scratch(spark, "arrival")
     rows = views.kw_phrases(spark, folder).select("row_ord", "keyword")
-    numbered = ordinals.with_dense_ordinal(rows, ["keyword", "row_ord"], "place")
+    rows.orderBy("keyword", "row_ord").write.parquet(path)
+    numbered = ordinals.with_input_ordinal(spark.read.parquet(path), "place")
     return numbered.select("row_ord", "place")
 
 
@@ -649,27 +675,36 @@ def k1_export(spark, folder):
 
 
 def k2_json(spark, folder):
-    path = scratch(spark, "clusters")
-    sinks.write_export(topic_clusters(spark, folder), path, "json")
-    back = spark.read.json(path)
-    return back.select("cluster_id", "canonical_keyword", *r6("total_volume"), "avg_rank")
+    path = scratch(spark, "result")
+    run = topic_run(spark, folder)
+    sinks.write_result_json(run, path)
+    fields = "cluster_id long, canonical_keyword string, total_volume double, avg_rank double"
+    back = spark.read.text(f"{path}/clusters").select(
+        F.from_json("value", fields).alias("c"),
+        F.size(F.json_object_keys("value")).cast("long").alias("keys"),
+    )
+    return back.select("c.*", "keys").withColumn("total_volume", F.round("total_volume", 6))
 
 
 def k3_persist(spark, folder):
-    rows, clusters = topic_result(spark, folder)
+    run = topic_run(spark, folder)
     base = scratch(spark, "store")
-    records = sinks.cluster_records(clusters, "u1", "p1").drop("upload_id")
     for _ in range(2):  # running it again must not duplicate anything
-        sinks.write_export(records, f"{base}/clusters", upload_id="u1")
-        sinks.write_export(
-            sinks.keyword_records(rows, clusters, "u1"), f"{base}/keywords", upload_id="u1"
-        )
-    keywords = spark.read.parquet(f"{base}/keywords").groupBy("cluster_id").agg(
+        sinks.persist_results(run, base, "u1", "p1")
+    keywords = spark.read.parquet(f"{base}/cluster_keywords").groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("stored"), F.count_if("is_canonical").alias("canonical")
     )
-    stored = spark.read.parquet(f"{base}/clusters")
-    return stored.join(keywords, stored["id"] == keywords["cluster_id"]).select(
-        "cluster_index", "keyword_count", "stored", "canonical", "quality_label"
+    members = spark.read.parquet(f"{base}/cluster_members").groupBy("cluster_id").agg(
+        F.sum(F.size("keywords")).alias("listed")
+    )
+    status = spark.read.parquet(f"{base}/uploads")
+    stored = spark.read.parquet(f"{base}/clusters").join(status, "upload_id")
+    stored = stored.withColumnRenamed("id", "key")
+    return (
+        stored.join(keywords, F.col("key") == keywords["cluster_id"]).drop("cluster_id")
+        .join(members, F.col("key") == members["cluster_id"])
+        .select("cluster_index", "keyword_count", "stored", "canonical", "quality_label", "listed",
+                "status")
     )
 
 
@@ -704,7 +739,7 @@ def k6_guard(spark, folder):
 
 def r1_topics(spark, folder):
     """Opportunities by topic: the whole run with (intent, topic root) as the cluster."""
-    return describe.order_clusters(topic_clusters(spark, folder)).drop("keywords", "urls")
+    return describe.order_clusters(topic_clusters(spark, folder))
 
 
 def r2_keyword_clusters(spark, folder):
@@ -720,11 +755,12 @@ def r3_keyword_rows(spark, folder):
 
 def r4_external(spark, folder):
     """The whole run with embeddings that come from a column instead of the SVD."""
-    vec = views.vectors(spark, folder)
-    df = views.kw_catalog(spark, folder).join(vec.select("row_ord"), "row_ord", "left_semi")
-    kept = prepare.prepare_keywords(df, row_ord="row_ord")[0].select("row_ord")
-    result = cluster_keywords(df, row_ord="row_ord", embeddings=vec.join(kept, "row_ord"))
-    return result.clusters.withColumns(
+    vec = views.vectors(spark, folder).withColumnRenamed("row_ord", "turn")
+    df = views.kw_catalog(spark, folder)
+    turns = df.select("row_ord", (F.col("row_ord") % vec.count()).alias("turn"))
+    embeddings = turns.join(vec, "turn").select("row_ord", "embedding")
+    result = cluster_keywords(df, row_ord="row_ord", embeddings=embeddings)
+    return describe.export_clusters(result.clusters, result.members).withColumns(
         {"keywords": F.array_join("keywords", "|"), "urls": F.array_join("urls", "|")}
     )
 

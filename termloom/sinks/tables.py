@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import formula_guard, json_safe
-from ..operators.describe import export_clusters, export_rows, order_clusters
+from ..operators.describe import export_rows, order_clusters
 from ..plans.clustering import ClusteringResult
 
 ENGINE = "termloom-1"
@@ -41,7 +41,10 @@ def write_export(
     if upload_id is not None:
         writer = df.withColumn("upload_id", F.lit(upload_id)).write.partitionBy("upload_id")
         writer = writer.option("partitionOverwriteMode", "dynamic")
-    options = {"header": True, "escape": '"'} if fmt == "csv" else {}
+    options = {
+        "csv": {"header": True, "escape": '"'},
+        "json": {"ignoreNullFields": False},  # every record has every key
+    }.get(fmt, {})
     writer.mode("overwrite").format(fmt).options(**options).save(path)
 
 
@@ -52,13 +55,16 @@ def write_rows(result: ClusteringResult, path: str, fmt: str = "parquet", upload
 def write_clusters(
     result: ClusteringResult, path: str, fmt: str = "parquet", upload_id=None
 ) -> None:
-    write_export(export_clusters(result.clusters), path, fmt, upload_id)
+    """The cluster table under ``clusters``, the member lists in parts under ``members``."""
+    write_export(result.clusters, f"{path}/clusters", fmt, upload_id)
+    write_export(result.members, f"{path}/members", fmt, upload_id)
 
 
 def write_result_json(result: ClusteringResult, path: str) -> None:
-    """Strict JSON lines: ``clusters`` and ``rows``, and one ``manifest`` record with the
-    summary, column mapping and detected columns."""
-    write_export(order_clusters(export_clusters(result.clusters)), f"{path}/clusters", "json")
+    """Strict JSON lines: ``clusters``, ``members`` and ``rows``, and one ``manifest`` record with
+    the summary, column mapping and detected columns."""
+    write_export(order_clusters(result.clusters), f"{path}/clusters", "json")
+    write_export(result.members, f"{path}/members", "json")
     write_export(export_rows(result.rows), f"{path}/rows", "json")
     manifest = json_safe(result.summary).select(
         F.struct("*").alias("summary"),
@@ -77,7 +83,7 @@ def surrogate_key(upload_id: str, cluster_id: Column) -> Column:
 def cluster_records(
     clusters: DataFrame, upload_id: str, project_id: str, job_id: str | None = None
 ) -> DataFrame:
-    """Cluster table in its stored form, with defaults for what is missing."""
+    """Cluster table in its stored form, with defaults for what is missing; lists are apart."""
     index = F.col("cluster_id")
     nonempty = lambda c: F.nullif(F.col(c), F.lit(""))
     return clusters.select(
@@ -104,11 +110,15 @@ def cluster_records(
         F.coalesce("opportunity_score", F.lit(0.0)).alias("opportunity_score"),
         F.coalesce("cluster_quality", F.lit(0.0)).alias("quality_score"),
         F.lit("Fair").alias("quality_label"),
-        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
-        F.coalesce("urls", F.array().cast("array<string>")).alias("urls"),
     )
 
 
+def member_records(members: DataFrame, upload_id: str) -> DataFrame:
+    """Member lists in their stored form: parts keyed to their cluster."""
+    key = surrogate_key(upload_id, F.col("cluster_id"))
+    return members.select(key.alias("cluster_id"), "part", "keywords", "urls")
+
+
 def keyword_records(rows: DataFrame, clusters: DataFrame, upload_id: str) -> DataFrame:
     """Row table in its stored form, keyed to its cluster; rows without a cluster are left out."""
     known = clusters.select("cluster_id")
@@ -137,14 +147,16 @@ def persist_results(
     project_id: str,
     job_id: str | None = None,
 ) -> None:
-    """Store one upload's clusters and keywords; running it again replaces them.
+    """Store one upload's clusters, member lists and keywords; running it again replaces them.
 
-    Both tables are partitioned by upload and only this upload's partition is overwritten. The
+    The tables are partitioned by upload and only this upload's partition is overwritten. The
     status is written last, so it never claims more than is there.
     """
     rows, clusters = json_safe(result.rows), json_safe(result.clusters)
     records = cluster_records(clusters, upload_id, project_id, job_id).drop("upload_id")
     write_export(records, f"{base}/clusters", upload_id=upload_id)
+    members = member_records(json_safe(result.members), upload_id)
+    write_export(members, f"{base}/cluster_members", upload_id=upload_id)
     write_export(keyword_records(rows, clusters, upload_id), f"{base}/cluster_keywords",
                  upload_id=upload_id)
     status = result.summary.sparkSession.createDataFrame([("complete",)], "status string")

@@ -19,8 +19,8 @@ from .roles import clean_header
 
 SNIFF_CHARS = 65_536
 DELIMITERS = ",\t;|"
-# Files above this size are reported, not profiled; the binary file source holds one in memory.
-MAX_FILE_BYTES = 1 << 30
+# The binary file source cannot hold more of a file in a row; larger files are reported.
+MAX_FILE_BYTES = (1 << 31) - 1
 # Encodings Spark reads itself; text in others is split as bytes and decoded afterwards.
 _SPARK_CHARSETS = {
     "ascii": "us-ascii", "utf-8": "utf-8", "utf-8-sig": "utf-8", "latin-1": "iso-8859-1",
@@ -140,7 +140,10 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
                 elif row["kind"] != "text":
                     row["error_code"] = "WORKBOOK_NOT_SUPPORTED"
                 else:
-                    row |= _describe(content)
+                    try:
+                        row |= _describe(content)
+                    except (csv.Error, LookupError, UnicodeError):
+                        row["error_code"] = "UNPARSEABLE_FILE"
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=_PROFILE)
 
@@ -148,6 +151,11 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
     return profiled.unionByName(large.unionByName(empty), allowMissingColumns=True)
 
 
+def unreadable_files(profile: DataFrame) -> DataFrame:
+    """(path, error_code) of the files that a read leaves out or fails on."""
+    return profile.where("error_code IS NOT NULL").select("path", "error_code")
+
+
 def header_names(header: list[str]) -> list[str]:
     """Usable column names: cleaned, empty ones numbered, repeats told apart."""
     names: list[str] = []
@@ -197,9 +205,12 @@ def _read_group(spark: SparkSession, paths: list[str], layout) -> DataFrame:
 
 
 def read_keyword_exports(
-    spark: SparkSession, path: str, profile: DataFrame | None = None
+    spark: SparkSession, path: str, profile: DataFrame | None = None, on_error: str = "raise"
 ) -> DataFrame:
-    """All readable text exports under a path as one table of string columns.
+    """All text exports under a path as one table of string columns.
+
+    A file that cannot be read is an error, which lists all of them. With ``on_error="skip"`` the
+    others are read all the same; ``unreadable_files`` of the profile says which were not.
 
     Files of the same layout are read by one scan, in parallel and splittable unless quoted line
     breaks or a wide encoding forbid it. Rows with more fields than the header are dropped,
@@ -214,9 +225,10 @@ def read_keyword_exports(
             continue
         layout = (r["encoding"], r["delimiter"], tuple(r["header"]), r["multiline"])
         layouts.setdefault(layout, []).append(r["path"])
+    if errors and (on_error == "raise" or not layouts):
+        raise InputError(errors[0][1], f"{len(errors)} files cannot be read.", files=errors)
     if not layouts:
-        code = errors[0][1] if errors else "NO_ROWS"
-        raise InputError(code, "No readable keyword export found.", files=errors)
+        raise InputError("NO_ROWS", "No keyword export found.", files=[])
     tables = [_read_group(spark, paths, layout) for layout, paths in layouts.items()]
     table = tables[0]
     for other in tables[1:]:

@@ -62,13 +62,23 @@ def preview(df: DataFrame, requested: Mapping_ | None = None, rows: int = 20) ->
     }
 
 
-def input_checks(df: DataFrame, keyword_column: str) -> DataFrame:
+def preview_rows(df: DataFrame, order: str, rows: int = 20) -> DataFrame:
+    """The first rows in an order, JSON-safe."""
+    return json_safe(df.orderBy(order).limit(rows))
+
+
+def input_checks(
+    df: DataFrame, keyword_column: str, profile: DataFrame | None = None
+) -> DataFrame:
     """One row per expectation on the input: check, code, failed_rows, passed.
 
-    All counts come from a single pass over the input.
+    All counts of rows come from a single pass over the input. With the profile of the files it
+    was read from, the files that cannot be read are counted too (``failed_rows`` are files).
     """
     filled = functools.reduce(operator.or_, (F.col(f"`{c}`").isNotNull() for c in df.columns))
-    keyword = strip_text(F.col(f"`{keyword_column}`").cast("string"))
+    there = keyword_column in df.columns
+    keyword = F.col(f"`{keyword_column}`") if there else F.lit(None)
+    keyword = strip_text(keyword.cast("string"))
     usable = F.coalesce(~is_junk(F.col("kw")) & (normalize_text(F.col("kw")) != ""), F.lit(False))
     counts = (
         df.select(filled.alias("filled"), keyword.alias("kw"))
@@ -90,8 +100,23 @@ def input_checks(df: DataFrame, keyword_column: str) -> DataFrame:
             (F.col("rows") - F.col("usable")).alias("failed_rows"),
             (F.col("usable") > 0).alias("passed"),
         ),
+        F.struct(
+            F.lit("has_keyword_column").alias("check"),
+            F.lit("KEYWORD_COLUMN_NOT_FOUND").alias("code"),
+            F.when(F.lit(there), F.lit(0).cast("long")).otherwise(F.col("rows")).alias("failed_rows"),
+            F.lit(there).alias("passed"),
+        ),
+    )
+    found = counts.select(F.inline(checks))
+    if profile is None:
+        return found
+    bad = profile.agg(F.count_if(F.col("error_code").isNotNull()).alias("n"))
+    return found.unionByName(
+        bad.select(
+            F.lit("files_parse").alias("check"), F.lit("UNPARSEABLE_FILE").alias("code"),
+            F.col("n").alias("failed_rows"), (F.col("n") == 0).alias("passed"),
+        )
     )
-    return counts.select(F.inline(checks))
 
 
 def require_usable(df: DataFrame, keyword_column: str) -> None:

@@ -1,7 +1,8 @@
 """Keyword uploads as a stream.
 
 Cleaning and tagging are stateless column functions and run on a stream as they are. Clustering
-is a statement about a whole upload, so each upload is clustered as a batch.
+is a statement about a whole upload, so each upload is clustered as a batch over all its rows that
+have arrived.
 """
 
 from __future__ import annotations
@@ -33,16 +34,22 @@ def cluster_uploads(
     upload_column: str = "upload_id",
     row_ord: str = "row_ord",
 ) -> StreamingQuery:
-    """Cluster every upload of each micro-batch and hand the result to ``on_result``.
+    """Cluster every upload that a micro-batch adds rows to, and hand the result to ``on_result``.
 
-    ``on_result`` may see an upload again after a failure; persist_results copes with that.
-    An upload has to arrive within one micro-batch.
+    Each micro-batch is kept as a table of its own under ``checkpoint``, so an upload that arrives
+    in several is clustered again over all its rows and the last result is the complete one. A
+    repeated micro-batch replaces its table. ``on_result`` may see an upload again, also after a
+    failure; persist_results copes with that. Uploads are runs of their own, one after the other.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
-        uploads = batch.select(upload_column).distinct().toLocalIterator()
-        for upload in [r[0] for r in uploads]:
-            rows = batch.where(F.col(upload_column) == upload).drop(upload_column)
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = f"{checkpoint}/arrived"
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        arrived = spark.read.schema(batch.schema).parquet(kept)
+        touched = spark.read.schema(batch.schema).parquet(f"{kept}/batch={number}")
+        for (upload,) in touched.select(upload_column).distinct().toLocalIterator():
+            rows = arrived.where(F.col(upload_column) == upload).drop(upload_column, "batch")
             on_result(upload, cluster_keywords(rows, settings, row_ord))
 
     return (

@@ -112,7 +112,7 @@ def test_no_features_is_an_input_error(spark):
     from termloom.errors import InputError
 
     with pytest.raises(InputError):
-        lexical.lexical_features(prepared(spark, ["x y"]), Settings(lean_rows=0))
+        lexical.lexical_features(prepared(spark, ["x y"]), Settings(min_df=2))
 
 
 @pytest.mark.parametrize("direct", [64 << 20, 0])
@@ -154,7 +154,7 @@ def test_precision(spark):
     texts = phrases(12)
     rows, terms = lexical.lexical_features(prepared(spark, texts))
     small = semantic.svd_embed(rows, len(terms), 12)
-    lean = semantic.svd_embed(rows, len(terms), 12, Settings(lean_rows=3))
+    lean = semantic.svd_embed(rows, len(terms), 12, Settings(precision="float"))
     assert small.schema["embedding"].dataType.simpleString() == "array<double>"
     assert lean.schema["embedding"].dataType.simpleString() == "array<float>"
 
@@ -304,13 +304,11 @@ def test_large_clusters_keep_their_members_in_parts(spark):
         F.concat(F.lit("k"), "id").alias("keyword"), F.lit("").alias("url"),
     )
     df = split.with_cluster_rows(df)
-    lists = describe.cluster_lists(df, Settings(max_list_items=1_000)).collect()
-    assert [(r["cluster_id"], r["keywords"]) for r in lists] == [(0, ["k0", "k1", "k2"])]
-    parts = describe.member_lists(df.where("cluster_id = 1"))
-    sizes = [r[0] for r in parts.select(F.size("members")).collect()]
-    assert sum(sizes) == 19_997 and max(sizes) <= describe.MEMBERS_PER_PART
-    whole = {r["cluster_id"]: r["keywords"] for r in describe.cluster_lists(df).collect()}
-    assert whole[1] == [f"k{i}" for i in range(3, 20_000)]
+    parts = describe.member_parts(df)
+    sizes = [r[0] for r in parts.select(F.size("keywords")).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= describe.MEMBERS_PER_PART
+    lists = {r["cluster_id"]: r["keywords"] for r in describe.whole_lists(parts).collect()}
+    assert lists == {0: ["k0", "k1", "k2"], 1: [f"k{i}" for i in range(3, 20_000)]}
 
 
 def test_labels(spark):
