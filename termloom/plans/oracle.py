@@ -572,12 +572,12 @@ def oracle_queries() -> dict[str, str]:
           (SELECT count(*) FROM t_vocab) - 1) AS size, CAST(1.0 AS DOUBLE) AS length
         FROM prep""", full)
     q["v09_embed_external"] = build(
-        """SELECT row_ord, i AS place, round(CAST(embedding[i] AS DOUBLE), 5) AS value
+        """SELECT row_ord, i AS place, round(CAST(embedding[i] AS DOUBLE), 5) + 0.0::DOUBLE AS value
         FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM vec)"""
     )
     q["v10_precision"] = build("""
       SELECT row_ord, 'array<float>' AS type, i AS place,
-        round(CAST(embedding[i] AS DOUBLE), 5) AS value
+        round(CAST(embedding[i] AS DOUBLE), 5) + 0.0::DOUBLE AS value
       FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM vec)""")
 
     q["j01_knn_join"] = build("SELECT src, dst, rank, round(sim, 6) AS sim FROM near")

@@ -390,7 +390,7 @@ def v9_external(spark, folder):
 def component_columns() -> list:
     return [
         (F.col("at") + 1).cast("long").alias("place"),
-        F.round(F.col("value").cast("double"), 5).alias("value"),
+        (F.round(F.col("value").cast("double"), 5) + F.lit(0.0)).alias("value"),
     ]
 
 
