@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from ..config import DEFAULTS, Settings
 
 _STEP = 256  # rows multiplied at a time; bounds a task's scratch memory
 _CHUNK = 1024  # features per partial sum
-_DIRECT_BYTES = 64 << 20
+_FAN_IN = 16  # partial sums added in one group
 
 
 def _sparse_blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -33,44 +32,46 @@ def _sparse_blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarr
         yield used, dense
 
 
-def _tree_sum(
-    partials: DataFrame, tasks: int, size: int, columns: int
-) -> list[tuple[int, np.ndarray]]:
-    """Add up (chunk, slot, part) blobs in two levels, so no group grows with the table.
+def _tree_sum(partials: DataFrame, tasks: int, columns: int) -> DataFrame:
+    """Add up the sparse parts (chunk, slot, ids, part) of each chunk, ``_FAN_IN`` at a time.
 
-    Few and small ones are brought to the driver as they are.
+    A group holds at most that many parts of at most ``_CHUNK`` features, whatever the number of
+    tasks; more tasks only add levels.
     """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(p) for p in pdf["part"]], axis=0)
-        return pdf.head(1).assign(part=[total.tobytes()])
-
-    schema = partials.schema
-    if tasks * size * columns * 8 > _DIRECT_BYTES:
-        if tasks > 16:
-            partials = partials.groupBy("chunk", "slot").applyInPandas(add, schema)
-        partials = partials.groupBy("chunk").applyInPandas(add, schema)
-    return [
-        (r["chunk"], np.frombuffer(r["part"]).reshape(-1, columns))
-        for r in partials.select("chunk", "part").collect()
-    ]
+        total, touched = np.zeros((_CHUNK, columns)), np.zeros(_CHUNK, dtype=bool)
+        for ids, part in zip(pdf["ids"], pdf["part"], strict=True):
+            at = np.frombuffer(ids, np.int32)
+            total[at] += np.frombuffer(part).reshape(-1, columns)
+            touched[at] = True
+        at = np.flatnonzero(touched).astype(np.int32)
+        return pdf.head(1).assign(ids=[at.tobytes()], part=[total[at].tobytes()])
+
+    while tasks > 1:
+        tasks = -(-tasks // _FAN_IN)
+        partials = (
+            partials.withColumn("slot", F.floor(F.col("slot") / _FAN_IN).cast("int"))
+            .groupBy("chunk", "slot")
+            .applyInPandas(add, partials.schema)
+        )
+    return partials
 
 
 def _gram_product(features: DataFrame, basis: np.ndarray, tasks: int) -> np.ndarray:
     """(A' A) basis for the row-distributed feature matrix A, in one pass.
 
-    Every task adds up its rows' share; the result has one row per feature, and their number
-    is bounded by the vocabulary caps.
+    Every task adds up its rows' share and passes on the features its rows have; the result has
+    one row per feature, and their number is bounded by the vocabulary caps.
     """
     spark = features.sparkSession
     size, columns = basis.shape
     shared = spark.sparkContext.broadcast(basis)
-    slots = max(1, math.isqrt(tasks))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        slot = TaskContext.get().partitionId() % slots
+        slot = TaskContext.get().partitionId()
         total = np.zeros((size, columns))
         touched = np.zeros(size, dtype=bool)
         for batch in batches:
@@ -78,22 +79,24 @@ def _gram_product(features: DataFrame, basis: np.ndarray, tasks: int) -> np.ndar
                 total[used] += dense.T @ (dense @ shared.value[used])
                 touched[used] = True
         for chunk in range(0, size, _CHUNK):
-            if touched[chunk : chunk + _CHUNK].any():
-                part = total[chunk : chunk + _CHUNK].tobytes()
+            at = np.flatnonzero(touched[chunk : chunk + _CHUNK]).astype(np.int32)
+            if len(at):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "chunk": pa.array([chunk], pa.int32()),
                         "slot": pa.array([slot], pa.int32()),
-                        "part": pa.array([part], pa.binary()),
+                        "ids": pa.array([at.tobytes()], pa.binary()),
+                        "part": pa.array([total[chunk + at].tobytes()], pa.binary()),
                     }
                 )
 
     partials = features.select("fids", "weights").mapInArrow(
-        work, "chunk int, slot int, part binary"
+        work, "chunk int, slot int, ids binary, part binary"
     )
     product = np.zeros((size, columns))
-    for chunk, part in _tree_sum(partials, tasks, size, columns):
-        product[chunk : chunk + len(part)] += part
+    for r in _tree_sum(partials, tasks, columns).collect():  # one row per chunk of the vocabulary
+        at = np.frombuffer(r["ids"], np.int32)
+        product[r["chunk"] + at] += np.frombuffer(r["part"]).reshape(-1, columns)
     shared.unpersist()
     return product
 

@@ -115,11 +115,12 @@ def test_no_features_is_an_input_error(spark):
         lexical.lexical_features(prepared(spark, ["x y"]), Settings(min_df=2))
 
 
-@pytest.mark.parametrize("direct", [64 << 20, 0])
-def test_svd_equals_numpy(spark, monkeypatch, direct):
-    monkeypatch.setattr(semantic, "_DIRECT_BYTES", direct)
+@pytest.mark.parametrize("fan_in", [16, 2])
+def test_svd_equals_numpy(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(semantic, "_FAN_IN", fan_in)
     texts = phrases(60, seed=3)
     rows, terms = lexical.lexical_features(prepared(spark, texts))
+    rows = rows.repartition(8)
     matrix = brute.dense(brute.blocks(texts))
     want = np.linalg.svd(matrix, compute_uv=False)
     directions, values = semantic.leading_directions(rows, len(terms), 59, 8)
