@@ -43,12 +43,6 @@ def materialize(df: DataFrame, label: str, read_schema=None) -> DataFrame:
     return spark.read.schema(read_schema or df.schema).parquet(path)
 
 
-def all_cores(spark: SparkSession) -> int:
-    """Partitions that keep every core busy: the configured shuffle width, or more cores."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(width, spark.sparkContext.defaultParallelism)
-
-
 def spread_small(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """Hash a small table over all cores; leave a large one, which already is, alone.
 
