@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -34,7 +34,8 @@ from .common import byte_slices, shuffle_width, whole_text
 
 BLOCK_BYTES = 32 << 20
 LONG_TEXT = 1 << 20
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 250_000
+OUT_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,6 +102,7 @@ def _blocks(docs: DataFrame, pattern: str, id_column: str, text: str, block_byte
                     block, held, codes = block + 1, 0, _Codes()
         if codes:
             yield from _words(kind, block, codes)
+        pa.default_memory_pool().release_unused()
 
     narrow = docs.select(F.col(id_column).alias("doc_id"), whole_text(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -171,8 +173,8 @@ def _packed_words(asked: dict[int, tuple[list, list]]) -> pa.RecordBatch:
         ["block", "words", "tokens", "codes", "counts", "ids"])
 
 
-def _together(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Documents of one block with the ids of their pre-tokens by position."""
+def _together(docs: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Documents of one block with the ids of their pre-tokens by position, a few at a time."""
     codes, counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     for n, m, *data in zip(*(words.column(c).to_pylist() for c in ("words", "tokens", "codes", "counts", "ids")), strict=True):
         codes.append(np.cumsum(_loosened(data[0], n), dtype=np.uint32))
@@ -181,24 +183,35 @@ def _together(docs: pa.Table, words: pa.Table) -> pa.Table:
     code, count, flat = np.concatenate(codes), np.concatenate(counts).astype(np.int64), np.concatenate(ids)
     first, size = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
     first[code], size[code] = np.cumsum(count) - count, count
-    sizes, found = [], []
-    for n, data in zip(docs.column("n").to_pylist(), docs.column("codes").to_pylist(), strict=True):
+    rows, held = [], 0
+    for doc_id, n, data in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "n", "codes")), strict=True):
         own = _loosened(data, n)
         lengths = size[own]
         skip = np.repeat(first[own] - (np.cumsum(lengths) - lengths), lengths)
-        sizes.append(len(skip))
-        found.append(flat[skip + np.arange(len(skip))].astype("<u4").tobytes())
-    return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()),
-                     "ids": pa.array(found, pa.binary())})
+        ids = flat[skip + np.arange(len(skip))].astype("<u4").tobytes()
+        rows.append((doc_id, len(skip), ids))
+        held += len(ids)
+        if held >= OUT_BYTES:
+            yield _documents(docs.schema.field("doc_id").type, rows)
+            rows, held = [], 0
+    if rows:
+        yield _documents(docs.schema.field("doc_id").type, rows)
+
+
+def _documents(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [kind, pa.int64(), pa.binary()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
 
 
 def encode(
     docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, decoded: bool = False,
 ) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row.
 
-    ``ranks`` is a file of base64 tokens and ranks that every machine has.
+    ``ranks`` is a file of base64 tokens and ranks that every machine has. With ``decoded`` the ids
+    are decoded where they are put together, a few documents at a time.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -213,33 +226,48 @@ def encode(
     words = parts.where("kind = 1").select("word", "block", "code")
     found = _encoded_words(words, ranks, pattern, width)
     kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        _together, f"doc_id {kind}, n_tokens long, ids binary"
-    )
+    schema = f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
+
+    def finish(docs: pa.Table, words: pa.Table) -> pa.Table:
+        add = _decoder(ranks, "ids", "decoded") if decoded else lambda batch: batch
+        parts = [add(batch) for batch in _together(docs, words)]
+        return pa.Table.from_batches(parts or [add(_documents(docs.schema.field("doc_id").type, [(None, 0, b"")])).slice(1)])
+
+    return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
+
+
+def _decoder(ranks: str, ids: str, name: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Adds a column of the bytes that ids stand for, by the table of all tokens' bytes."""
+    tokens = sorted(read_ranks(ranks).items(), key=lambda x: x[1])
+    size = np.zeros(tokens[-1][1] + 1, np.int64)
+    size[[i for _, i in tokens]] = [len(t) for t, _ in tokens]
+    first = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for value in batch.column(ids):
+            own = np.frombuffer(value.as_buffer(), "<u4")
+            pieces = []
+            for at in range(0, len(own), LONG_TEXT):
+                some = own[at : at + LONG_TEXT]
+                lengths = size[some]
+                skip = np.repeat(first[some] - (np.cumsum(lengths) - lengths), lengths)
+                pieces.append(data[skip + np.arange(len(skip))].tobytes())
+            texts.append(b"".join(pieces))
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, name]
+        )
+
+    return add
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids stand for."""
+    """Add the bytes that the ids of each row stand for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted(read_ranks(ranks).items(), key=lambda x: x[1])
-        size = np.zeros(tokens[-1][1] + 1, np.int64)
-        size[[i for _, i in tokens]] = [len(t) for t, _ in tokens]
-        first = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
-        for batch in batches:
-            texts = []
-            for value in batch.column(ids):
-                own = np.frombuffer(value.as_buffer(), "<u4")
-                pieces = []
-                for at in range(0, len(own), LONG_TEXT):
-                    some = own[at : at + LONG_TEXT]
-                    lengths = size[some]
-                    skip = np.repeat(first[some] - (np.cumsum(lengths) - lengths), lengths)
-                    pieces.append(data[skip + np.arange(len(skip))].tobytes())
-                texts.append(b"".join(pieces))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, name])
+        add = _decoder(ranks, ids, name)
+        yield from map(add, batches)
 
     schema = T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())])
     return encoded.mapInArrow(work, schema)
@@ -247,8 +275,7 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", name: str = "decode
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256 and decoded_sha256 of every row."""
-    both = decode(encode(docs, ranks, pattern, id_column, text), ranks)
-    return both.select(
+    return encode(docs, ranks, pattern, id_column, text, decoded=True).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

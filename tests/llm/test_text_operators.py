@@ -168,6 +168,25 @@ def test_records_round_trip(spark, docs, rows, tmp_path):
     assert all((r["doc_id"], bytes(r["ids"])) in whole for r in records.read_at(shuffled, folder).collect())
 
 
+def test_words_alone_are_encoded_like_whole_texts():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(9)
+    bits = ["a", "Bc", "é", "e\u0301", "ß", "İ", "Σ", "ς", "ﬁ", "日", "ا", "\u0300", "'s", "'", "'ll", "!", "$%", "-", "(", "1", "²",
+            "Ⅳ", "_", "\u200d", "😀", "\u00a0", "\u2003", " ", "\t", "\x1c", "\x85", "<|endoftext|>", "ǅ", "K", "Å"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    found = list(records.WordEncoder(path).texts(pa.array(texts, pa.string())))
+    for text, ids in zip(texts, found, strict=True):
+        assert np.asarray(ids).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_damaged_records_are_found():
     import io
 
@@ -251,6 +270,9 @@ def test_byte_bpe_matches_tiktoken(docs, rows, block_bytes):
 
 def test_byte_bpe_round_trip(docs, rows):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    texts = Counter((r["doc_id"], (r["text"] or "").encode()) for r in rows)
+    assert Counter((r["doc_id"], bytes(r["decoded"])) for r in bpe.decode(encoded, ranks).collect()) == texts
     found = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).collect()
     expected = Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in rows)
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in found) == expected
