@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import scratch_folder
-from .common import byte_slices, shuffle_width, whole_text
+from .common import byte_slices, shuffle_width, small_batches, whole_text
 
 BLOCK_BYTES = 32 << 20
 LONG_TEXT = 1 << 20
@@ -214,6 +214,7 @@ def encode(
     are decoded where they are put together, a few documents at a time.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     width = shuffle_width(spark)
     name = f"pre_tokens_{uuid.uuid4().hex}"
     (

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
 SLICE_BYTES = 8 << 20
+# By default ten thousand rows go to Python at once, which is much for whole texts.
+ARROW_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +37,12 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in small batches."""
+    for name, most in ARROW_BATCH.items():
+        spark.conf.set(name, most)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

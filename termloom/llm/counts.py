@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, small_batches
 
 MEMO = 1_000_000
 
@@ -138,6 +138,7 @@ def token_counts(
                     sums.append(pa.array(run[ends[1:]] - run[ends[:-1]]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *sums], ["doc_id", "n_words", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(work, f"doc_id {kind}, n_words long, n_tokens long")

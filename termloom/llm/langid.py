@@ -3,8 +3,9 @@
 Texts are lower-cased, everything but letters becomes a space, and the byte n-grams (``ORDERS``)
 that do not run over a space, each with its word's edges, are hashed into ``BUCKETS``. A text is the
 mean of its n-grams' embeddings; a linear layer and softmax give the language. Both are trained by
-stochastic gradient descent in numpy on a bounded sample: of every language the rows with the
-smallest hash of doc_id, at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes of text in all.
+stochastic gradient descent in numpy on a bounded sample: of every language (at most the
+``LANGUAGES`` most frequent) the rows with the smallest hash of doc_id, at most ``SAMPLE_ROWS`` rows
+and ``SAMPLE_BYTES`` bytes of text in all.
 
 A quarter of the sample is kept from training and calibrates: a temperature makes the scores fit its
 labels, and the rejection threshold is the score below which lie at most ``REJECT_SHARE`` of it (and
@@ -28,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, fresh
+from .common import byte_slices, fresh, small_batches
 
 ORDERS = (3, 4)
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 8
 RATE = 0.5
+LANGUAGES = 500
 SAMPLE_ROWS = 6_000
+SLICE_BYTES = 1 << 20
 SAMPLE_BYTES = 24 << 20
 REJECT_SHARE = 0.001
 MOST_THRESHOLD = 0.5
@@ -141,11 +144,18 @@ def learn(
     sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
 ) -> Model:
     """Train on a bounded sample of the labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     usable = docs.where(
         F.col(lang).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column) & (F.octet_length(text) > 0)
     )
-    drawn = usable.select(
-        F.col(id_column).alias("id"), F.col(lang).alias("lang"), F.xxhash64(id_column).alias("draw"),
+    counts = usable.groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    # Twice the rows that can be used of each language pass by hash, so that what is ordered by
+    # language below stays small, however many rows one language has.
+    shares = [F.when(F.col(lang) == name, F.lit(2.0 * sample_rows / n)) for name, n in counts]
+    unit = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_column)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    passing = unit < F.coalesce(*shares, F.lit(0.0)) if shares else F.lit(False)
+    drawn = usable.where(passing).select(
+        F.col(id_column).alias("id"), F.col(lang).alias("lang"), unit.alias("draw"),
         F.octet_length(text).alias("size"),
     )
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "size"))
@@ -180,33 +190,32 @@ def learn(
 
 def identify(
     docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred",
-    score: str = "score", rejected: str = "rejected", carry: list[str] | None = None,
+    score: str = "score", rejected: str = "rejected",
 ) -> DataFrame:
-    """Columns ``carry`` of the documents (default: all) with prediction, score and rejected."""
-    carry = [c for c in (carry or docs.columns) if c not in (lang_pred, score, rejected)]
-    body, has, name, best = fresh(docs, "lang_letters", "lang_has", "lang_best", "lang_score")
+    """The documents with prediction, score and rejected; columns so named are replaced.
+
+    Only the letters of the texts go to Python; the other columns stay where they are.
+    """
+    (found,) = fresh(docs, "lang_found")
     known = docs.sparkSession.sparkContext.broadcast(model)
-    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = known.value
-        for batch in batches:
-            at = batch.schema.get_field_index(body)
-            titles = [n for n in batch.schema.names if n != body]
-            for part in byte_slices(batch, body):
-                names, values = _predict(m, part.column(at))
-                others = [part.column(i) for i in range(part.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*others, names, values], [*titles, name, best])
-
-    given = docs.select(*carry, has_letter.alias(has), letters(text).alias(body))
-    schema = given.drop(body).schema.add(name, "string").add(best, "double")
-    found = given.mapInArrow(work, schema)
-    fit = F.col(has) & F.col(name).isNotNull()
-    return found.select(
+    @F.arrow_udf("struct<best: string, score: double>")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            whole = pa.RecordBatch.from_arrays([array], ["text"])
+            parts = [_predict(known.value, p.column(0)) for p in byte_slices(whole, "text", SLICE_BYTES)]
+            names = pa.concat_arrays([n for n, _ in parts] or [pa.nulls(0, pa.string())])
+            values = pa.concat_arrays([v for _, v in parts] or [pa.nulls(0, pa.float64())])
+            yield pa.StructArray.from_arrays([names, values], ["best", "score"])
+
+    best, value = F.col(f"{found}.best"), F.col(f"{found}.score")
+    fit = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) & best.isNotNull()
+    carry = [c for c in docs.columns if c not in (lang_pred, score, rejected)]
+    return docs.withColumn(found, predict(letters(text))).select(
         *carry,
-        F.when(fit, F.col(name)).otherwise(F.lit(UNKNOWN)).alias(lang_pred),
-        F.when(fit, F.col(best)).otherwise(F.lit(0.0)).alias(score),
-        F.when(fit, F.col(best) < model.threshold).otherwise(F.lit(True)).alias(rejected),
+        F.when(fit, best).otherwise(F.lit(UNKNOWN)).alias(lang_pred),
+        F.when(fit, value).otherwise(F.lit(0.0)).alias(score),
+        F.when(fit, value < model.threshold).otherwise(F.lit(True)).alias(rejected),
     )
 
 
@@ -232,9 +241,10 @@ def identify_languages(
 ) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected."""
     model = learn(docs, id_column, text, lang)
-    asked = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    found = identify(asked.withColumn("held_out", held_out("doc_id")), model, carry=["doc_id", "held_out"])
-    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    asked = docs.select(
+        F.col(id_column).alias("doc_id"), F.col(text).alias("text"), held_out(id_column).alias("held_out")
+    )
+    return identify(asked, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def accepted(

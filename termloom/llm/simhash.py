@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import materialize
-from .common import byte_slices, fresh, whole_text
+from .common import byte_slices, fresh, small_batches, whole_text
 
 SHINGLE = 3
 SEED = 42
@@ -72,6 +72,7 @@ def fingerprints(
                     [part.column("doc_id"), fp, part.column("text_hash")], ["doc_id", "fp", "text_hash"]
                 )
 
+    small_batches(docs.sparkSession)
     narrow = docs.select(
         F.col(id_column).alias("doc_id"), whole_text(text).alias("text"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
