@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize, scratch_folder
-from .common import byte_slices, shuffle_width
+from .common import byte_slices, shuffle_width, small_batches
 from .shard import OFFSET, _bytes_of, _packed, find_splitters
 
 FILE_BYTES = 64 << 20
 END_ID = 1
-MEMO = 400_000
+MEMO = 150_000
+SLICE_BYTES = 2 << 20
 MASK = 0xA282EAD8
+# A letter and a sign after it never share a token. Apostrophes are left out, as they begin some
+# tokens with letters, and so are letters that lower-casing or composing may end with a mark.
+LETTER_SIGN = (
+    r"([a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}])([!-&(-/:-@\[-`{-~])"
+)
 
 
 def masked(data: bytes) -> int:
@@ -48,10 +55,14 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
 
 
+def _width(ids: np.ndarray) -> str:
+    return "<u4" if len(ids) and int(ids.max()) >= 1 << 16 else "<u2"
+
+
 def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
-    wide = len(ids) and int(ids.max()) >= 1 << 16
-    flags = (doc_id is None) | wide << 1
-    body = struct.pack("<qB", doc_id or 0, flags) + ids.astype("<u4" if wide else "<u2").tobytes()
+    width = _width(ids)
+    flags = (doc_id is None) | (width == "<u4") << 1
+    body = struct.pack("<qB", doc_id or 0, flags) + ids.astype(width).tobytes()
     size = struct.pack("<Q", len(body))
     return size + struct.pack("<I", masked(size)) + body + struct.pack("<I", masked(body))
 
@@ -73,8 +84,22 @@ def read_frame(source) -> tuple[int | None, np.ndarray] | None:
     return None if flags & 1 else doc_id, ids.astype(np.uint32)
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in the vocabulary.
+
+    Printable Latin-1 characters stand for themselves; the others follow from 256 on.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Ids of texts, word by word, by a tokenizers file."""
+    """Ids of texts, word by word, by a tokenizers file.
+
+    Words of lower-case letters in composed form, which normalising and splitting leave as they are,
+    go straight to the library's model; all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,26 +107,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
+        self.model = self.tokenizer.model
+        self.characters = _byte_characters()
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        hard = []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+                pieces = self.model.tokenize(word.decode("latin-1").translate(self.characters))
+                self.known[word] = np.array([p.id for p in pieces], "<u4").tobytes()
+            else:
+                hard.append((word, text))
+        for at in range(0, len(hard), 2_000):
+            some = hard[at : at + 2_000]
+            coded = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            for (word, _), found in zip(some, coded, strict=True):
+                self.known[word] = np.array(found.ids, "<u4").tobytes()
+
+    def words(self, words: list[bytes]) -> list[bytes]:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MEMO:
             self.known, new = {}, words
-        coded = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
-        )
-        self.known.update(zip(new, (np.array(e.ids, np.uint32) for e in coded), strict=True))
+        self._learn(new)
         return [self.known[w] for w in words]
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        spaced = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,!?;:|%#*])", r"\1 \2")
+        spaced = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_SIGN, r"\1 \2")
         lists = pc.ascii_split_whitespace(spaced)
         words = lists.flatten().dictionary_encode()
         ids = self.words(words.dictionary.cast(pa.binary()).to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
         first = np.cumsum(sizes) - sizes
         codes = words.indices.to_numpy()
         ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -112,33 +151,12 @@ class WordEncoder:
             yield flat[skip + np.arange(len(skip))]
 
 
-def encode_documents(
-    docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text",
-    end_id: int | None = END_ID,
-) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row."""
-    last = np.array([] if end_id is None else [end_id], np.uint32)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
-        for batch in batches:
-            for part in byte_slices(batch, "text"):
-                ids = [np.concatenate((x, last)) for x in encoder.texts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
-                )
-
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return narrow.mapInArrow(work, "doc_id long, n_tokens long, ids binary")
-
-
 def write_records(
     docs: DataFrame, folder: str, tokenizer: str, id_column: str = "doc_id", text: str = "text",
     end_id: int | None = END_ID, file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Write the record files; returns the index: piece, file, doc_id, place, offset, length, n_tokens."""
+    small_batches(docs.sparkSession)
     least = F.lit(-OFFSET)
     keys = docs.select(
         F.coalesce(F.col(id_column).cast("long"), least).alias("high"), least.alias("low"),
@@ -151,17 +169,21 @@ def write_records(
     found = find_splitters(keys, targets, [0.1 * total / files] * len(targets), 16) if rows else []
     cuts = np.array([_bytes_of(k) for k in np.maximum.accumulate(found)] if found else [], "S16")
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(tokenizer)
+        last = np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
-            key = pc.fill_null(batch.column("doc_id"), -OFFSET).to_numpy()
-            piece = np.searchsorted(cuts, _packed(key, np.full(len(key), -OFFSET)), "right")
-            short = []
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), "<u4")
-                short.append(ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else x.as_py())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(piece.astype(np.int32)), batch.column("doc_id"), batch.column("n_tokens"),
-                 pa.array(short, pa.binary())], ["piece", "doc_id", "n_tokens", "ids"])
+            for part in byte_slices(batch, "text", SLICE_BYTES):
+                key = pc.fill_null(part.column("doc_id"), -OFFSET).to_numpy()
+                piece = np.searchsorted(cuts, _packed(key, np.full(len(key), -OFFSET)), "right")
+                ids = [np.concatenate((x, last)) for x in encoder.texts(part.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(piece.astype(np.int32)), part.column("doc_id"),
+                     pa.array([len(x) for x in ids], pa.int64()),
+                     pa.array([x.astype(_width(x)).tobytes() for x in ids], pa.binary())],
+                    ["piece", "doc_id", "n_tokens", "ids"],
+                )
+        pa.default_memory_pool().release_unused()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -187,8 +209,10 @@ def write_records(
         if out:
             out.close()
 
-    coded = encode_documents(docs, tokenizer, id_column, text, end_id)
-    dealt = coded.mapInArrow(narrow, "piece int, doc_id long, n_tokens long, ids binary")
+    narrow = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
+    dealt = narrow.mapInArrow(encode, "piece int, doc_id long, n_tokens long, ids binary")
     ordered = dealt.repartitionById(files, F.col("piece")).sortWithinPartitions("piece", "doc_id")
     schema = "piece int, file string, doc_id long, place long, offset long, length long, n_tokens long"
     return materialize(ordered.mapInArrow(write, schema), "record-index")
