@@ -105,14 +105,8 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.where(near).select("src", F.col("fp").alias("dst")).distinct()
 
 
-def near_components(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-    shingle: int = SHINGLE, distance: int = DISTANCE,
-) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash, links.
-
-    ``links`` counts the distinct fingerprints that the document's own is chained to.
-    """
+def _grouped(docs: DataFrame, id_column: str, text: str, shingle: int, distance: int) -> DataFrame:
+    """near_components with ``component``, the smallest fingerprint of the component."""
     rows = materialize(fingerprints(docs, id_column, text, shingle), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     links = materialize(fingerprint_links(fps.select("fp"), distance), "fp-links")
@@ -120,31 +114,46 @@ def near_components(
     degree = ends.groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
     found = connected_components(links, fps.join(degree, "fp", "left"), "fp")
     least = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = found.join(least, "component").select("fp", "component_id", "links")
+    found = found.join(least, "component").select("fp", "component", "component_id", "links")
     return rows.join(found, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
-        "text_hash", F.coalesce("links", F.lit(0)).alias("links"),
+        "text_hash", F.coalesce("links", F.lit(0)).alias("links"), "component",
     )
 
 
-def near_dedup(
+def near_components(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     shingle: int = SHINGLE, distance: int = DISTANCE,
 ) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash, links.
+
+    ``links`` counts the distinct fingerprints that the document's own is chained to.
+    """
+    return _grouped(docs, id_column, text, shingle, distance).drop("component")
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The first document of each component, with all its columns.
 
-    First is the smallest doc_id; among rows that share it, the smallest text hash. Documents
-    without a doc_id stay only where a component has no other.
+    ``groups`` has doc_id, text_hash and component. First is the smallest doc_id; among rows that
+    share it, the smallest text hash. Documents without a doc_id stay only where a component has no
+    other. A doc_id does not name a component: different texts may have it.
     """
-    groups = near_components(docs, id_column, text, shingle, distance)
     i, h, n = fresh(docs, "near_id", "near_hash", "near_place")
-    keep = (
-        groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
-        .agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias(h))
-        .select(F.col("component_id").alias(i), h)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    keep = groups.groupBy("component").agg(first).select(
+        F.col("first.doc_id").alias(i), F.col("first.text_hash").alias(h)
     )
     same = F.col(id_column).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(h))
     return (
         docs.join(keep, same).withColumn(n, F.row_number().over(Window.partitionBy(i, h).orderBy(i)))
         .where(F.col(n) == 1).select(*docs.columns)
     )
+
+
+def near_dedup(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text",
+    shingle: int = SHINGLE, distance: int = DISTANCE,
+) -> DataFrame:
+    """The first document of each component (see ``first_of_each``)."""
+    return first_of_each(docs, _grouped(docs, id_column, text, shingle, distance), id_column, text)

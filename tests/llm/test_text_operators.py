@@ -109,6 +109,18 @@ def test_near_dedup_keeps_one_of_each_group(docs, rows):
     assert sorted((r["doc_id"] for r in kept.collect()), key=key) == sorted(groups, key=key)
 
 
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    """Components that share their smallest doc_id, or have none, are still components of their own."""
+    body = "the quick brown fox jumps over the lazy dog while seven wizards brew a bitter potion " * 6
+    other = "rain fell on the harbour and every boat stayed in until the wind turned north again " * 6
+    third = "twelve clerks counted the silver spoons before the auction opened on a cold morning " * 6
+    rows = [(1, body), (5, body.upper()), (1, other), (7, other.upper()), (1, third), (None, "lone words here"), (None, "LONE words here"), (None, "other words")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r["doc_id"] for r in kept) == {1: 3, None: 2}
+    assert {r["text"] for r in kept if r["doc_id"] == 1} == {body, other, third}
+    assert {r["text"].lower() for r in kept if r["doc_id"] is None} == {"lone words here", "other words"}
+
+
 def test_token_counts_match_greedy_pieces(docs, rows):
     pieces = set(counts.rank_file_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     most = max(map(len, pieces))
