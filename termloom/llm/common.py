@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,13 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         held += size
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has; bytes in and out."""
+    lists = pc.ascii_split_whitespace(texts.view(pa.string()))
+    words = lists.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    before = np.concatenate(([0], np.cumsum(full)))
+    edges = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return words.view(pa.binary()).filter(pa.array(full)), np.diff(edges)

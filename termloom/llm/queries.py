@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, graph_ann, hosts, langid, mix, records, shard, simhash
+from . import bpe, counts, exact, graph_ann, hosts, langid, merkle, mix, records, runs, shard, simhash
 from .common import table
 
 
@@ -56,6 +56,30 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    low = F.translate("text", hosts.UPPER, hosts.LOWER)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = {"text": F.when(changed, low).otherwise(F.col("text"))}
+    return merkle.merkle_manifest(table(spark, folder, "documents"), found=found).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", "verified",
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = runs.with_planted_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs).withColumn("best", runs.strongest(F.col("runs")))
+    lines = F.concat(runs.runs_text(F.col("runs")), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(F.expr("best.length * 1000 div best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_histogram_shards": op2_histogram_shards,
@@ -67,10 +91,13 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_fair_mix": op9_fair_mix,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL = {
     "op5_exact_dedup": exact.EXACT_SQL,
     "op8_url_reputation": hosts.HOSTS_SQL,
     "op9_fair_mix": mix.MIX_SQL,
+    "op11_merkle_manifest": merkle.MERKLE_SQL,
 }
