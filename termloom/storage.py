@@ -54,8 +54,19 @@ def spread_small(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, before the run ends."""
+    for table in tables:
+        _delete(table.sparkSession, {file.rsplit("/", 1)[0] for file in table.inputFiles()})
+
+
+def _delete(spark: SparkSession, folders) -> None:
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the tables this application has materialized; results must be written first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, [scratch_folder(spark)])
