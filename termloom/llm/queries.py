@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, graph_ann, hosts, langid, merkle, mix, records, runs, shard, simhash
+from . import bpe, counts, exact, graph_ann, hosts, langid, merkle, mix, records, runs, shard, simhash, substrings
 from .common import table
 
 
@@ -80,6 +80,12 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_histogram_shards": op2_histogram_shards,
@@ -93,6 +99,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 SQL = {
