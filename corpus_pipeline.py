@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import bpe, exact, langid, minhash, mix
+from termloom.llm import bpe, exact, langid, mix, simhash
 from termloom.storage import scratch_folder
 
 
@@ -27,8 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with 5-word Jaccard of 0.8 or more stays."""
-    return minhash.near_dedup(docs)
+    """One document of each group of texts with fingerprints at 2 or fewer differing bits stays."""
+    return simhash.near_dedup(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", known_language),
     ("exact dedup", exact_duplicates),
-    ("MinHash near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("source mix", source_mix),
     ("byte-level BPE", token_ids),
 ]
