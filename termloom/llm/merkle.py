@@ -63,6 +63,8 @@ def with_siblings(nodes: DataFrame, fan: int = FAN) -> DataFrame:
     ``nodes`` has key, ord (0, 1, ... within the key) and digest (32 bytes).
     """
     block = F.floor(F.col("ord") / F.lit(fan**BLOCK_LEVELS))
+    # Dealt by block, also where the rows come dealt by key: a key may have most of them.
+    nodes = nodes.repartition("key", block)
     order = Window.partitionBy("key", block).orderBy("ord")
     slot = F.col("ord") % fan
     left = [F.when(slot >= j, F.lag("digest", j).over(order)) for j in range(fan - 1, 0, -1)]
