@@ -6,7 +6,9 @@ for a null doc_id, bit 1 for 4-byte ids instead of 2-byte) and the ids. Masking
 and adds a constant, so that checksums of data that itself holds checksums stay good.
 
 Texts are encoded where they are read, each distinct word of a slice once (white space never is
-part of a token, so words are encoded by themselves); strings of special tokens are ordinary text.
+part of a token, so words are encoded by themselves); strings of special tokens become those tokens,
+as the library has it. A tokenizers file that normalises or splits texts in another way than the word
+path knows is applied to whole texts instead.
 Ids then go to files by ranges of doc_id that hold about ``FILE_BYTES`` of text each, found by exact
 counts (``shard.find_splitters``), and each file is written by one task in ascending doc_id order.
 A file is named anew in every attempt and counts only once the index, written as a table, names it,
@@ -20,7 +22,9 @@ the driver.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -94,11 +98,33 @@ def _byte_characters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+# How a tokenizers file has to normalise and split for words to be encoded alone.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "behavior": "Removed", "invert": True,
+         "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def splits_into_words(tokenizer) -> bool:
+    """Whether the file's steps are ``WORD_STEPS`` and its added tokens plain strings."""
+    said = json.loads(tokenizer.to_str())
+    looks = ("normalized", "lstrip", "rstrip", "single_word")
+    plain = not any(token[x] for token in said["added_tokens"] for x in looks)
+    return plain and all(said[step] == how for step, how in WORD_STEPS.items())
+
+
 class WordEncoder:
-    """Ids of texts, word by word, by a tokenizers file.
+    """Ids of texts by a tokenizers file, word by word where its steps allow that.
 
     Words of lower-case letters in composed form, which normalising and splitting leave as they are,
-    go straight to the library's model; all others through the whole tokenizer.
+    go straight to the library's model; all others through the whole tokenizer. Added tokens are cut
+    out of the text as it came, and what lies between them is encoded piece by piece.
     """
 
     def __init__(self, path: str):
@@ -106,6 +132,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = splits_into_words(self.tokenizer)
+        if not self.by_word:
+            return
+        self.added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        either = b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
+        self.cut = re.compile(b"(" + either + b")") if self.added else None
+        # Words come from between added tokens; lower-casing may have made one look like them.
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.characters = _byte_characters()
@@ -135,6 +168,27 @@ class WordEncoder:
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
+        if not self.by_word:
+            for at in range(0, len(texts), 100):
+                some = [t.as_buffer().to_pybytes().decode("utf-8", "replace") for t in texts[at : at + 100]]
+                for coded in self.tokenizer.encode_batch(some, add_special_tokens=False):
+                    yield np.array(coded.ids, np.uint32)
+            return
+        pieces = [[t.as_buffer().to_pybytes()] for t in texts]
+        if self.cut:
+            pieces = [self.cut.split(p[0]) for p in pieces]
+        if sum(map(len, pieces)) == len(texts):
+            yield from self._plain(texts)
+            return
+        between = pa.array([p for own in pieces for p in own[::2]], pa.binary()).view(pa.string())
+        coded = self._plain(between)
+        for own in pieces:
+            parts = [next(coded)]
+            for token in own[1::2]:
+                parts += [np.array([self.added[token]], np.uint32), next(coded)]
+            yield np.concatenate(parts)
+
+    def _plain(self, texts: pa.Array) -> Iterator[np.ndarray]:
         spaced = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_SIGN, r"\1 \2")
         lists = pc.ascii_split_whitespace(spaced)
         words = lists.flatten().dictionary_encode()

@@ -162,7 +162,6 @@ def test_records_round_trip(spark, docs, rows, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     folder = f"file://{tmp_path}/files"
     index = records.write_records(docs, folder, path, file_bytes=100_000)
     read = sorted(records.read_records(index, folder).collect(), key=lambda r: r["start"])
@@ -180,6 +179,18 @@ def test_records_round_trip(spark, docs, rows, tmp_path):
     assert all((r["doc_id"], bytes(r["ids"])) in whole for r in records.read_at(shuffled, folder).collect())
 
 
+def test_another_tokenizers_file_is_applied_to_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), records.WordEncoder(path)
+    assert not encoder.by_word and records.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).by_word
+    texts = ["", "Two  Words, 12.", "a<|endoftext|>b", "don't  \n x\u00a0y 日本"] * 60
+    found = [x.tolist() for x in encoder.texts(pa.array(texts, pa.string()))]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_alone_are_encoded_like_whole_texts():
     import random
 
@@ -189,10 +200,9 @@ def test_words_alone_are_encoded_like_whole_texts():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(9)
     bits = ["a", "Bc", "é", "e\u0301", "ß", "İ", "Σ", "ς", "ﬁ", "日", "ا", "\u0300", "'s", "'", "'ll", "!", "$%", "-", "(", "1", "²",
-            "Ⅳ", "_", "\u200d", "😀", "\u00a0", "\u2003", " ", "\t", "\x1c", "\x85", "<|endoftext|>", "ǅ", "K", "Å"]
+            "Ⅳ", "_", "\u200d", "😀", "\u00a0", "\u2003", " ", "\t", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "<|end", "ǅ", "K", "Å"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     found = list(records.WordEncoder(path).texts(pa.array(texts, pa.string())))
     for text, ids in zip(texts, found, strict=True):
@@ -219,7 +229,6 @@ def test_record_table_checksums(spark, docs, rows):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     found = records.record_table(docs, path).collect()
     expected = Counter()
     for r in rows:
