@@ -1,8 +1,9 @@
 """URL filter by empirical-Bayes host reputation, under explicit rules.
 
 Labelled outcomes of pages (good or bad) give each host a rate. Hosts with few labels say little,
-so rates are shrunk from the top down: the suffix (last label) to the overall rate, the registered
-domain (last two labels) to its suffix, the host to its domain. How strongly is learnt per level:
+so rates are shrunk from the top down: the suffix to the overall rate, the registered domain (one
+label more) to its suffix, the host to its domain. A suffix is the last label, or the longest of the
+given ``suffixes`` of several labels (``co.uk``) that the host ends with. How strongly is learnt per level:
 the strength of the beta prior comes from the variance between siblings beyond binomial noise
 (analysis-of-variance estimate of the beta-binomial correlation). A host is blocked when the upper
 bound of its posterior (mean plus ``Z`` deviations) stays below ``LEAST_GOOD`` of the overall rate.
@@ -10,8 +11,10 @@ bound of its posterior (mean plus ``Z`` deviations) stays below ``LEAST_GOOD`` o
 Rules decide first: a rule ``host/path`` fits its host and all subdomains if the url's path starts
 with the rule's; the longest wins. A null url or one without ``://`` has empty host and path and is
 a host of its own. Repeated pages are judged each; a page without a label only takes the prior.
-Empty tables give an empty result. All aggregates combine map-side; the overall rate and the three
-strengths, one row each, go through the driver.
+A page that is there n times with a label counts n outcomes; ids may be null, and a null id has no
+label. Other columns stay as they are, whatever their names. Empty tables give an empty result. All
+aggregates combine map-side into one written row per host, which the levels above are made of; the
+overall rate and the three strengths, one row each, go through the driver.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .common import fresh
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (
     ("org/", "allow"),
     ("example.org/es/", "block"),
-    ("example.org/en/1", "allow"),
+    ("example.org/en/1", "block"),
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
@@ -87,19 +91,28 @@ def _shrunk(groups: DataFrame, prior: str, strength: float) -> Column:
     return (F.col("good") + strength * F.col(prior)) / (F.col("n") + strength)
 
 
+def _levels(host: str, suffixes: Sequence[str]) -> tuple[Column, Column]:
+    """Suffix and registered domain of a host."""
+    labels = F.split(host, r"\.")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    by_size: dict[int, list[str]] = {}
+    for suffix in suffixes:
+        by_size.setdefault(suffix.count(".") + 1, []).append(suffix)
+    n = F.lit(1)
+    for size in sorted(by_size):
+        n = F.when((F.size(labels) >= size) & last(F.lit(size)).isin(by_size[size]), F.lit(size)).otherwise(n)
+    return last(n), last(n + 1)
+
+
 def host_reputation(
-    outcomes: DataFrame, z: float = Z, least_good: float = LEAST_GOOD
+    outcomes: DataFrame, z: float = Z, least_good: float = LEAST_GOOD, suffixes: Sequence[str] = ()
 ) -> DataFrame:
     """host, n, good, reputation, upper and blocked, from host and good (true, false or null)."""
     hosts = outcomes.groupBy("host").agg(
         F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good")
     )
-    labels = F.split("host", r"\.")
-    hosts = hosts.select(
-        "host", "n", "good",
-        F.element_at(labels, -1).alias("suffix"),
-        F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"),
-    )
+    suffix, domain = _levels("host", suffixes)
+    hosts = materialize(hosts.select("host", "n", "good", suffix.alias("suffix"), domain.alias("domain")), "hosts")
     totals = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     overall = ((totals["good"] or 0) + 1.0) / ((totals["n"] or 0) + 2.0)
 
@@ -123,6 +136,7 @@ def host_reputation(
 def judge_urls(
     pages: DataFrame, labels: DataFrame, id_column: str = "page_id", url: str = "url",
     rules: Sequence[tuple[str, str]] = RULES, z: float = Z, least_good: float = LEAST_GOOD,
+    suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """The pages with host, path, rule, verdict and the host's reputation.
 
@@ -137,7 +151,7 @@ def judge_urls(
     outcomes = pages.join(labels, F.col(id_column) == F.col(key), "left").select(
         "host", F.col(good).alias("good")
     )
-    rated = host_reputation(outcomes, z, least_good).select(
+    rated = host_reputation(outcomes, z, least_good, suffixes).select(
         F.col("host").alias(h), "reputation", "blocked"
     )
     judged = pages.join(rated, F.col("host") == F.col(h), "left").withColumn(
@@ -209,8 +223,8 @@ WITH p AS (
   FROM p JOIN v ON p.host = v.host
 )
 SELECT page_id, host, path, rule, CASE
-  WHEN rule IN ('org/', 'example.org/en/1', 'com/fr/') THEN 'allow'
-  WHEN rule IN ('example.org/es/', 'com/de/') THEN 'block'
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+  WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block'
   WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM j
 """

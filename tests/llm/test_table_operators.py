@@ -152,8 +152,10 @@ def test_rules_and_urls(spark):
     none = spark.createDataFrame([], "page_id long, good boolean")
     for r in hosts.judge_urls(pages, none).collect():
         assert (r["host"], r["path"], r["rule"]) == urls[r["url"]], r
-        assert r["verdict"] == {"org/": "allow", "example.org/en/1": "allow", "com/fr/": "allow",
-                                None: "allow"}.get(r["rule"], "block")
+        # As the rules are worded: allow org/, block example.org/es/, block example.org/en/1,
+        # allow com/fr/, block com/de/; without a rule and without labels nothing is held against a host.
+        assert r["verdict"] == {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block",
+                                "com/fr/": "allow", "com/de/": "block", None: "allow"}[r["rule"]]
 
 
 def test_bad_hosts_are_blocked_and_unknown_ones_follow_their_domain(spark):
@@ -168,6 +170,19 @@ def test_bad_hosts_are_blocked_and_unknown_ones_follow_their_domain(spark):
     assert reputation["a.bad.net"] < reputation["new.bad.net"] < reputation["a.good.net"]
 
 
+def test_suffixes_of_several_labels_and_clashing_columns(spark):
+    names = [f"h{i % 7}.{d}.co.uk" for d in ("good", "bad") for i in range(60)] + ["co.uk", "new.bad.co.uk"]
+    rows = [(i, f"https://{h}/", "mine", None, 1) for i, h in enumerate(names)] + [(None, "https://h1.good.co.uk/", "mine", "x", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, suffix string, domain string, n int")
+    labels = spark.createDataFrame([(i, ".good." in h) for i, h in enumerate(names[:120])], "page_id long, good boolean")
+    apart = {r["host"]: r for r in hosts.judge_urls(pages, labels, suffixes=["co.uk", "gov.uk"]).collect()}
+    assert apart["h1.bad.co.uk"]["verdict"] == "block" and apart["h1.good.co.uk"]["verdict"] == "allow"
+    assert {r["suffix"] for r in apart.values()} == {"mine"}
+    one = {r["host"]: r for r in hosts.judge_urls(pages, labels).collect()}
+    assert apart["new.bad.co.uk"]["reputation"] < 0.4 < one["new.bad.co.uk"]["reputation"] + 0.2
+    assert hosts.judge_urls(pages, labels, suffixes=["co.uk"]).count() == len(rows)
+
+
 def test_empty_tables(spark):
     empty = cases.none(spark)
     assert exact.exact_groups(empty).collect() == [] and exact.exact_dedup(empty).collect() == []
