@@ -7,14 +7,19 @@ so edges point in diverse directions and some of them far. Edges are also set ba
 that has too many is pruned again. Inner products become distances with one more coordinate (the
 root of the greatest squared norm less the vector's own), which is 0 for queries.
 
-Every query is searched in every shard by beam search; the best per shard are merged. A shard has at
-most ``SHARD_ROWS`` vectors as long as ``SPREAD`` shards are enough; beyond that shards grow up to
-``MOST_ROWS``, then their number does. Queries come to a shard in blocks of ``QUERY_BLOCK``.
-
-Vectors that are null, zero, of another length than the longest, or that hold null or non-finite
-components take no part, nor do rows without an id. Identical vectors are one vertex that carries
-its ``k + 1`` smallest ids, all that a result of ``k`` can need: no copies crowd the graph, and none
-are lost. Ties go to the smaller id. Fewer than ``k`` candidates give as many rows; none give none.
+Every query is searched in every shard by beam search; the best per shard are merged. A shard has
+about ``SHARD_ROWS`` vectors, however large the table. How wide a beam has to be depends on the
+vectors: once a shard's graph is built, ``PROBES`` of its own vectors are searched in it and by brute
+force, and the beam doubles from ``QUERY_BEAM`` until ``RECALL`` of their neighbours are found (at the
+width of the shard all are). Queries come to a shard in blocks of ``QUERY_BLOCK``.
+
+Vectors that are null, zero, of another length than the most frequent one (ties: the longer), or that
+hold null or non-finite components take no part, nor do rows without an id. Graphs are walked in
+single precision, scores are computed in double precision from the vectors as given. Identical
+vectors are one vertex that carries its ``k + 1`` smallest ids, all that a result of ``k`` can need:
+no copies crowd the graph, and none are lost. Rows repeated with one id count once; an id with
+several vectors is as near as its nearest, as query and as candidate. Ties go to the smaller id.
+Fewer than ``k`` candidates give as many rows; none give none. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,15 +38,15 @@ BUILD_BEAM = 64
 QUERY_BEAM = 120
 EXPAND = 4
 RELAX = 1.2
-SHARD_ROWS = 8_192
-MOST_ROWS = 1_000_000
-SPREAD = 64
+SHARD_ROWS = 16_384
+PROBES = 100
+RECALL = 0.97
 QUERY_BLOCK = 65_536
 SEEN_CELLS = 32 << 20
 
 
 def shard_count(vectors: int) -> int:
-    return max(1, min(-(-vectors // SHARD_ROWS), SPREAD), -(-vectors // MOST_ROWS))
+    return max(1, -(-vectors // SHARD_ROWS))
 
 
 def beam_search(
@@ -170,6 +175,25 @@ def _set_back(batch, kept, edges, filled, vectors) -> None:
         filled[points] = (kept < n).sum(axis=1)
 
 
+def wide_enough(vectors: np.ndarray, edges: np.ndarray, points: np.ndarray, k: int, beam: int) -> int:
+    """The beam, doubled from ``beam``, that finds ``RECALL`` of the ``k`` best for a sample of points.
+
+    ``vectors`` have the coordinate that makes inner products distances; ``points`` have 0 there.
+    """
+    n = len(vectors)
+    k = min(k, n)
+    some = np.random.default_rng(3).permutation(n)[:PROBES]
+    least = -np.sort(-(points[some] @ vectors.T), axis=1)[:, k - 1]
+    while beam < n:
+        _, costs = beam_search(points[some], vectors, edges, beam)
+        # Scores are compared, not places, so that ties are as good as each other.
+        found = (costs[:, :k] <= -least[:, None] + 1e-5 * np.abs(least[:, None])).sum(axis=1)
+        if np.minimum(found, k).sum() >= RECALL * k * len(some):
+            return beam
+        beam = min(2 * beam, n)
+    return n
+
+
 def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise, in double precision, added from the first component to the last."""
     total = np.zeros(len(a))
@@ -178,15 +202,18 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _matrix(column: pa.ChunkedArray, kind: str = "<f4") -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.zeros((0, 0), kind)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    rows = len(column)
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1 if rows else 0)
 
 
 def _usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     usable = vectors.select(
-        F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"),
+        F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"),
         F.coalesce(bad, F.lit(True)).alias("bad"), norm.alias("norm"),
     ).where("id IS NOT NULL AND NOT bad AND norm > 0 AND norm < double('infinity')")
     return usable.select("id", "vector", "norm")
@@ -201,58 +228,69 @@ def nearest(
     ``is_query`` is a condition on a column ``id``.
     """
     usable = materialize(_usable(vectors, id_column, vector), "ann-vectors")
-    longest, most = usable.agg(F.max(F.size("vector")), F.max("norm")).first()
-    usable = usable.where(F.size("vector") == (longest or 0))
+    sizes = usable.groupBy(F.size("vector").alias("size")).count()
+    size = sizes.agg(F.max(F.struct("count", "size")).alias("most")).first()["most"]
+    usable = usable.where(F.size("vector") == (size["size"] if size else 0)).distinct()
     copies = Window.partitionBy("vector").orderBy("id")
     first = usable.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
     distinct = materialize(
         first.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.max("norm").alias("norm")),
         "ann-distinct",
     )
-    shards = shard_count(distinct.count())
+    count, most = distinct.agg(F.count(F.lit(1)), F.max("norm")).first()
+    shards = shard_count(count)
     greatest = float(most or 0)
 
     def build(rows: pa.Table) -> pa.Table:
-        x = np.array(rows.column("vector").to_pylist(), np.float32)
-        extra = np.sqrt(np.maximum(greatest - np.array(rows.column("norm").to_pylist()), 0))
-        wide = np.concatenate((x, extra[:, None].astype(np.float32)), axis=1)
+        x = _matrix(rows.column("vector"))
+        extra = np.sqrt(np.maximum(greatest - rows.column("norm").to_numpy(), 0))
+        wide = np.concatenate((x, extra[:, None]), axis=1).astype(np.float32)
         middle = int(((wide - wide.mean(axis=0)) ** 2).sum(axis=1).argmin())
         order = np.concatenate(([middle], np.delete(np.arange(len(x)), middle)))
-        edges = build_graph(wide[order])[: len(x)]
-        ids = rows.column("ids").to_pylist()
+        wide, n = wide[order], len(x)
+        edges = build_graph(wide)
+        asked = np.concatenate((wide[:, :-1], np.zeros((n, 1), np.float32)), axis=1)
+        reach = wide_enough(wide, edges, asked, k + 1, beam)
         return pa.table({
             "shard": rows.column("shard").take(pa.array(order)),
-            "node": pa.array(np.arange(len(x))),
-            "vector": pa.array([v.astype("<f4").tobytes() for v in x[order]], pa.binary()),
-            "ids": pa.array([np.array(ids[i], "<i8").tobytes() for i in order], pa.binary()),
-            "edges": pa.array([e[e < len(x)].astype("<i4").tobytes() for e in edges], pa.binary()),
+            "node": pa.array(np.arange(n)),
+            "vector": pa.array([v.tobytes() for v in x[order]], pa.binary()),
+            "ids": rows.column("ids").take(pa.array(order)),
+            "edges": pa.array([e[e < n].astype("<i4").tobytes() for e in edges[:n]], pa.binary()),
+            "beam": pa.array(np.full(n, reach, np.int32)),
         })
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
     graph = materialize(
         dealt.groupBy("shard").applyInArrow(
-            build, "shard int, node long, vector binary, ids binary, edges binary"), "ann-graph")
+            build, "shard int, node long, vector binary, ids array<long>, edges binary, beam int"), "ann-graph")
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         rows = rows.sort_by("node")
         n, q = rows.num_rows, len(asked)
         found = {"query_id": [], "vec_id": [], "score": []}
         if n and q:
-            x = _matrix(rows.column("vector"))
+            x = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in rows.column("vector")])
             edges = np.full((n + 1, SLACK_DEGREE), n, np.int64)
             for i, e in enumerate(rows.column("edges")):
                 own = np.frombuffer(e.as_buffer(), "<i4")
                 edges[i, : len(own)] = own
-            ids = [np.frombuffer(i.as_buffer(), "<i8") for i in rows.column("ids")]
-            want = np.array(asked.column("vector").to_pylist(), np.float32)
-            nodes, _ = beam_search(want, x, edges, beam)
+            ids = rows.column("ids").to_pylist()
+            want = _matrix(asked.column("vector"))
+            nodes, _ = beam_search(
+                want.astype(np.float32), x.astype(np.float32), edges, rows.column("beam")[0].as_py())
             row, col = np.nonzero(nodes >= 0)
             score = inner_products(want[row], x[nodes[row, col]])
             for i, own in enumerate(asked.column("id").to_pylist()):
-                mine = slice(*np.searchsorted(row, [i, i + 1]))
-                some = [(-s, c) for v, s in zip(nodes[i, col[mine]].tolist(), score[mine].tolist(), strict=True)
-                        for c in ids[v].tolist() if c != own]
-                for s, c in sorted(some)[:k]:
+                mine, best = slice(*np.searchsorted(row, [i, i + 1])), {}
+                some = sorted(zip((-score[mine]).tolist(), nodes[i, col[mine]].tolist(), strict=True))
+                for at, (s, v) in enumerate(some):
+                    if len(best) >= k and s > some[at - 1][0]:
+                        break
+                    for c in ids[v]:
+                        if c != own:
+                            best.setdefault(c, s)
+                for c, s in sorted(best.items(), key=lambda x: (x[1], x[0]))[:k]:
                     found["query_id"].append(own)
                     found["vec_id"].append(c)
                     found["score"].append(-s)
@@ -267,6 +305,7 @@ def nearest(
     parts = graph.withColumn("block", every(blocks))
     best = parts.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(
         search, "query_id long, vec_id long, score double")
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

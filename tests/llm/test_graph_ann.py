@@ -1,7 +1,7 @@
 """Graph search against brute force."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -17,15 +17,18 @@ def brute(rows, k):
     """Best k per query by the same sums, ties to the smaller id."""
     good = [(i, v) for i, v in rows if i is not None and v is not None and all(
         x is not None and math.isfinite(x) for x in v) and any(v)]
-    size = max((len(v) for _, v in good), default=0)
-    good = [(i, np.array(v, np.float32)) for i, v in good if len(v) == size]
+    sizes = Counter(len(v) for _, v in good)
+    size = max(sizes, key=lambda n: (sizes[n], n), default=0)
+    good = [(i, np.array(v, float)) for i, v in good if len(v) == size]
     found = {}
     for i, v in good:
         if i % 20 == 0:
             others = [(j, w) for j, w in good if j != i]
-            if others:
-                score = graph_ann.inner_products(np.array([w for _, w in others]), np.array([v] * len(others)))
-                found[i] = sorted(zip((-score).tolist(), [j for j, _ in others], strict=True))[:k]
+            score = graph_ann.inner_products(np.array([w for _, w in others] or [v]), np.array([v] * max(1, len(others))))
+            best = found.setdefault(i, {})
+            for s, (j, _) in zip(score.tolist(), others, strict=False):
+                best[j] = max(s, best.get(j, s))
+    found = {i: sorted((-s, j) for j, s in best.items())[:k] for i, best in found.items() if best}
     return found
 
 
@@ -69,8 +72,41 @@ def test_few_vectors(spark, n):
     assert compare(spark, df, 20) == (1.0 if n > 1 else 0.0)
 
 
-def test_shards_grow_after_they_are_many():
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(100)]
+    rows = rows * 3 + [(20, rows[5][1]), (7, rows[60][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert compare(spark, df, 20) >= 0.97
+
+
+def test_one_overlong_vector_and_double_precision(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=5)
+    rows = [(i, (base + 1e-9 * rng.normal(size=5) * (i < 60)).tolist() if i < 60 else rng.normal(size=5).tolist())
+            for i in range(120)] + [(500, [9.0] * 6), (520, [9.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert compare(spark, df, 70) >= 0.97
+
+
+def test_shards_keep_their_size():
     assert graph_ann.shard_count(0) == 1
-    assert graph_ann.shard_count(60_000) == 8
-    assert graph_ann.shard_count(10_000_000) == graph_ann.SPREAD
-    assert graph_ann.shard_count(640_000_000) == 640
+    assert graph_ann.shard_count(graph_ann.SHARD_ROWS + 1) == 2
+    assert graph_ann.shard_count(10**9) == -(-(10**9) // graph_ann.SHARD_ROWS)
+
+
+def test_recall_without_structure_in_a_full_shard():
+    """Gaussian vectors, as many as a shard has: the probe finds how wide the beam has to be."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(graph_ann.SHARD_ROWS, 64)).astype(np.float32)
+    norm = (x.astype(float) ** 2).sum(axis=1)
+    wide = np.concatenate((x, np.sqrt(norm.max() - norm)[:, None]), axis=1).astype(np.float32)
+    edges = graph_ann.build_graph(wide)
+    asked = np.concatenate((x, np.zeros((len(x), 1), np.float32)), axis=1)
+    beam = graph_ann.wide_enough(wide, edges, asked, 21, graph_ann.QUERY_BEAM)
+    some = rng.choice(len(x), 200, replace=False)
+    nodes, _ = graph_ann.beam_search(asked[some], wide, edges, beam)
+    best = np.argsort(-(x[some] @ x.T), axis=1)[:, :21]
+    hits = sum(len(set(a) & set(b)) for a, b in zip(nodes[:, :21].tolist(), best.tolist(), strict=True))
+    assert hits >= 0.9 * best.size
+    assert beam > graph_ann.QUERY_BEAM
