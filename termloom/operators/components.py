@@ -1,8 +1,15 @@
-"""Connected components by alternating large-star and small-star (Kiveris et al., 2014).
-
-Every step replaces neighbours by the smallest neighbour. The minimum is a map-side combined
-aggregate that is joined back, never a window over a node's neighbours, so a node joined to a
-large part of the graph is split over tasks.
+"""Connected components by randomised leader contraction (after Bögeholz, Brand and Todor, 2020).
+
+In a round every node hooks to a leader, the smallest of itself and its neighbours in an order that
+is drawn anew by hash each round; nodes with very many neighbours come first in it. Edges are then
+relabelled with their ends' leaders, and those that became loops or copies go, so the graph shrinks
+by a part of its nodes in every round whatever its shape, and a star is done at once. A node's
+component follows from the rounds' leaders, put together from the last round back to the first.
+
+No task gets a node's edges together: leaders come from an aggregate with map-side combining, and
+wherever rows look up a node that many of them share, ``skew.join_unique`` splits them. Edges are
+contracted inside each partition before every round, so only spanning stars move. Once a graph has
+``LAST_EDGES`` edges or fewer, one task ends it.
 """
 
 from __future__ import annotations
@@ -14,27 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(
-        edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    )
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    )
-
+from ..storage import discard, materialize
+from .skew import hot_keys, join_unique
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """For edges with v < u: hang u and its smaller neighbours on the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").where("v != m").select(
-        F.col("v").alias("u"), F.col("m").alias("v")
-    )
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+LAST_EDGES = 10_000
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -61,39 +51,75 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(work, "u long, v long")
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+def _leaders(both: DataFrame, hot: DataFrame, turn: int) -> DataFrame:
+    """node and leader of every node with an edge; ``both`` has each edge in both directions."""
+    crowded = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    place = lambda n: F.struct(
+        F.col("_hot").isNull().alias("few"), F.xxhash64(F.lit(turn), n).alias("draw"), F.col(n).alias("id")
     )
-
-
-def _settled(stars: DataFrame) -> DataFrame:
-    """Stars of which every node hangs on the smallest id it is connected to.
-
-    Each round at least halves the longest way to a root or shortens it to one step, so their
-    number grows with the logarithm of the largest component, not with the table.
-    """
-    seen = None
-    while (now := _signature(stars)) != seen and now[0]:
-        seen = now
-        stars = materialize(_contract(_small_star(_large_star(stars))), "stars")
-    return stars
+    near = both.join(crowded.withColumnRenamed("node", "v"), "v", "left")
+    best = near.groupBy("u").agg(F.min(place("v")).alias("best"))
+    own = best.withColumnRenamed("u", "node").join(crowded, "node", "left")
+    return own.select("node", F.least("best", place("node")).getField("id").alias("leader"))
+
+
+def _relabelled(edges: DataFrame, leaders: DataFrame, hot: DataFrame) -> DataFrame:
+    for end in ("u", "v"):
+        there = leaders.select(F.col("node").alias(end), F.col("leader").alias("_leader"))
+        crowded = hot.withColumnRenamed("node", end)
+        edges = join_unique(edges, there, [end], hot=crowded).drop(end).withColumnRenamed("_leader", end)
+    return edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _rounds(edges: DataFrame) -> list[DataFrame]:
+    """node and leader of every round; a leader that is no node of the next round is its last."""
+    found = []
+    while (left := edges.count()) > LAST_EDGES:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hot = hot_keys(both, "u").withColumnRenamed("u", "node")
+        leaders = materialize(_leaders(both, hot, len(found)), "leaders")
+        found.append(leaders)
+        smaller = materialize(_contract(_relabelled(edges, leaders, hot)), "edges")
+        discard(edges, hot)
+        edges = smaller
+    if left:
+        stars = _contract(edges.coalesce(1))  # LAST_EDGES rows at most
+        found.append(materialize(stars.select(F.col("u").alias("node"), F.col("v").alias("leader")), "leaders"))
+    return found
+
+
+def _roots(rounds: list[DataFrame]) -> DataFrame:
+    """node and root, the same for all nodes of a component, of every node of the first round."""
+    roots = None
+    for leaders in reversed(rounds):
+        found = leaders.withColumnRenamed("leader", "root")
+        if roots is not None:
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+            found = join_unique(found, above, ["root"], "left").select("node", F.coalesce("_top", "root").alias("root"))
+            found = materialize(found, "roots")
+        roots = found
+    return roots
 
 
 def connected_components(
     edges: DataFrame, vertices: DataFrame, id_column: str = "row_ord"
 ) -> DataFrame:
-    """Add ``component`` (smallest id reachable) to the vertices; isolated ones keep their own.
-
-    Edges are contracted inside each partition first, so a round only moves stars.
-    """
-    stars = edges.where("src != dst").select(
+    """Add ``component`` (smallest id reachable) to the vertices; isolated ones keep their own."""
+    spread = edges.where("src != dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     )
-    stars = _settled(materialize(_contract(stars), "stars"))
-    roots = stars.select(F.col("u").alias(id_column), F.col("v").alias("_root"))
+    rounds = _rounds(materialize(_contract(spread), "edges"))
+    if not rounds:
+        return vertices.withColumn("component", F.col(id_column))
+    roots = _roots(rounds)
+    # The root of a bounded last task is no node of it, yet a member of its component.
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = materialize(members.groupBy("root").agg(F.min("node").alias("least")), "least")
+    named = join_unique(roots, least, ["root"]).select("node", "least")
+    named = named.unionByName(least.select(F.col("root").alias("node"), "least")).distinct()
+    named = named.select(F.col("node").alias(id_column), F.col("least").alias("_least"))
     return (
-        vertices.join(roots, id_column, "left")
-        .withColumn("component", F.coalesce("_root", id_column))
-        .drop("_root")
+        vertices.join(named, id_column, "left")
+        .withColumn("component", F.coalesce("_least", id_column))
+        .drop("_least")
     )

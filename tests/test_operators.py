@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.config import Settings
-from termloom.operators import describe, graph, lexical, ordinals, prepare, semantic, split
+from termloom import storage
+from termloom.operators import components, describe, graph, lexical, ordinals, prepare, semantic, skew, split
 from termloom.operators.components import connected_components
 from termloom.operators.neighbors import knn_join
 from termloom.operators.labels import single_label, topic_labels
@@ -248,6 +249,40 @@ def test_components_equal_union_find(spark, name, n, pairs):
     want = brute.components(n, pairs)
     assert [r["component"] for r in got.orderBy("row_ord").collect()] == want
 
+@pytest.mark.parametrize("shape", ["star", "path", "hubs", "random", "cliques"])
+def test_components_in_many_rounds(spark, monkeypatch, shape):
+    """No last task, hot keys from few rows on: every step of the contraction is taken."""
+    monkeypatch.setattr(components, "LAST_EDGES", 0)
+    monkeypatch.setattr(skew, "LEAST_HOT", 8)
+    rng = random.Random(4)
+    n = 400
+    pairs = {
+        "star": [(i, 7) for i in range(n) if i != 7],
+        "path": [(i, i + 1) for i in range(n - 1)],
+        "hubs": [(i, rng.choice([3, 50, 51])) for i in range(n)] + [(500, 501), (-9, 500)],
+        "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)],
+        "cliques": [(10 * (i // 10) + a, 10 * (i // 10) + b) for i in range(0, n, 10) for a in range(4) for b in range(a)],
+    }[shape]
+    names = sorted({x for p in pairs for x in p} | set(range(n)))
+    place = {x: i for i, x in enumerate(names)}
+    edges = spark.createDataFrame(pairs, "src long, dst long").repartition(6)
+    got = connected_components(edges, spark.createDataFrame([(x,) for x in names], "row_ord long"))
+    want = brute.components(len(names), [(place[a], place[b]) for a, b in pairs])
+    assert {r["row_ord"]: r["component"] for r in got.collect()} == {x: names[want[place[x]]] for x in names}
+
+
+def test_join_on_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HOT", 10)
+    rows = storage.materialize(spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k")), "rows")
+    table = storage.materialize(spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 5).alias("x")).union(
+        spark.createDataFrame([(1, 5)], "k long, x long")), "table")
+    assert [r[0] for r in skew.hot_keys(rows, "k").collect()] == [1]
+    for how in ("inner", "left"):
+        got = skew.join_unique(rows, table, ["k"], how).select("id", "k", "x").collect()
+        want = rows.join(table, "k", how).select("id", "k", "x").collect()
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 
 # Clusters
 
