@@ -45,7 +45,8 @@ SEED_WORDS = 8
 HEAVY_PARTS = 8
 LARGEST = (1 << 63) - 1
 FACTOR = 0x9E3779B97F4A7C15
-BUCKET_WORDS = 1 << 20
+BUCKET_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SUPERS = "minimiser long, doc long, text_key long, start int, windows int"
 
 
@@ -115,7 +116,7 @@ def _listed(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", SLICE_BYTES):
                 row, start, windows, minimiser = super_kmers(part.column("text"), window, seed_words)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(minimiser), part.column("doc").take(pa.array(row)),
@@ -127,22 +128,32 @@ def _listed(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
-    """The documents with their texts compressed."""
+    """The documents with their texts compressed and the size they had."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                texts = pa.array([squeeze(t.as_buffer()) for t in part.column("text")], pa.binary())
-                columns = [texts if n == "text" else part.column(n) for n in part.schema.names]
-                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+            for part in byte_slices(batch, "text", SLICE_BYTES):
+                texts = part.column("text")
+                columns = {n: part.column(n) for n in part.schema.names}
+                columns["text"] = pa.array([squeeze(t.as_buffer()) for t in texts], pa.binary())
+                columns["size"] = pc.cast(pc.binary_length(texts), pa.int64())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(work, docs.schema)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(work, f"{kinds}, size long")
 
 
-def _unsqueezed(column: pa.Array) -> pa.Array:
+def _unsqueezed(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of a batch with about ``SLICE_BYTES`` of text, or one text, and their texts."""
     grow = zstandard.ZstdDecompressor().decompress
-    return pa.array([grow(t.as_buffer()) for t in column], pa.binary())
+    sizes = batch.column("size").to_numpy()
+    start = 0
+    while start < len(sizes):
+        fits = int(np.searchsorted(np.cumsum(sizes[start:]), SLICE_BYTES, "right"))
+        part = batch.slice(start, max(1, fits))
+        yield part, pa.array([grow(t.as_buffer()) for t in part.column("text")], pa.binary())
+        start += part.num_rows
 
 
 def _packed(joined: DataFrame, window: int) -> DataFrame:
@@ -150,10 +161,11 @@ def _packed(joined: DataFrame, window: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text", 1 << 20):
-                words, lengths = split_words(_unsqueezed(part.column("text")))
+            for part, texts in _unsqueezed(batch):
+                words, lengths = split_words(texts)
                 ends = np.concatenate(([0], np.cumsum(pc.binary_length(words).to_numpy() + 1)))
-                data = b" ".join(words.to_pylist())
+                whole = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+                data = pc.binary_join(whole, b" ")[0].as_py()
                 lists = part.column("supers")
                 flat = lists.flatten()
                 counts = np.diff(lists.offsets.to_numpy())
@@ -249,7 +261,7 @@ def _judged(packed: DataFrame, window: int, width: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.column("words").nbytes
-            if size < BUCKET_WORDS * 8:
+            if size < BUCKET_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
             key = rows.column("minimiser").to_numpy()
@@ -328,12 +340,12 @@ def dedup_substrings(
     )
     found = repeated_passages(narrow, window, seed_words)
     gone = found.groupBy("doc", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
-    joined = _squeezed(narrow).join(gone, ["doc", "text_key"], "left").select("doc_id", "text", "gone")
+    joined = _squeezed(narrow).join(gone, ["doc", "text_key"], "left").select("doc_id", "text", "size", "gone")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text", 1 << 20):
-                words, lengths = split_words(_unsqueezed(part.column("text")))
+            for part, texts in _unsqueezed(batch):
+                words, lengths = split_words(texts)
                 lists = part.column("gone")
                 flat, counts = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
                 row = np.repeat(np.arange(len(lengths)), counts)
