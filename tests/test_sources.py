@@ -2,6 +2,7 @@
 
 import csv
 import io
+import random
 
 import pytest
 
@@ -80,6 +81,65 @@ def test_layouts_are_put_together_in_file_order(spark, folder):
     assert got == [(0, "pots", "5", None), (1, "vases", None, "31"), (2, "trays", "6", None)]
 
 
+@pytest.fixture
+def short_ranges(spark):
+    """Files are cut every few hundred bytes."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    for name in names:
+        spark.conf.set(name, "400")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("encoding", ["utf-8-sig", "utf-16", "cp1252"])
+def test_ranges_begin_inside_quoted_cells(spark, folder, short_ranges, encoding):
+    """Breaks, delimiters and doubled quotes in cells, over many more ranges than records."""
+    odd = ["one; two\nthree, \"four\"\nfive", "plain", "\n\n", "a,b,c\n" * 20 + '"end"', 'tail"', "größe\r\nübrig"] * 4
+    lines = [[k, str(i), f"u{i}\nv" if i % 3 else ""] for i, k in enumerate(odd)]
+    got = read(spark, folder(shop=table(["Keyword", "Vol\nume", "URL"], lines, ";").encode(encoding)))
+    assert got.columns[:3] == ["Keyword", "Vol\nume", "URL"]
+    cell = lambda x: x.replace("\r\n", "\n") or None
+    want = [(cell(k), v, cell(u)) for k, v, u in lines]
+    assert [tuple((c or "").replace("\r\n", "\n") or None for c in tuple(r)[:3]) for r in got.collect()] == want
+    assert [r["row_ord"] for r in got.collect()] == list(range(len(lines)))
+
+
+def test_ranges_of_files_without_quotes(spark, folder, short_ranges):
+    lines = [[f"pot {i}", str(i), ""] for i in range(60)]
+    path = folder(**{f"f{n}": table(lines=lines[20 * n : 20 * n + 20]).encode() for n in range(3)})
+    assert [(r["row_ord"], r["Keyword"]) for r in read(spark, path).collect()] == [
+        (i, f"pot {i}") for i in range(60)]
+
+
+def test_the_delimiter_is_judged_over_all_lines(spark, folder):
+    """A quoted cell of more than 64 K characters full of other delimiters comes first."""
+    note = "so, here, are, many | words\nand, more, of, them\n" * 3_000
+    lines = [[note, "1", "x"], *([f"pot {i}", str(i), ""] for i in range(30))]
+    got = read(spark, folder(shop=table(lines=lines, delimiter=";").encode()))
+    rows = got.collect()
+    assert len(rows) == 31 and rows[0]["Keyword"] == note and rows[30]["Volume"] == "29"
+
+
+def test_quotes_inside_a_plain_cell_open_nothing(spark, folder):
+    path = folder(shop=b'Keyword,Volume\npipe 5" wide,1\nhose,2\npipe 7" wide,3\n"a ""b""\nc",4\n')
+    assert [tuple(r)[:2] for r in read(spark, path).collect()] == [
+        ('pipe 5" wide', "1"), ("hose", "2"), ('pipe 7" wide', "3"), ('a "b"\nc', "4")]
+
+
+def test_steps_compose(spark):
+    """Running composition against taking the lines one by one."""
+    rng = random.Random(3)
+    rows = [(p, b, r, rng.choice([0, 0, 1, 2, 3])) for p in "xy" for b in range(7) for r in range(rng.randint(1, 9))]
+    table = spark.createDataFrame(rows, "path string, block long, row long, step int").repartition(5)
+    got = {(r["path"], r["block"], r["row"]): r["inside"] for r in files.with_quote_state(table).collect()}
+    state = {}
+    for p, b, r, step in sorted(rows):
+        now = state.get(p, False)
+        assert got[p, b, r] == now
+        state[p] = [now, not now, False, True][step]
+
+
 # The first bytes that mark the two kinds of workbooks are fixed values.
 WORKBOOKS = {"xlsx": bytes.fromhex("504B0304"), "xls": bytes.fromhex("D0CF11E0A1B11AE1")}
 
