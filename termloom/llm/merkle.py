@@ -10,7 +10,7 @@ lower-case hex text.
 Each level is one pass of lag and lead windows at fixed offsets 1 to ``FAN - 1``, masked by the
 node's slot in its run and by where the run ends; they give the siblings of a proof, and the first
 child of each run hashes the parent. Nodes are numbered without gaps, so a window holds a block of
-``FAN ** 4`` consecutive nodes of a group, never a group: runs do not cross blocks, and a group with
+``FAN ** 2`` consecutive nodes of a group, never a group: runs do not cross blocks, and a group with
 most rows is as many blocks. A level is written as a table an ``FAN``-th as long as the one below.
 Proofs come down the same tables: a node's path is its own siblings and then its parent's path, so
 each join has one row per node on both sides. Only the root goes through the driver.
@@ -32,7 +32,7 @@ from ..storage import materialize
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FAN = 8
-BLOCK_LEVELS = 4
+BLOCK_LEVELS = 2
 NOTHING = b""
 
 
