@@ -137,7 +137,7 @@ class WordEncoder:
             return
         self.added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         either = b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
-        self.cut = re.compile(b"(" + either + b")") if self.added else None
+        self.cut = re.compile(b"(" + either + b")")
         # Words come from between added tokens; lower-casing may have made one look like them.
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -174,12 +174,10 @@ class WordEncoder:
                 for coded in self.tokenizer.encode_batch(some, add_special_tokens=False):
                     yield np.array(coded.ids, np.uint32)
             return
-        pieces = [[t.as_buffer().to_pybytes()] for t in texts]
-        if self.cut:
-            pieces = [self.cut.split(p[0]) for p in pieces]
-        if sum(map(len, pieces)) == len(texts):
+        if not any(pc.any(pc.match_substring(texts, t.decode())).as_py() for t in self.added):
             yield from self._plain(texts)
             return
+        pieces = [self.cut.split(t.as_buffer().to_pybytes()) for t in texts]
         between = pa.array([p for own in pieces for p in own[::2]], pa.binary()).view(pa.string())
         coded = self._plain(between)
         for own in pieces:
