@@ -3,9 +3,10 @@
 Texts are lower-cased, everything but letters becomes a space, and the byte n-grams (``ORDERS``)
 that do not run over a space, each with its word's edges, are hashed into ``BUCKETS``. A text is the
 mean of its n-grams' embeddings; a linear layer and softmax give the language. Both are trained by
-stochastic gradient descent in numpy on a bounded sample: of every language (at most the
-``LANGUAGES`` most frequent) the rows with the smallest hash of doc_id, at most ``SAMPLE_ROWS`` rows
-and ``SAMPLE_BYTES`` bytes of text in all.
+stochastic gradient descent in numpy on a bounded sample: rows that share an id and a text count once,
+and of every language those with the smallest hash are taken, as many of each as make at most
+``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes of text in all (small languages whole; with more
+languages than rows the most frequent). Of languages equally likely the one first by name is predicted.
 
 A quarter of the sample is kept from training and calibrates: a temperature makes the scores fit its
 labels, and the rejection threshold is the score below which lie at most ``REJECT_SHARE`` of it (and
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .common import byte_slices, fresh, small_batches
 
 ORDERS = (3, 4)
@@ -36,7 +38,6 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 8
 RATE = 0.5
-LANGUAGES = 500
 SAMPLE_ROWS = 6_000
 SLICE_BYTES = 1 << 20
 SAMPLE_BYTES = 24 << 20
@@ -139,6 +140,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _equal_share(sizes: list[int], total: int) -> int:
+    """The most rows of each language that add up to the total or less, small languages whole."""
+    left, open_ = total, len(sizes)
+    for n in sorted(sizes):
+        if n * open_ > left:
+            return left // open_
+        left, open_ = left - n, open_ - 1
+    return max(sizes, default=0)
+
+
 def learn(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang",
     sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
@@ -148,29 +159,33 @@ def learn(
     usable = docs.where(
         F.col(lang).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column) & (F.octet_length(text) > 0)
     )
-    counts = usable.groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    # Twice the rows that can be used of each language pass by hash, so that what is ordered by
-    # language below stays small, however many rows one language has.
-    shares = [F.when(F.col(lang) == name, F.lit(2.0 * sample_rows / n)) for name, n in counts]
-    unit = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_column)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    passing = unit < F.coalesce(*shares, F.lit(0.0)) if shares else F.lit(False)
-    drawn = usable.where(passing).select(
-        F.col(id_column).alias("id"), F.col(lang).alias("lang"), unit.alias("draw"),
-        F.octet_length(text).alias("size"),
+    i, h, g = fresh(docs, "sample_id", "sample_hash", "sample_lang")
+    each = usable.groupBy(F.col(id_column).alias(i), F.xxhash64(text).alias(h)).agg(
+        F.min(lang).alias(g), F.max(F.octet_length(text)).alias("size")
     )
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "size"))
-    drawn = drawn.withColumn("turn", turn).where(F.col("turn") <= sample_rows)
+    each = materialize(each, "labelled")
+    # One row per language, of the most frequent as many as there can be rows in the sample.
+    counts = each.groupBy(g).count().orderBy(F.desc("count"), g).limit(sample_rows).collect()
+    share = _equal_share([n for _, n in counts], sample_rows)
+    shares = docs.sparkSession.createDataFrame(
+        [(name, min(1.0, 2.0 * (share + 10) / n)) for name, n in counts], f"`{g}` string, share double"
+    )
+    # About twice the rows that can be used of each language pass by hash, so that what is ordered
+    # by language below stays small, however many rows one language has.
+    unit = F.pmod(F.xxhash64(F.lit("draw"), i, h), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = each.join(F.broadcast(shares), g).withColumn("draw", unit).where("draw < share")
+    drawn = drawn.withColumn("turn", F.row_number().over(Window.partitionBy(g).orderBy("draw", i, h)))
     picked, held = [], 0
-    for row in drawn.orderBy("turn", "lang").limit(sample_rows).collect():
+    for row in drawn.where(F.col("turn") <= share + 10).orderBy("turn", g).limit(sample_rows).collect():
         if held + row["size"] <= sample_bytes:
             held += row["size"]
-            picked.append((row["id"],))
-    (i,) = fresh(docs, "sample_id")
+            picked.append((row[i], row[h], row[g]))
     kind = docs.schema[id_column].dataType.simpleString()
-    ids = docs.sparkSession.createDataFrame(sorted(set(picked)), f"`{i}` {kind}")
-    sample = usable.join(F.broadcast(ids), F.col(id_column) == F.col(i)).select(
-        F.col(lang).alias("lang"), letters(text).alias("text")
-    )
+    keys = docs.sparkSession.createDataFrame(sorted(picked), f"`{i}` {kind}, `{h}` long, `{g}` string")
+    same = (F.col(id_column) == F.col(i)) & (F.xxhash64(text) == F.col(h))
+    sample = usable.join(F.broadcast(keys), same).groupBy(i, h).agg(
+        F.first(g).alias("lang"), F.first(letters(text)).alias("text")
+    ).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,7 +4,7 @@ import hashlib
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -74,6 +74,24 @@ def test_shards(docs, rows):
     assert set(wide.columns) == {*docs.columns, "slot"} and wide.count() == len(rows)
 
 
+def test_forty_shards_row_by_row(docs, rows):
+    """Every document's own size and checksum; shards nearly equal, slots without gaps, equal texts side by side."""
+    found = shard.shard_table(docs).collect()
+    facts = lambda r: (len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter((r["doc_id"], *facts(r)) for r in rows)
+    assert {(r["law"], r["grown_shard"]) for r in found} == {("bytes", None)}
+    per, slots, texts = Counter(), defaultdict(list), defaultdict(set)
+    for r in found:
+        assert 0 <= r["shard"] < 40
+        per[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        texts[r["text_crc32"], r["size"]].add(r["shard"])
+    share, largest = sum(per.values()) / 40, max(r["size"] for r in found)
+    assert all(abs(sum(per[s] for s in range(k)) - k * share) <= largest + 0.05 * share for k in range(1, 40))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(max(s) - min(s) == len(s) - 1 for s in texts.values())
+
+
 def test_shards_cut_a_hot_text(spark):
     """A text that a third of all rows share is cut by doc_id; sizes stay near equal."""
     hot = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("the same")).otherwise(

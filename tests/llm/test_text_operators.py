@@ -298,3 +298,53 @@ def test_byte_bpe_round_trip(docs, rows):
     expected = Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in rows)
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in found) == expected
     assert all(hashlib.sha256(bytes(r["ids"])).hexdigest() == r["ids_sha256"] for r in found)
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """Ids that repeat with one text count once; languages share the sample equally."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(rows) or langid.Model([], None, None, 1.0, 0.0))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:10]  # those that are learnt from
+    same = [(ids[i % 10], f"word number {i % 10} again", "en") for i in range(3_000)]
+    unlike = [(ids[0], f"other text {chr(97 + i % 26)}{chr(97 + i // 26)} here", "de") for i in range(500)]
+    few = [(ids[1], "trois mots ici", "fr")]
+    docs = spark.createDataFrame(same + unlike + few, "doc_id long, text string, lang string")
+    langid.learn(docs, sample_rows=60)
+    (rows,) = seen
+    by = Counter(r[0] for r in rows)
+    assert len(rows) <= 60 and by["en"] == 10 and by["fr"] == 1 and 20 <= by["de"] <= 49
+    assert langid._equal_share([5, 100, 1], 30) == 24 and langid._equal_share([1] * 9_000, 6_000) == 0
+    assert langid._equal_share([2, 3], 30) == 3
+
+
+def test_predictions_are_means_of_ngram_scores():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    scores = rng.normal(size=(3, langid.BUCKETS + 1)).astype(np.float32)
+    scores[:, -1] = 0
+    model = langid.Model(["de", "en", "fr"], scores, rng.normal(size=3), 0.7, 0.2)
+    texts = [" one two ", " ", "  ", " naïve café ", " a ", " " + "long " * 400, " x yz "]
+
+    def plain(text):
+        data, sums, count = text.encode(), model.bias * 0, 0
+        for n in langid.ORDERS:
+            for at in range(len(data) - n + 1):
+                gram = data[at : at + n]
+                if 32 in gram[1:-1]:
+                    continue
+                value = n
+                for byte in gram:
+                    value = value * 0x01000193 % (1 << 32) ^ byte
+                sums = sums + scores[:, (value * 0x9E3779B1 % (1 << 32)) >> 17].astype(float)
+                count += 1
+        logits = (sums / max(count, 1) + model.bias) / model.temperature
+        chance = np.exp(logits - logits.max())
+        chance /= chance.sum()
+        return model.languages[int(chance.argmax())], chance.max()
+
+    names, values = langid._predict(model, pa.array([t.encode() for t in texts], pa.binary()))
+    for text, name, value in zip(texts, names.to_pylist(), values.to_pylist(), strict=True):
+        want = plain(text)
+        assert name == want[0] and value == pytest.approx(want[1], rel=1e-5), text
