@@ -691,14 +691,14 @@ def k3_persist(spark, folder):
     base = scratch(spark, "store")
     for _ in range(2):  # running it again must not duplicate anything
         sinks.persist_results(run, base, "u1", "p1")
-    keywords = spark.read.parquet(f"{base}/cluster_keywords").groupBy("cluster_id").agg(
+    keywords = sinks.stored(spark, base, "cluster_keywords").groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("stored"), F.count_if("is_canonical").alias("canonical")
     )
-    members = spark.read.parquet(f"{base}/cluster_members").groupBy("cluster_id").agg(
+    members = sinks.stored(spark, base, "cluster_members").groupBy("cluster_id").agg(
         F.sum(F.size("keywords")).alias("listed")
     )
-    status = spark.read.parquet(f"{base}/uploads")
-    stored = spark.read.parquet(f"{base}/clusters").join(status, "upload_id")
+    status = sinks.stored_uploads(spark, base)
+    stored = sinks.stored(spark, base, "clusters").join(status, "upload_id")
     stored = stored.withColumnRenamed("id", "key")
     return (
         stored.join(keywords, F.col("key") == keywords["cluster_id"]).drop("cluster_id")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,6 +142,9 @@ def keyword_records(rows: DataFrame, clusters: DataFrame, upload_id: str) -> Dat
     )
 
 
+STORED = ("clusters", "cluster_members", "cluster_keywords")
+
+
 def persist_results(
     result: ClusteringResult,
     base: str,
@@ -149,18 +154,85 @@ def persist_results(
 ) -> None:
     """Store one upload's clusters, member lists and keywords; running it again replaces them.
 
-    The tables are partitioned by upload and only this upload's partition is overwritten. The
-    status is written last, so it never claims more than is there.
+    Every call writes a version of its own. Once all its tables are there, one appended row makes it
+    the upload's current version, which is what ``stored`` reads; a run that ends before that leaves
+    the version before it as it was, whole. ``drop_old_versions`` removes what is no longer read.
     """
+    spark = result.summary.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
     rows, clusters = json_safe(result.rows), json_safe(result.clusters)
-    records = cluster_records(clusters, upload_id, project_id, job_id).drop("upload_id")
-    write_export(records, f"{base}/clusters", upload_id=upload_id)
-    members = member_records(json_safe(result.members), upload_id)
-    write_export(members, f"{base}/cluster_members", upload_id=upload_id)
-    write_export(keyword_records(rows, clusters, upload_id), f"{base}/cluster_keywords",
-                 upload_id=upload_id)
-    status = result.summary.sparkSession.createDataFrame([("complete",)], "status string")
-    write_export(status, f"{base}/uploads", upload_id=upload_id)
+    tables = (
+        cluster_records(clusters, upload_id, project_id, job_id).drop("upload_id"),
+        member_records(json_safe(result.members), upload_id),
+        keyword_records(rows, clusters, upload_id),
+    )
+    for name, table in zip(STORED, tables, strict=True):
+        _append_version(table, f"{base}/{name}", upload_id, version)
+    turn = 0
+    if _exists(spark, f"{base}/uploads"):
+        mine = _read_pointers(spark, base).where(F.col("upload_id") == upload_id)
+        turn = (mine.agg(F.max("turn")).first()[0] or 0) + 1
+    pointer = spark.createDataFrame(
+        [(upload_id, turn, version, "complete")], "upload_id string, turn long, version string, status string"
+    )
+    pointer.coalesce(1).write.mode("append").parquet(f"{base}/uploads")  # one file, there or not
+
+
+def _append_version(df: DataFrame, path: str, upload_id: str, version: str) -> None:
+    named = df.withColumns({"upload_id": F.lit(upload_id), "version": F.lit(version)})
+    named.write.mode("append").partitionBy("upload_id", "version").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _read_pointers(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema("upload_id string, turn long, version string, status string").parquet(f"{base}/uploads")
+
+
+def stored_uploads(spark: SparkSession, base: str) -> DataFrame:
+    """upload_id, version and status of every upload that has been stored whole."""
+    latest = F.max(F.struct("turn", "version", "status")).alias("latest")
+    found = _read_pointers(spark, base).groupBy("upload_id").agg(latest)
+    return found.select("upload_id", "latest.version", "latest.status")
+
+
+def stored(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The current rows of a stored table (clusters, cluster_members or cluster_keywords).
+
+    Other versions' folders are not opened: upload and version are partitions.
+    """
+    table = spark.read.parquet(f"{base}/{name}")
+    kinds = {"upload_id": T.StringType(), "version": T.StringType()}
+    # As written: an upload named 007 is not the number seven.
+    fields = [T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in table.schema]
+    table = spark.read.schema(T.StructType(fields)).parquet(f"{base}/{name}")
+    current = stored_uploads(spark, base).select("upload_id", "version")
+    return table.join(current, ["upload_id", "version"]).drop("version")
+
+
+def drop_old_versions(spark: SparkSession, base: str) -> int:
+    """Delete the versions of stored uploads that are not current; returns how many.
+
+    Only for when nobody reads or stores: a version is there before its pointer.
+    """
+    current = {(r["upload_id"], r["version"]) for r in stored_uploads(spark, base).collect()}  # one row an upload
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = set()
+    for name in STORED:
+        root = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        files = root.getFileSystem(conf)
+        for upload in files.listStatus(root):
+            if not upload.isDirectory():
+                continue
+            for version in files.listStatus(upload.getPath()):
+                key = tuple(unquote(p.getPath().getName().split("=", 1)[-1]) for p in (upload, version))
+                if key not in current and version.isDirectory():
+                    files.delete(version.getPath(), True)
+                    gone.add(key)
+    return len(gone)
 
 
 def write_jdbc(df: DataFrame, url: str, name: str, batch: int = 500, **options) -> None:

@@ -201,17 +201,49 @@ def test_persisting_twice_replaces_one_upload_only(spark, run, tmp_path):
     base = str(tmp_path)
     for upload in ("spring", "autumn", "spring"):
         sinks.persist_results(run, base, upload, "project", "job")
-    clusters = spark.read.parquet(f"{base}/clusters")
-    words = spark.read.parquet(f"{base}/cluster_keywords")
-    members = spark.read.parquet(f"{base}/cluster_members")
+    clusters, members, words = (sinks.stored(spark, base, name) for name in sinks.STORED)
     per = {r["upload_id"]: r["count"] for r in words.groupBy("upload_id").count().collect()}
     assert per == {"spring": 30, "autumn": 30}
     assert clusters.count() == 2 * run.clusters.count() == clusters.select("id").distinct().count()
     assert words.join(clusters, words["cluster_id"] == clusters["id"]).count() == 60
     assert members.agg(F.sum(F.size("keywords"))).first()[0] == 60
     assert words.where("is_canonical").count() == clusters.count()
-    status = spark.read.parquet(f"{base}/uploads").collect()
+    status = sinks.stored_uploads(spark, base).select("status", "upload_id").collect()
     assert sorted(map(tuple, status)) == [("complete", "autumn"), ("complete", "spring")]
+    assert sinks.drop_old_versions(spark, base) == 1
+    assert sinks.stored(spark, base, "cluster_keywords").count() == 60
+    assert len(list((tmp_path / "clusters" / "upload_id=spring").glob("version=*"))) == 1
+
+
+@pytest.mark.parametrize("writes", [1, 2, 3])
+def test_a_run_that_ends_midway_leaves_the_version_before_it(spark, run, keywords, tmp_path, monkeypatch, writes):
+    base = str(tmp_path)
+    sinks.persist_results(run, base, "007", "project")
+    other = cluster_keywords(keywords(keyword=["tin roof", "tin roofs", "oak beam"]), row_ord="row_ord")
+    write, done = sinks._append_version, []
+
+    def failing(*args):
+        if len(done) == writes:
+            raise OSError("the machine is gone")
+        done.append(write(*args))
+
+    monkeypatch.setattr(sinks, "_append_version", failing)
+    if writes < 3:
+        with pytest.raises(OSError):
+            sinks.persist_results(other, base, "007", "project")
+    else:  # all tables are written, the pointer is not
+        monkeypatch.setattr(sinks, "_read_pointers", lambda *a: failing())
+        with pytest.raises(OSError):
+            sinks.persist_results(other, base, "007", "project")
+    monkeypatch.undo()
+    clusters, members, words = (sinks.stored(spark, base, name) for name in sinks.STORED)
+    assert words.count() == 30 and clusters.count() == run.clusters.count()
+    assert members.agg(F.sum(F.size("keywords"))).first()[0] == 30
+    assert {r["upload_id"] for r in words.select("upload_id").distinct().collect()} == {"007"}
+    sinks.persist_results(other, base, "007", "project")
+    assert sinks.stored(spark, base, "cluster_keywords").count() == 3
+    assert sinks.drop_old_versions(spark, base) == 2
+    assert sinks.stored(spark, base, "cluster_keywords").count() == 3
 
 
 def test_csv_export_is_guarded(spark, keywords, tmp_path):
@@ -280,6 +312,6 @@ def test_an_upload_in_several_batches_loses_nothing(spark, tmp_path):
     query = cluster_uploads(
         stream, lambda upload, result: sinks.persist_results(result, base, upload, "p"), str(tmp_path / "state"))
     query.awaitTermination(240)
-    kept = spark.read.parquet(f"{base}/cluster_keywords")
+    kept = sinks.stored(spark, base, "cluster_keywords")
     assert sorted((r["upload_id"], r["keyword"]) for r in kept.collect()) == [
         ("a", "brick arch"), ("a", "brick wall"), ("a", "clay tile"), ("b", "tar paper")]
