@@ -119,7 +119,8 @@ class Settings:
     precision: str = "double"  # of embeddings: float or double
     svd_components: int = 128
     svd_oversampling: int = 10
-    svd_power_passes: int = 5
+    svd_power_passes: int = 5  # at most
+    svd_tolerance: float = 1e-8  # residual of a direction, as part of the largest squared value
     seed: int = 42
 
     # Graph.

@@ -107,17 +107,25 @@ def leading_directions(
     """Right singular vectors (features x components) and singular values.
 
     Randomized subspace iteration (Halko, Martinsson, Tropp 2011) on the feature side: the
-    only things that leave the tasks have one row per vocabulary term.
+    only things that leave the tasks have one row per vocabulary term. It ends once every
+    direction's residual, the length of A' A v - s^2 v, is at most ``svd_tolerance`` times the
+    largest s^2, or after ``svd_power_passes``; the last pass serves both ends.
     """
     width = min(components + settings.svd_oversampling, size)
     start = np.random.default_rng(settings.seed).standard_normal((size, width))
     basis = np.linalg.qr(start)[0]
-    for _ in range(settings.svd_power_passes):
-        basis = np.linalg.qr(_gram_product(features, basis, tasks))[0]
-    small = basis.T @ _gram_product(features, basis, tasks)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(values)[::-1][:components]
-    return basis @ vectors[:, order], np.sqrt(np.maximum(values[order], 0.0))
+    for left in range(settings.svd_power_passes, -1, -1):
+        product = _gram_product(features, basis, tasks)
+        small = basis.T @ product
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:components]
+        values, vectors = values[order], vectors[:, order]
+        found = basis @ vectors
+        residual = np.linalg.norm(product @ vectors - found * values, axis=0)
+        if not left or residual.max(initial=0) <= settings.svd_tolerance * values.max(initial=0):
+            break
+        basis = np.linalg.qr(product)[0]
+    return found, np.sqrt(np.maximum(values, 0.0))
 
 
 def svd_embed(

@@ -6,8 +6,11 @@ needed ones in front in the right order.
 
 from __future__ import annotations
 
+import json
 import re
 
+from ..config import Settings
+
 # The rules' fixed word lists, written out here so that the SQL does not follow the library's.
 JUNK_STRINGS = [
     "", "nan", "none", "null", "n/a", "na", "-", "--",
@@ -571,6 +574,11 @@ def oracle_queries() -> dict[str, str]:
         """SELECT row_ord, least(128, (SELECT count(*) FROM prep) - 1,
           (SELECT count(*) FROM t_vocab) - 1) AS size, CAST(1.0 AS DOUBLE) AS length
         FROM prep""", full)
+    q["v11_svd_cosines"] = build("""
+      SELECT row_ord, round(coalesce(sum(t_row.weight * s.weight), 0), 5) AS cosines
+      FROM prep LEFT JOIN t_row USING (row_ord) LEFT JOIN (
+        SELECT block, term, sum(weight) AS weight FROM t_row GROUP BY block, term
+      ) AS s USING (block, term) GROUP BY row_ord""", tfidf(60, 120))
     q["v09_embed_external"] = build(
         """SELECT row_ord, i AS place, round(CAST(embedding[i] AS DOUBLE), 5) + 0.0::DOUBLE AS value
         FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM vec)"""
@@ -603,7 +611,7 @@ def oracle_queries() -> dict[str, str]:
     q["j08_surrogate_key_join"] = build(
         f"""SELECT sha256('upload-1/' || cluster_id) AS cluster_id, keyword,
           canonical_keyword = keyword AS is_canonical, is_clustered
-        FROM ({attached}) WHERE keyword_count > 1""", *steps)
+        FROM ({attached})""", *steps)
     q["j09_vocabulary_join"] = build(
         "SELECT block, term, count(*) AS rows FROM t_unit GROUP BY block, term", full)
 
@@ -701,6 +709,27 @@ def oracle_queries() -> dict[str, str]:
     q["k04_pending_runs"] = """
       SELECT DISTINCT sha256(text) AS run_key FROM documents WHERE sha256(text) NOT IN (
         SELECT sha256(text) FROM documents JOIN labels USING (doc_id))"""
+    config = json.dumps(["termloom-2", {"keyword": "value"}, Settings(neighbor_k=9).to_json()], sort_keys=True)
+    q["k07_run_fingerprint"] = build("""
+      SELECT sha256(concat_ws('/', count(*), bit_xor(low), bit_xor(high), sum(low), '{config}')) AS run_key
+      FROM (
+        SELECT CAST('0x' || substr(digest, 1, 15) AS BIGINT) AS low,
+               CAST('0x' || substr(digest, 16, 15) AS BIGINT) AS high
+        FROM (
+          SELECT sha256(size || '/' || CASE
+            WHEN max_n >= 1024 THEN sha256(string_agg(digest, '' ORDER BY run)) ELSE any_value(digest) END) AS digest
+          FROM (
+            SELECT file, n // 1024 AS run, sha256(string_agg(digest, '' ORDER BY n)) AS digest,
+              any_value(size) AS size, any_value(max_n) AS max_n
+            FROM (
+              SELECT file, sha256(line) AS digest, n, max(n) OVER () AS max_n,
+                sum(strlen(line) + 1) OVER (PARTITION BY file) AS size
+              FROM (
+                SELECT row_ord % 4 AS file, coalesce(keyword, '') AS line,
+                  row_number() OVER (PARTITION BY row_ord % 4 ORDER BY row_ord) - 1 AS n
+                FROM kw_parts))
+            GROUP BY file, n // 1024)
+          GROUP BY file, size, max_n))""".replace("{config}", config.replace("'", "''")))
     q["k05_run_record"] = build("""
       SELECT 'key' AS run_key, true AS success, true AS persisted,
         count(DISTINCT cluster_id) AS cluster_count, count(*) AS row_count, false AS cached,

@@ -25,6 +25,7 @@ from .clustering import ClusteringResult, cluster_keywords
 
 BRANDS = ("Gear", "bolt", "Brand#1")
 # The embeddings have few similar pairs, so their graph is built at a lower threshold.
+FINGERPRINTED = (Settings(), Settings(neighbor_k=9))
 VECTORS = Settings(similarity_threshold=0.35, semantic_weight=1.0, lexical_weight=0.0)
 MAPPING = {
     "keyword": "keyword", "volume": "volume", "difficulty": "difficulty",
@@ -380,6 +381,19 @@ def v8_svd(spark, folder):
     )
 
 
+def v11_cosines(spark, folder):
+    """At full rank a row's cosines add up to those of its features, however directions are turned."""
+    rows, terms = features(spark, folder, max_word_features=60, max_char_features=120)
+    whole = Settings(svd_components=len(terms))
+    embedded = materialize(semantic.svd_embed(rows, len(terms), rows.count(), whole), "embedded")
+    sums = embedded.select(F.posexplode("embedding")).groupBy("pos").agg(F.sum("col").alias("sum"))
+    total = F.array(*(F.lit(r["sum"]) for r in sums.orderBy("pos").collect()))  # one per feature
+    products = F.zip_with("embedding", total, lambda a, b: a * b)
+    return embedded.select(
+        "row_ord", F.round(F.aggregate(products, F.lit(0.0), lambda a, x: a + x), 5).alias("cosines")
+    )
+
+
 def v9_external(spark, folder):
     vectors = semantic.embed_external(views.vectors(spark, folder), "embedding")
     return vectors.select("row_ord", F.posexplode("embedding").alias("at", "value")).select(
@@ -466,8 +480,7 @@ def j7_attach(spark, folder):
 
 def j8_surrogate(spark, folder):
     rows, clusters = topic_result(spark, folder)
-    several = clusters.where("keyword_count > 1")
-    out = sinks.keyword_records(rows, several, "upload-1")
+    out = sinks.keyword_records(rows, clusters, "upload-1")
     return out.select("cluster_id", "keyword", "is_canonical", "is_clustered")
 
 
@@ -718,6 +731,19 @@ def k4_pending(spark, folder):
     return sinks.pending_runs(keys, runs)
 
 
+def k7_fingerprint(spark, folder):
+    """Keys of two configurations over written files; the first has a run on record."""
+    path = scratch(spark, "uploaded")
+    lines = parts(spark, folder).select(
+        F.coalesce("keyword", F.lit("")).alias("value"), "row_ord", (F.col("row_ord") % 4).alias("file")
+    )
+    dealt = lines.repartition("file").sortWithinPartitions("file", "row_ord").drop("row_ord")
+    dealt.write.partitionBy("file").text(path)
+    keys = [sinks.run_fingerprint(spark, path, {"keyword": "value"}, s) for s in FINGERPRINTED]
+    runs = keys[0].withColumn("success", F.lit(True))
+    return sinks.pending_runs(keys[0].unionByName(keys[1]), runs)
+
+
 def k5_record(spark, folder):
     summary = describe.summary(topic_clusters(spark, folder))
     record = sinks.run_record(summary, "key", 1.5, persisted=True)
@@ -801,6 +827,7 @@ QUERIES = {
     "v07_unit_rows": v7_unit_rows,
     "v08_svd_embed": v8_svd,
     "v09_embed_external": v9_external,
+    "v11_svd_cosines": v11_cosines,
     "v10_precision": v10_precision,
     "j01_knn_join": j1_knn,
     "j02_semantic_similarity": j2_semantic,
@@ -843,6 +870,7 @@ QUERIES = {
     "k03_persist_results": k3_persist,
     "k04_pending_runs": k4_pending,
     "k05_run_record": k5_record,
+    "k07_run_fingerprint": k7_fingerprint,
     "k06_formula_guard": k6_guard,
     "r01_topic_opportunities": r1_topics,
     "r02_keyword_clusters": r2_keyword_clusters,

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Mapping
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,11 @@ from ..config import DEFAULTS, Settings
 from ..functions.text import formula_guard, json_safe
 from ..operators.describe import export_rows, order_clusters
 from ..plans.clustering import ClusteringResult
+from ..sources.files import listed_files, raw_lines
+from ..storage import materialize
 
-ENGINE = "termloom-1"
+ENGINE = "termloom-2"
+DIGEST_FAN = 1024
 
 
 def _flat_text(df: DataFrame) -> DataFrame:
@@ -246,13 +249,35 @@ def run_fingerprint(
     mapping: Mapping[str, str | None],
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """One row (run_key): hash of all file contents, the mapping, the settings and the engine.
+    """One row (run_key): hash of all file contents, the mapping, the settings and the engine."""
+    config = json.dumps([ENGINE, dict(mapping), settings.to_json()], sort_keys=True)
+    return run_key(file_digests(spark, path), config)
+
 
-    Files are hashed where they are read; only their digests are brought together.
+def file_digests(spark: SparkSession, path: str, fan: int = DIGEST_FAN) -> DataFrame:
+    """path and digest of every file, whatever its size.
+
+    Files are read as lines in byte ranges, and a line's digest is its leaf in a hash tree: ``fan``
+    digests of consecutive line numbers make one of the next level, until every file has one, which
+    is hashed with the file's length. Where Spark cuts the ranges does not matter.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    config = json.dumps([ENGINE, dict(mapping), settings.to_json()], sort_keys=True)
-    return run_key(files.select(F.sha2("content", 256).alias("digest")), config)
+    lengths = listed_files(spark, path)
+    lines = raw_lines(spark, path).select("path", "block", "row", F.sha2("value", 256).alias("digest"))
+    inside = Window.partitionBy("path", "block").orderBy("row")
+    lines = materialize(lines.withColumn("n", F.row_number().over(inside).cast("long")), "line-digests")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lines.groupBy("path", "block").agg(F.max("n").alias("lines"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
+    nodes = lines.join(ranges, ["path", "block"]).select("path", (F.col("n") + F.col("before") - 1).alias("n"), "digest")
+    last = nodes.agg(F.max("n")).first()[0] or 0
+    while last:
+        run = F.sort_array(F.collect_list(F.struct("n", "digest")))  # of ``fan`` at most
+        joined = F.array_join(F.transform(run, lambda x: x["digest"]), "")
+        nodes = nodes.groupBy("path", F.floor(F.col("n") / fan).alias("at")).agg(F.sha2(joined, 256).alias("digest"))
+        nodes, last = nodes.withColumnRenamed("at", "n"), last // fan
+    files = spark.createDataFrame(list(lengths.items()), "path string, length long")
+    whole = F.concat_ws("/", "length", F.coalesce("digest", F.lit("")))
+    return files.join(nodes, "path", "left").select("path", F.sha2(whole, 256).alias("digest"))
 
 
 def run_key(digests: DataFrame, config: str) -> DataFrame:

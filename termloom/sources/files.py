@@ -44,7 +44,7 @@ def _local(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _lines(spark: SparkSession, paths, charset: str = "utf-8") -> DataFrame:
+def raw_lines(spark: SparkSession, paths, charset: str = "utf-8") -> DataFrame:
     """path, block, row (ascending in a block) and value (bytes) of every line."""
     wide = {"encoding": charset} if charset.startswith(("utf-16", "utf-32")) else {}
     lines = spark.read.options(lineSep="\n", recursiveFileLookup="true", **wide).text(paths)
@@ -223,7 +223,7 @@ _PROFILE_DDL = (
 )
 
 
-def _listed(spark: SparkSession, path: str) -> dict[str, int]:
+def listed_files(spark: SparkSession, path: str) -> dict[str, int]:
     """Length of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     # The scan skips files without any bytes; the listing knows them.
@@ -244,7 +244,7 @@ def _facts(lines: DataFrame) -> DataFrame:
 
 def _text_lines(spark: SparkSession, paths: list[str], charset: str, tangled: bool, step) -> DataFrame:
     """Lines with text, step and, once it matters, written down."""
-    lines = _lines(spark, paths, charset).withColumn("text", _decoded(F.col("value"), charset)).drop("value")
+    lines = raw_lines(spark, paths, charset).withColumn("text", _decoded(F.col("value"), charset)).drop("value")
     if not tangled:
         return lines.withColumn("step", F.lit(KEEPS)).withColumn("inside", F.lit(False))
     return materialize(lines.withColumn("step", step(F.col("text"))), "export-lines")
@@ -256,8 +256,8 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
 
     Every line of every file is looked at, in ranges; one row per file goes through the driver.
     """
-    lengths = _listed(spark, path)
-    lines = _lines(spark, path)
+    lengths = listed_files(spark, path)
+    lines = raw_lines(spark, path)
     facts = {r["path"]: r for r in _facts(lines).collect()} if lengths else {}
     odd = [(p, r["odd"]) for p, r in facts.items() if r["odd"] and not r["head"].startswith((XLSX_MAGIC, XLS_MAGIC))]
     guessed = _guessed(lines, spark.createDataFrame(odd, "path string, odd long")) if odd else {}
@@ -314,7 +314,7 @@ def _charset(spark: SparkSession, paths: list[str], encoding: str) -> list[tuple
     if len(marks) < 2:
         charset = marks[0][1] if marks else _JAVA.get(encoding, encoding).replace("_", "-")
         return [(charset, paths)]
-    heads = _facts(_lines(spark, paths)).select("path", "head").collect()
+    heads = _facts(raw_lines(spark, paths)).select("path", "head").collect()
     by = {c: [r["path"] for r in heads if r["head"].startswith(m)] for m, c in marks}
     return [(c, names) for c, names in by.items() if names]
 

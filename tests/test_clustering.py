@@ -273,6 +273,22 @@ def test_fingerprint_follows_content_mapping_and_settings(spark, tmp_path):
     assert first != key("right", {"keyword": "k", "url": None})
 
 
+def test_file_digests_do_not_depend_on_ranges(spark, tmp_path):
+    bodies = {"a": "one\ntwo\nthree\n" * 40, "b": "one\ntwo\nthree\n" * 39 + "one\nthree\ntwo\n", "c": "x\n", "d": "x", "e": ""}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    digests = lambda: {r["path"][-1]: r["digest"] for r in sinks.file_digests(spark, str(tmp_path), fan=5).collect()}
+    whole = digests()
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    for name in names:
+        spark.conf.set(name, "100")
+    try:
+        assert digests() == whole and len(set(whole.values())) == 5
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
 def test_finished_runs_are_skipped(spark, run, tmp_path):
     path = str(tmp_path / "runs")
     sinks.append_run(sinks.run_record(run.summary, "old", 1.0, persisted=True), path)
