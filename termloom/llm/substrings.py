@@ -16,7 +16,8 @@ A word goes if any window over it also starts in a document with a smaller id, j
 Frequent minimisers (of passages that very many documents share) are named by an exact count: those
 with more than ``1 / (HEAVY_PARTS * width)`` of the rows, so at most ``HEAVY_PARTS * width`` of them.
 Their windows, each by its 128-bit BLAKE2 digest, are aggregated with map-side combining instead, so
-no task gets a hot bucket; the join back splits hot digests. Texts travel compressed.
+no task gets a hot bucket; their smallest ids go back by ``skew.join_unique``, which splits hot digests.
+Texts travel compressed.
 
 A null text has no words. A null id counts as the largest id, and null ids are equal to each other.
 Documents that share an id remove nothing from each other; repeated rows are judged each, with the
@@ -37,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique
 from ..storage import discard, materialize
 from .common import byte_slices, shuffle_width, small_batches, split_words, whole_text
 
@@ -298,8 +300,8 @@ def _judged_heavy(packed: DataFrame, window: int) -> DataFrame:
     windows = packed.mapInArrow(work, "window binary, doc long, text_key long, first int")
     windows = materialize(windows, "heavy-windows")
     least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    least = least.where("least < most").select("window", "least")
-    found = windows.join(least, "window").where("least < doc")
+    least = materialize(least.where("least < most").select("window", "least"), "least-ids")
+    found = join_unique(windows, least, ["window"]).where("least < doc")
     return found.select("doc", "text_key", "first", (F.col("first") + window).alias("last"))
 
 

@@ -10,6 +10,7 @@ import pytest
 
 from termloom.llm import substrings
 from termloom.llm.queries import op13_substring_dedup
+from termloom.operators import skew
 
 from . import cases
 
@@ -69,6 +70,7 @@ def test_query_matches_a_dictionary_of_windows(spark, tmp_path):
 def test_passages_ties_and_hot_groups(spark, monkeypatch, heavy_parts):
     """Copies, passages in many contexts, windows that repeat inside a document; with and without heavy buckets."""
     monkeypatch.setattr(substrings, "HEAVY_PARTS", heavy_parts)
+    monkeypatch.setattr(skew, "LEAST_HOT", 20)
     rng = random.Random(heavy_parts)
     draw = lambda n, k=400: [f"w{rng.randrange(k)}" for _ in range(n)]
     passage, line, page = draw(30), draw(9), draw(120)
