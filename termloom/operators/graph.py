@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..storage import materialize
+from .ordinals import with_dense_ordinal
+from .skew import join_unique
 
 # A sum of products may differ in the last bits with the order of its terms.
 DIGITS = 9
+BLOCK_ROWS = 4_096
+_PAIRS = 4_096  # pairs multiplied at a time; bounds a task's scratch memory
 
 
 def clip01(col: Column) -> Column:
@@ -47,49 +50,79 @@ def candidate_pairs(neighbors: DataFrame) -> DataFrame:
     )
 
 
-def lexical_similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """Add ``lex``: cosine of the sparse feature rows of both ends, in [0, 1].
+def _blocks(pairs: DataFrame, block_rows: int) -> DataFrame:
+    """row_ord and block of every row with a pair, ``block_rows`` to a block.
 
-    Only given pairs are scored: two joins bring the sparse rows of the ends together, and the
-    dot product is taken within the joined row.
+    Rows stand in order of the smallest hash among them and their partners. Two rows have the same
+    one as likely as their partners are the same, so most partners end up in one block.
     """
-    ends = [
-        features.select(
-            F.col("row_ord").alias(side),
-            F.col("fids").alias(f"{side}_fids"),
-            F.col("weights").alias(f"{side}_weights"),
-            F.col("blocks").alias(f"{side}_blocks"),
-        )
-        for side in ("src", "dst")
-    ]
-    kept = pairs.columns
-
-    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, values = [], []
-            for side in ("src", "dst"):
-                fids, weights = batch.column(f"{side}_fids"), batch.column(f"{side}_weights")
-                row = np.repeat(np.arange(batch.num_rows), np.diff(fids.offsets.to_numpy()))
-                keys.append(row.astype(np.int64) << 32 | fids.flatten().to_numpy())
-                values.append(weights.flatten().to_numpy())
-            # Feature ids ascend within a row, so both key lists are sorted.
-            _, at, of = np.intersect1d(*keys, assume_unique=True, return_indices=True)
-            product = np.bincount(
-                keys[0][at] >> 32, values[0][at] * values[1][of], minlength=batch.num_rows
-            )
-            blocks = [batch.column(f"{side}_blocks").to_numpy() for side in ("src", "dst")]
-            length = np.sqrt((blocks[0] * blocks[1]).astype(float))
-            lex = np.clip(product / np.maximum(length, 1.0), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(lex)], [*kept, "lex"]
-            )
+    ends = pairs.select(F.col("src").alias("row_ord"), F.col("dst").alias("other")).unionByName(
+        pairs.select(F.col("dst").alias("row_ord"), F.col("src").alias("other"))
+    )
+    leader = F.least(F.min(F.xxhash64("other")), F.xxhash64("row_ord")).alias("leader")
+    placed = with_dense_ordinal(ends.groupBy("row_ord").agg(leader), ["leader", "row_ord"], "place")
+    return materialize(
+        placed.select("row_ord", F.floor(F.col("place") / block_rows).cast("int").alias("block")), "blocks"
+    )
+
 
+def _products(rows: pa.Table, pairs: pa.Table) -> np.ndarray:
+    """Dot products of the sparse rows of each pair; NaN where an end has no row."""
+    found = np.full(pairs.num_rows, np.nan)
+    rows = rows.sort_by("row_ord")
+    ids = rows.column("row_ord").to_numpy()
+    fids, weights = (rows.column(c).combine_chunks() for c in ("fids", "weights"))
+    blocks = rows.column("blocks").to_numpy().astype(float)
+    src, dst = (pairs.column(c).to_numpy() for c in ("src", "dst"))
+    if not len(ids):
+        return found
+    places = [np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (src, dst)]
+    there = np.flatnonzero((ids[places[0]] == src) & (ids[places[1]] == dst))
+    for top in range(0, len(there), _PAIRS):
+        some = there[top : top + _PAIRS]
+        keys, values = [], []
+        for place in places:
+            own = pa.array(place[some])
+            lists = fids.take(own)
+            row = np.repeat(np.arange(len(some)), np.diff(lists.offsets.to_numpy()))
+            keys.append(row.astype(np.int64) << 32 | lists.flatten().to_numpy())
+            values.append(weights.take(own).flatten().to_numpy())
+        # Feature ids ascend within a row, so both key lists are sorted.
+        _, at, of = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+        product = np.bincount(keys[0][at] >> 32, values[0][at] * values[1][of], minlength=len(some))
+        length = np.sqrt(blocks[places[0][some]] * blocks[places[1][some]])
+        found[some] = np.clip(product / np.maximum(length, 1.0), 0.0, 1.0)
+    return found
+
+
+def lexical_similarity(pairs: DataFrame, features: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``lex``: cosine of the sparse feature rows of both ends, in [0, 1].
+
+    Only given pairs are scored. Rows are cut into blocks that keep partners together; pairs are
+    grouped by their two blocks, and a sparse row goes once to every group it has a pair in, not
+    once per pair. A group holds the rows of two blocks at most.
+    """
+    pairs = materialize(pairs, "pairs")
+    blocks = _blocks(pairs, block_rows)
+    dealt = pairs
+    for end in ("src", "dst"):
+        named = blocks.select(F.col("row_ord").alias(end), F.col("block").alias(f"{end}_block"))
+        dealt = materialize(join_unique(dealt, named, [end]), "dealt-pairs")
+    group = ["src_block", "dst_block"]
+    met = [F.col(c).alias(f"met_{c}") for c in group]
+    needed = dealt.select(F.col("src").alias("row_ord"), *met).unionByName(
+        dealt.select(F.col("dst").alias("row_ord"), *met)
+    ).distinct()
+    sent = needed.join(features.select("row_ord", "fids", "weights", "blocks"), "row_ord")
+
+    def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        lex = _products(rows, asked)
+        kept = asked.select(pairs_columns).append_column("lex", pa.array(lex))
+        return kept.filter(pa.array(~np.isnan(lex)))
+
+    pairs_columns = pairs.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return (
-        pairs.join(ends[0], "src")
-        .join(ends[1], "dst")
-        .mapInArrow(dot, f"{schema}, lex double")
-    )
+    return sent.groupBy(*(f"met_{c}" for c in group)).cogroup(dealt.groupBy(*group)).applyInArrow(score, f"{schema}, lex double")
 
 
 def hybrid_edges(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

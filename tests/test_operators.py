@@ -222,13 +222,16 @@ def test_one_row_has_no_neighbours(spark):
 # Graph
 
 
-def test_lexical_similarity_equals_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [4_096, 3])
+def test_lexical_similarity_equals_brute_force(spark, block_rows):
     texts = phrases(30, seed=2) + ["zz"]
     rows, _ = lexical.lexical_features(prepared(spark, texts))
     pairs = [(i, j, 0.5) for i in range(31) for j in range(i + 1, 31)]
     df = spark.createDataFrame(pairs, "src long, dst long, sem double")
     unit = brute.unit(brute.dense(brute.blocks(texts)))
-    for r in graph.lexical_similarity(df, rows).collect():
+    got = graph.lexical_similarity(df, rows, block_rows).collect()
+    assert sorted((r["src"], r["dst"], r["sem"]) for r in got) == pairs
+    for r in got:
         assert r["lex"] == pytest.approx(unit[r["src"]] @ unit[r["dst"]], abs=1e-9)
 
 
