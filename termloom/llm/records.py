@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -145,12 +146,15 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, new: list[bytes]) -> None:
-        hard = []
+        hard, tokenize = [], self.model.tokenize
         for word in new:
+            if word.isalpha():  # ASCII letters, lower-cased before, stand for themselves
+                self.known[word] = array("I", [p.id for p in tokenize(word.decode())]).tobytes()
+                continue
             text = word.decode("utf-8", "replace")
             if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
-                pieces = self.model.tokenize(word.decode("latin-1").translate(self.characters))
-                self.known[word] = np.array([p.id for p in pieces], "<u4").tobytes()
+                pieces = tokenize(word.decode("latin-1").translate(self.characters))
+                self.known[word] = array("I", [p.id for p in pieces]).tobytes()
             else:
                 hard.append((word, text))
         for at in range(0, len(hard), 2_000):
