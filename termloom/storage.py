@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 200_000
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_TABLES: dict[str, set[str]] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -67,6 +68,13 @@ def _delete(spark: SparkSession, folders) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def register_table(spark: SparkSession, name: str) -> None:
+    """Note a catalog table whose files lie in the scratch folder."""
+    _TABLES.setdefault(spark.conf.get("spark.app.id"), set()).add(name)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the tables this application has materialized; results must be written first."""
+    for name in _TABLES.pop(spark.conf.get("spark.app.id"), ()):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     _delete(spark, [scratch_folder(spark)])

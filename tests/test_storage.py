@@ -20,3 +20,16 @@ def test_discard_deletes_only_the_given_tables(spark):
     assert kept.count() == 5
     storage.discard(kept, spark.createDataFrame([], "a int"))
     assert folders(spark) == before
+
+
+def test_clearing_drops_files_and_registered_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_folder", lambda spark: f"file:{tmp_path}/scratch")
+    monkeypatch.setattr(storage, "_TABLES", {})
+    storage.materialize(spark.range(4), "some")
+    path = f"{storage.scratch_folder(spark)}/named"
+    spark.range(6).write.option("path", path).saveAsTable("scratch_named")
+    storage.register_table(spark, "scratch_named")
+    assert (tmp_path / "scratch" / "named").is_dir()
+    storage.clear_scratch(spark)
+    assert not (tmp_path / "scratch").exists() and not spark.catalog.tableExists("scratch_named")
+    storage.clear_scratch(spark)  # nothing left to clear
