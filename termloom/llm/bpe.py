@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import scratch_folder
+from ..storage import register_table, scratch_folder
 from .common import byte_slices, shuffle_width, small_batches, whole_text
 
 BLOCK_BYTES = 32 << 20
@@ -222,6 +222,7 @@ def encode(
         .write.partitionBy("kind").bucketBy(width, "block").option("compression", "zstd")
         .option("path", f"{scratch_folder(spark)}/{name}").saveAsTable(name)
     )
+    register_table(spark, name)
     parts = spark.table(name)
     coded = parts.where("kind = 0").select("block", "doc_id", "n", "codes")
     words = parts.where("kind = 1").select("word", "block", "code")
