@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, spread_small
+from . import skew
 
 DIGITS = 9  # similarities are compared at this precision, ties go to the smaller id
 _SLACK = 1e-6  # on squared distances; far above rounding, only ever visits more
@@ -328,9 +329,16 @@ def knn_join(
         # Members of a group of identical vectors. Nobody needs more than its k + 1 smallest
         # ids: they tie with all others of the group, and a row only leaves itself out.
         group = ["key", "vec"]
-        nth = F.row_number().over(Window.partitionBy(*group).orderBy("row_ord"))
+        nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("row_ord"))
+        few = unit
+        if facts["copies"] > skew.LEAST_HOT:
+            # A large group first leaves k + 1 rows in each of many parts.
+            width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            part = F.pmod(F.xxhash64("row_ord"), F.lit(width))
+            few = unit.withColumn("part", part).withColumn("nth", nth(*group, "part"))
+            few = few.where(F.col("nth") <= k + 1).drop("part", "nth")
         reps = materialize(
-            unit.withColumn("nth", nth)
+            few.withColumn("nth", nth(*group))
             .where(F.col("nth") <= k + 1)
             .groupBy(*group, "zero")
             .agg(
@@ -357,7 +365,9 @@ def knn_join(
         return _top(found.where("src != dst"), k)
 
     # Give the members of each group their group's answer, member by member.
-    members = unit.drop("zero").join(reps.select(*group, "gid", "zero"), group)
+    named = reps.select(*group, "gid", "zero")
+    members = skew.join_unique(unit.drop("zero"), named, group).select("row_ord", "gid", "zero")
+    members = materialize(members, "knn-members")
     if facts["zero"]:
         # One group, at cosine 0 from everything.
         zero = reps.where("zero").first()
@@ -371,13 +381,12 @@ def knn_join(
         .join(reps.select(F.col("gid").alias("dst"), "ids"), "dst")
         .select("src", "sim", F.explode("ids").alias("dst"))
     )
-    nearest = _top(expanded, k + 1).groupBy("src").agg(
+    nearest = _top(expanded, k + 1).groupBy(F.col("src").alias("gid")).agg(
         F.collect_list(F.struct("dst", "sim")).alias("near")
     )
-    pairs = (
-        members.where("not zero")
-        .join(nearest, F.col("gid") == F.col("src"))
-        .select(F.col("row_ord").alias("src"), F.inline("near"))
+    nearest = materialize(nearest, "knn-nearest")
+    pairs = skew.join_unique(members.where("not zero"), nearest, ["gid"]).select(
+        F.col("row_ord").alias("src"), F.inline("near")
     )
     if facts["zero"]:
         smallest = df.select("row_ord").orderBy("row_ord").limit(k + 1).collect()

@@ -219,6 +219,24 @@ def test_one_row_has_no_neighbours(spark):
     assert knn_join(vectors(spark, [5], np.ones((1, 3))), 15).count() == 0
 
 
+def test_neighbours_in_a_large_group_of_one_vector(spark, monkeypatch):
+    """Copies beyond the limit are numbered in parts, and their answer comes to them by broadcast."""
+    monkeypatch.setattr(skew, "LEAST_HOT", 20)
+    rng = np.random.default_rng(12)
+    matrix = np.concatenate([np.repeat(rng.normal(size=(1, 4)), 90, axis=0), rng.normal(size=(40, 4)), np.zeros((3, 4))])
+    ids = rng.permutation(len(matrix)) * 3
+    near = knn_join(vectors(spark, ids, matrix), 7)
+    got = {}
+    for r in near.orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append((r["dst"], r["sim"]))
+    unit = brute.unit(matrix)
+    for at, src in enumerate(ids):
+        sims = np.round(unit @ unit[at], 9)
+        order = sorted((-s, int(i)) for s, i in zip(sims, ids, strict=True) if i != src)[:7]
+        assert [d for d, _ in got[int(src)]] == [i for _, i in order]
+        assert [s for _, s in got[int(src)]] == pytest.approx([-s for s, _ in order], abs=1e-8)
+
+
 # Graph
 
 
