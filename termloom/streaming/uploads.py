@@ -33,24 +33,34 @@ def cluster_uploads(
     settings: Settings = DEFAULTS,
     upload_column: str = "upload_id",
     row_ord: str = "row_ord",
+    complete_column: str | None = None,
 ) -> StreamingQuery:
     """Cluster every upload that a micro-batch adds rows to, and hand the result to ``on_result``.
 
-    Each micro-batch is kept as a table of its own under ``checkpoint``, so an upload that arrives
-    in several is clustered again over all its rows and the last result is the complete one. A
-    repeated micro-batch replaces its table. ``on_result`` may see an upload again, also after a
-    failure; persist_results copes with that. Uploads are runs of their own, one after the other.
+    Arrived rows are kept under ``checkpoint`` in a folder for each upload and micro-batch, so an
+    upload that arrives in several is clustered again over all its rows and the last result is the
+    complete one, while a micro-batch only reads the uploads it adds to. With ``complete_column``, a
+    boolean column, an upload is left alone until a row with true has arrived. A repeated micro-batch
+    replaces its folders. ``on_result`` may see an upload again, also after a failure;
+    persist_results copes with that. Uploads are runs of their own, one after the other; rows without
+    an upload are left out.
     """
+    folder = F.sha2(F.col(upload_column).cast("string"), 256)  # a name that any upload can have
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         kept = f"{checkpoint}/arrived"
-        batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
-        arrived = spark.read.schema(batch.schema).parquet(kept)
-        touched = spark.read.schema(batch.schema).parquet(f"{kept}/batch={number}")
-        for (upload,) in touched.select(upload_column).distinct().toLocalIterator():
-            rows = arrived.where(F.col(upload_column) == upload).drop(upload_column, "batch")
-            on_result(upload, cluster_keywords(rows, settings, row_ord))
+        placed = batch.where(F.col(upload_column).isNotNull()).withColumns(
+            {"_upload": folder, "_batch": F.lit(number)}
+        )
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("_upload", "_batch").parquet(kept)
+        for upload, name in placed.select(upload_column, "_upload").distinct().toLocalIterator():
+            rows = spark.read.schema(batch.schema).parquet(f"{kept}/_upload={name}")
+            if complete_column and rows.where(F.col(complete_column)).isEmpty():
+                continue
+            own = [c for c in batch.columns if c not in (upload_column, complete_column)]
+            on_result(upload, cluster_keywords(rows.select(*own), settings, row_ord))
 
     return (
         stream.writeStream.foreachBatch(each)

@@ -331,3 +331,28 @@ def test_an_upload_in_several_batches_loses_nothing(spark, tmp_path):
     kept = sinks.stored(spark, base, "cluster_keywords")
     assert sorted((r["upload_id"], r["keyword"]) for r in kept.collect()) == [
         ("a", "brick arch"), ("a", "brick wall"), ("a", "clay tile"), ("b", "tar paper")]
+
+
+def test_batches_read_only_their_own_uploads_and_wait_for_the_last_row(spark, tmp_path):
+    """Files of an upload that is finished are spoilt between two runs; nobody looks at them."""
+    from termloom.streaming.uploads import cluster_uploads
+
+    schema = "upload_id string, row_ord long, keyword string, last boolean"
+    seen = []
+
+    def run(*batches):
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = cluster_uploads(
+            stream, lambda upload, result: seen.append((upload, result.rows.count())),
+            str(tmp_path / "state"), complete_column="last")
+        assert query.awaitTermination(240)
+
+    run([("done/1", 0, "lamp oil", True)], [("b", 0, "wool sock", False), (None, 0, "lost", True)])
+    assert seen == [("done/1", 1)]
+    (spoilt,) = (p for p in (tmp_path / "state" / "arrived").glob("*/*/*.parquet") if "lamp" in p.read_bytes().decode("latin-1"))
+    spoilt.write_bytes(b"spoilt")
+    (spoilt.parent / f".{spoilt.name}.crc").unlink(missing_ok=True)
+    run([("b", 1, "wool hat", True)])
+    assert seen == [("done/1", 1), ("b", 2)]
