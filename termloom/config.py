@@ -96,6 +96,7 @@ CLUSTER_FACTS = CLUSTER_COLUMNS[:-2]
 XLSX_MAGIC = "504B0304"
 XLS_MAGIC = "D0CF11E0A1B11AE1"
 
+# The defaults of Settings are fixed values too: sizes of features, graph weights and thresholds.
 # --------------------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ import re
 
 from ..config import Settings
 
-# The rules' fixed word lists, written out here so that the SQL does not follow the library's.
+# The rules' word lists, which results are only right with, written out here so that
+# the SQL does not follow the library's.
 JUNK_STRINGS = [
     "", "nan", "none", "null", "n/a", "na", "-", "--",
 ]
