@@ -25,6 +25,7 @@ from .clustering import ClusteringResult, cluster_keywords
 
 BRANDS = ("Gear", "bolt", "Brand#1")
 # The embeddings have few similar pairs, so their graph is built at a lower threshold.
+PART_ROWS = 256  # several parts also of small tables
 FINGERPRINTED = (Settings(), Settings(neighbor_k=9))
 VECTORS = Settings(similarity_threshold=0.35, semantic_weight=1.0, lexical_weight=0.0)
 MAPPING = {
@@ -311,7 +312,7 @@ def p17_title(spark, folder):
 def p18_records(spark, folder):
     run = topic_run(spark, folder)
     out = sinks.cluster_records(run.clusters, "upload-1", "project-1")
-    lists = describe.whole_lists(sinks.member_records(run.members, "upload-1"))
+    lists = sinks.member_records(run.members, "upload-1")
     out = out.join(lists, F.col("id") == F.col("cluster_id"))
     return out.drop("id", "cluster_id").withColumns(
         {"keywords": F.array_join("keywords", "|"), "urls": F.array_join("urls", "|")}
@@ -583,9 +584,8 @@ def a13_summary(spark, folder):
 
 
 def a14_lists(spark, folder):
-    lists = describe.whole_lists(describe.member_parts(topic_rows(spark, folder)))
-    return lists.select(
-        "cluster_id",
+    return describe.member_parts(topic_rows(spark, folder), PART_ROWS).select(
+        "cluster_id", "part",
         F.array_join("keywords", "|").alias("keywords"),
         F.array_join("urls", "|").alias("urls"),
     )
