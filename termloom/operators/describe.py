@@ -128,13 +128,13 @@ def quality_score(
     return F.when(n == 1, SINGLE_QUALITY).otherwise(F.round(clip01(mixed), 4))
 
 
-def member_parts(rows: DataFrame, per_part: int = MEMBERS_PER_PART) -> DataFrame:
+def member_parts(rows: DataFrame, per_part: int | None = None) -> DataFrame:
     """(cluster_id, part, keywords, urls): members in row order, cut into parts.
 
     A part covers a fixed range of row numbers, so no list can outgrow it, however large the
     cluster is. A url is listed once per cluster, where it first appears; empty ones are not.
     """
-    part = F.floor(F.col("row_ord") / per_part).alias("part")
+    part = F.floor(F.col("row_ord") / (per_part or MEMBERS_PER_PART)).alias("part")
 
     def listed(df: DataFrame, column: str, name: str) -> DataFrame:
         found = F.sort_array(F.collect_list(F.struct("row_ord", column)))
