@@ -584,8 +584,9 @@ def a13_summary(spark, folder):
 
 
 def a14_lists(spark, folder):
-    return describe.member_parts(topic_rows(spark, folder), PART_ROWS).select(
-        "cluster_id", "part",
+    lists = describe.whole_lists(describe.member_parts(topic_rows(spark, folder), PART_ROWS))
+    return lists.select(
+        "cluster_id",
         F.array_join("keywords", "|").alias("keywords"),
         F.array_join("urls", "|").alias("urls"),
     )

@@ -35,3 +35,9 @@ def listed(start):
 def test_records_have_one_row_per_cluster_with_its_whole_lists(spark, shop):
     got = queries.p18_records(spark, shop).orderBy("cluster_index").collect()
     assert [(r["keyword_count"], (r["keywords"], r["urls"])) for r in got] == [(3, listed(0)), (3, listed(1))]
+
+
+def test_member_lists_have_one_row_per_cluster(spark, shop):
+    got = {r["cluster_id"]: (r["keywords"], r["urls"]) for r in queries.a14_lists(spark, shop).collect()}
+    assert got == {0: listed(0), 1: listed(1)}
+    assert queries.a14_lists(spark, shop).count() == 2
