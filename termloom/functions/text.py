@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -15,6 +16,10 @@ from ..config import JUNK_STRINGS
 # Unicode white space plus the four ASCII separators that text tools also strip.
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NOT_ASCII = r"[^\x00-\x7F]"
+# ASCII that normalized text keeps, where ``&`` stands for a word, and all other ASCII.
+_KEPT = r"[A-Za-z0-9/&\-]"
+_APART = "".join(c for c in map(chr, range(0x80)) if not re.fullmatch(r"[a-z0-9/\-]", c))
 
 
 @functools.cache
@@ -40,8 +45,9 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 def fold_ascii(col: Column) -> Column:
     """Compatibility-decompose and drop what is not ASCII, without leaving the JVM.
 
-    ASCII text, the usual case, is passed on as it is. Characters that fold to one are
-    translated; only text with one that folds to several (ligatures, fractions) is taken apart.
+    ASCII text, the usual case, is passed on as it is, and so is text that is ASCII once characters
+    that fold to one are translated; of the rest, only text with a character that folds to several
+    (ligatures, fractions) is taken apart.
     """
     source, image, several = _fold_tables()
     # One literal per row that needs it; no character in it is a control code.
@@ -49,22 +55,27 @@ def fold_ascii(col: Column) -> Column:
     unfold = F.array(F.str_to_map(pairs, F.lit("\x02"), F.lit("\x01")))
 
     def spell(table: Column) -> Column:
-        letters = F.split(col, "")
+        letters = F.split(lettered, "")
         return F.array_join(
             F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
         )
 
-    needs_spelling = F.translate(col, "".join(several), "") != col
-    spelled = F.when(needs_spelling, F.element_at(F.transform(unfold, spell), 1)).otherwise(col)
-    ascii_only = F.regexp_replace(F.translate(spelled, source, image), r"[^\x00-\x7F]+", "")
-    return F.when(col.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(col)
+    lettered = F.translate(col, source, image)
+    needs_spelling = F.translate(lettered, "".join(several), "") != lettered
+    spelled = F.when(needs_spelling, F.element_at(F.transform(unfold, spell), 1)).otherwise(lettered)
+    ascii_only = F.regexp_replace(spelled, _NOT_ASCII + "+", "")
+    return (
+        F.when(~col.rlike(_NOT_ASCII), col)
+        .when(~lettered.rlike(_NOT_ASCII), lettered)
+        .otherwise(ascii_only)
+    )
 
 
 def normalize_ascii(col: Column) -> Column:
     """The part of ``normalize_text`` after folding."""
     text = F.replace(F.lower(col), F.lit("&"), F.lit(" and "))
-    text = F.regexp_replace(text, r"[^a-z0-9/\-]+", " ")
-    return F.trim(text)
+    text = F.trim(F.translate(text, _APART, " " * len(_APART)))
+    return F.regexp_replace(text, "  +", " ")
 
 
 def normalize_text(col: Column) -> Column:
@@ -72,6 +83,11 @@ def normalize_text(col: Column) -> Column:
     return normalize_ascii(fold_ascii(col))
 
 
+def has_normalized(col: Column) -> Column:
+    """True where ``normalize_text`` leaves something; most text shows it without being folded."""
+    return col.rlike(_KEPT) | fold_ascii(col).rlike(_KEPT)
+
+
 def strip_text(col: Column) -> Column:
     """Trim every kind of white space (``trim`` only knows the plain space)."""
     return F.regexp_replace(col, _EDGE_SPACE, "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.tags import add_tags
-from ..functions.text import clean_numeric, clean_url, is_junk, normalize_text, strip_text
+from ..functions.text import clean_numeric, clean_url, has_normalized, is_junk, normalize_text, strip_text
 from ..sources.roles import clean_headers, resolve_columns
 from .ordinals import with_dense_ordinal
 
@@ -29,9 +29,9 @@ def drop_junk_keywords(df: DataFrame, column: str = "keyword") -> DataFrame:
 
 def add_normalized(df: DataFrame, column: str = "keyword") -> DataFrame:
     """Add normalized_keyword and drop rows where nothing is left of it."""
-    return df.withColumn("normalized_keyword", normalize_text(F.col(column))).where(
-        F.col("normalized_keyword") != ""
-    )
+    # A condition on normalized_keyword itself would be worked out below, on its own, once more.
+    kept = df.where(has_normalized(F.col(column)))
+    return kept.withColumn("normalized_keyword", normalize_text(F.col(column)))
 
 
 def clean_rows(

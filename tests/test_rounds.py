@@ -1,7 +1,12 @@
 """Queries and operators held against small tables made up here."""
 
+import unicodedata
+
 import pytest
+from pyspark.sql import functions as F
 
+from termloom.functions import text
+from termloom.operators import prepare
 from termloom.plans import queries
 
 KEYS = [9, 18, 9_000, 18_000, 36_000, 90_000]
@@ -41,3 +46,26 @@ def test_member_lists_have_one_row_per_cluster(spark, shop):
     got = {r["cluster_id"]: (r["keywords"], r["urls"]) for r in queries.a14_lists(spark, shop).collect()}
     assert got == {0: listed(0), 1: listed(1)}
     assert queries.a14_lists(spark, shop).count() == 2
+
+
+ODD = ["  two  words ", "Tab\tand\x00nul", "A&B&&c", "ﬁne ½", "é", "ß ﬀ", "日本", "日 a", " - / ", "&", "!?", "", None,
+       "ÀÉ ́x", "plain Words here", "x1y2 zZ", "o'neil", "a--b//c", "\x1cq\x7f", "ÆØ ŁÅ", "K Å"]
+
+
+def by_hand(value):
+    folded = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode().lower().replace("&", " and ")
+    kept = "".join(c if c.isascii() and (c.isalnum() or c in "/-") else " " for c in folded)
+    return " ".join(kept.split(" ")).strip() if "  " not in kept else " ".join(kept.split())
+
+
+def odd(spark):
+    return spark.createDataFrame(list(enumerate(ODD)), "row_ord int, keyword string")
+
+
+def test_normalized_rows_are_those_with_something_left(spark):
+    got = {r["row_ord"]: r["normalized_keyword"] for r in prepare.add_normalized(odd(spark)).collect()}
+    want = {i: by_hand(v) for i, v in enumerate(ODD) if v is not None}
+    assert got == {i: v for i, v in want.items() if v}
+    # Folding and normalising happen once: nothing below the projection tests the normalized text.
+    plan = prepare.add_normalized(odd(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("and ") == 1
