@@ -6,6 +6,7 @@ import functools
 import re
 import unicodedata
 from collections.abc import Iterable
+from string import ascii_letters
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,12 +150,14 @@ def round_or_null(col: Column, digits: int = 4) -> Column:
 def title_case(col: Column) -> Column:
     """Capital letter at the start of each run of letters, lower case elsewhere."""
     runs = F.split(F.lower(col), r"(?<!\p{L})(?=\p{L})")
-    return F.array_join(
+    by_run = F.array_join(
         F.transform(
             runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substr(run, F.lit(2)))
         ),
         "",
     )
+    # In text of ASCII letters and spaces only, the runs are the words.
+    return F.when(F.translate(col, ascii_letters + " ", "") == "", F.initcap(col)).otherwise(by_run)
 
 
 def word_list(words: Iterable[str]) -> Column:

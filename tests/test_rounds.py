@@ -69,3 +69,11 @@ def test_normalized_rows_are_those_with_something_left(spark):
     # Folding and normalising happen once: nothing below the projection tests the normalized text.
     plan = prepare.add_normalized(odd(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("and ") == 1
+
+
+def test_title_case_of_every_kind_of_text(spark):
+    values = [v for v in ODD if v and v.isascii()] + ["many   plain WORDS", " b", "c ", "A"]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x string").orderBy("i")
+    assert [r[0] for r in df.select(text.title_case(F.col("x"))).collect()] == [v.title() for v in values]
+    plain = df.where("x = 'plain Words here'").select(text.title_case(F.col("x")))
+    assert "initcap" in plain._jdf.queryExecution().optimizedPlan().toString()
