@@ -23,7 +23,8 @@ from . import skew
 DIGITS = 9  # similarities are compared at this precision, ties go to the smaller id
 _SLACK = 1e-6  # on squared distances; far above rounding, only ever visits more
 _STRIP = 256  # query rows multiplied at a time
-_SCRATCH = 4 << 20  # similarities held at a time
+_TILE = 8_192  # target rows they are multiplied with at a time
+_GROUP = 32  # columns of which the largest is looked at first
 
 
 def _matrix(array: pa.ListArray) -> np.ndarray:
@@ -41,24 +42,47 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(2.0 - 2.0 * (a @ b.T), 0.0)
 
 
+def _floor(sims: np.ndarray, k: int) -> np.ndarray:
+    """A value per row that k of its entries reach, at most the k-th largest and mostly equal to it.
+
+    The k largest of the maxima of disjoint groups of columns are k entries of the row.
+    """
+    groups = sims.shape[1] // _GROUP
+    if groups >= 2 * k:
+        most = sims[:, : groups * _GROUP].reshape(len(sims), _GROUP, groups).max(axis=1)
+        if not np.isnan(most).any():
+            return np.partition(most, groups - k, axis=1)[:, groups - k, None]
+    return np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+
+
+def _first(
+    vector: np.ndarray, row: np.ndarray, close: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each vector, by similarity, then id."""
+    order = np.lexsort((ids[row], -close, vector))
+    vector, row, close = vector[order], row[order], close[order]
+    starts = np.flatnonzero(np.append(True, vector[1:] != vector[:-1])[: len(vector)])
+    sizes = np.diff(np.append(starts, len(vector)))
+    keep = np.arange(len(vector)) - np.repeat(starts, sizes) < k
+    return vector[keep], row[keep], close[keep]
+
+
 def _best_of(
     vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vector, row, similarity) of the k best rows per vector, by similarity, then id.
 
-    ``ids`` ascend. Only candidates at or above the k-th similarity, less the rounding step,
-    are rounded and sorted.
+    Rows are multiplied ``_TILE`` at a time. Only candidates at or above a floor of the k-th
+    similarity, less the rounding step, are rounded and sorted.
     """
-    sims = vectors @ rows.T
-    k = min(k, sims.shape[1])
-    cut = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
-    vector, row = np.nonzero(sims >= cut - 2 * 10.0**-DIGITS)
-    close = np.round(sims[vector, row], DIGITS)
-    order = np.lexsort((ids[row], -close, vector))
-    vector, row, close = vector[order], row[order], close[order]
-    first = np.searchsorted(vector, np.arange(sims.shape[0]))
-    keep = np.arange(len(vector)) - first[vector] < k
-    return vector[keep], row[keep], close[keep]
+    found = []
+    for top in range(0, len(rows), _TILE):
+        sims = vectors @ rows[top : top + _TILE].T
+        cut = _floor(sims, min(k, sims.shape[1]))
+        vector, row = np.divmod(np.flatnonzero(sims >= cut - 2 * 10.0**-DIGITS), sims.shape[1])
+        close = np.round(sims[vector, row], DIGITS)
+        found.append(_first(vector, row + top, close, ids, k))
+    return found[0] if len(found) == 1 else _first(*map(np.concatenate, zip(*found, strict=True)), ids, k)
 
 
 def _to_visit(
@@ -133,16 +157,15 @@ def _search_small(reps: DataFrame, rows: int, k: int, others_only: bool) -> Data
     order = np.argsort(ids)
     matrix = _matrix(whole.column("vec").combine_chunks())[order]
     shared = spark.sparkContext.broadcast((ids[order], matrix))
-    step = max(1, min(_STRIP, _SCRATCH // max(rows, 1)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         for batch in batches:
             asking = batch.column("gid").to_numpy()
             vectors = _matrix(batch.column("vec"))
-            for top in range(0, len(asking), step):
+            for top in range(0, len(asking), _STRIP):
                 row, col, sim = _best_of(
-                    vectors[top : top + step], matrix, ids, k + 1 if others_only else k
+                    vectors[top : top + _STRIP], matrix, ids, k + 1 if others_only else k
                 )
                 src, dst = asking[top + row], ids[col]
                 if others_only:
@@ -247,14 +270,16 @@ def _distinct_search(
                     part.column("reach").to_numpy(),
                 )
                 row, cell = np.nonzero(visit)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("gid").take(pa.array(row)),
-                        part.column("vec").take(pa.array(row)),
-                        pa.array(cell.astype(np.int32)),
-                    ],
-                    ["gid", "vec", "cell"],
-                )
+                for at in range(0, len(row), _TILE):  # a row may visit every cell
+                    some = pa.array(row[at : at + _TILE])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("gid").take(some),
+                            part.column("vec").take(some),
+                            pa.array(cell[at : at + _TILE].astype(np.int32)),
+                        ],
+                        ["gid", "vec", "cell"],
+                    )
 
     visits = materialize(
         asking.mapInArrow(route, "gid long, vec array<double>, cell int"), "knn-visits"

@@ -2,11 +2,12 @@
 
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions import text
-from termloom.operators import prepare
+from termloom.operators import neighbors, prepare
 from termloom.plans import queries
 
 KEYS = [9, 18, 9_000, 18_000, 36_000, 90_000]
@@ -77,3 +78,28 @@ def test_title_case_of_every_kind_of_text(spark):
     assert [r[0] for r in df.select(text.title_case(F.col("x"))).collect()] == [v.title() for v in values]
     plain = df.where("x = 'plain Words here'").select(text.title_case(F.col("x")))
     assert "initcap" in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("rows, k, tile", [(3, 5, 8), (700, 4, 8_192), (700, 4, 100), (701, 9, 300), (64, 33, 40)])
+def test_best_rows_by_tiles(monkeypatch, rows, k, tile):
+    monkeypatch.setattr(neighbors, "_TILE", tile)
+    rng = np.random.default_rng(rows + k)
+    # Few directions, so that most similarities are ties.
+    targets = np.round(rng.standard_normal((rows, 2)))
+    asking = np.round(rng.standard_normal((20, 2)))
+    ids = np.sort(rng.choice(10_000, rows, replace=False))
+    vector, row, close = neighbors._best_of(asking, targets, ids, k)
+    for v in range(len(asking)):
+        sims = targets @ asking[v]
+        want = sorted(range(rows), key=lambda i: (-sims[i], ids[i]))[:k]
+        assert list(row[vector == v]) == want
+        assert list(close[vector == v]) == [sims[i] for i in want]
+
+
+def test_most_similarities_are_never_held_at_once(monkeypatch):
+    held = []
+    floor = neighbors._floor
+    monkeypatch.setattr(neighbors, "_floor", lambda sims, k: held.append(sims.size) or floor(sims, k))
+    rows = np.random.default_rng(0).standard_normal((40_000, 4))
+    neighbors._best_of(rows[:256], rows, np.arange(len(rows)), 16)
+    assert sum(held) == 256 * len(rows) and max(held) <= 256 * neighbors._TILE
