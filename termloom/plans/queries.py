@@ -103,9 +103,9 @@ def vector_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.hybrid_edges(pairs.withColumn("lex", F.lit(0.0)), VECTORS)
 
 
-def vector_components(spark: SparkSession, folder: str) -> DataFrame:
+def vector_components(spark: SparkSession, folder: str, edges: DataFrame | None = None) -> DataFrame:
     vertices = views.vectors(spark, folder).select("row_ord")
-    return connected_components(vector_edges(spark, folder), vertices)
+    return connected_components(vector_edges(spark, folder) if edges is None else edges, vertices)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -534,8 +534,9 @@ def a6_single_labels(spark, folder):
 
 
 def a7_cohesion(spark, folder):
-    parts_of = vector_components(spark, folder).withColumnRenamed("component", "cluster_id")
-    linked = describe.linked_weight(vector_edges(spark, folder), parts_of)
+    edges = materialize(vector_edges(spark, folder), "vector-edges")
+    parts_of = vector_components(spark, folder, edges).withColumnRenamed("component", "cluster_id")
+    linked = describe.linked_weight(edges, parts_of)
     sized = parts_of.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
     value = describe.cohesion(F.col("linked"), F.col("n"))
     return sized.join(linked, "cluster_id", "left").select(
@@ -550,10 +551,11 @@ def a8_shares(spark, folder):
 
 def a9_quality(spark, folder):
     # Vector clusters, tagged by the keyword of the part with the same number.
-    parts_of = vector_components(spark, folder).withColumnRenamed("component", "cluster_id")
+    edges = materialize(vector_edges(spark, folder), "vector-edges")
+    parts_of = vector_components(spark, folder, edges).withColumnRenamed("component", "cluster_id")
     kw = tags.add_tags(cleaned(spark, folder)).select("row_ord", *TAGS)
     rows = parts_of.join(kw, "row_ord", "left").na.fill("core", TAGS)
-    linked = describe.linked_weight(vector_edges(spark, folder), parts_of)
+    linked = describe.linked_weight(edges, parts_of)
     n = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
     scored = n.join(describe.cluster_modes(rows), "cluster_id").join(linked, "cluster_id", "left")
     quality = describe.quality_score(

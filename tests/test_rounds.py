@@ -103,3 +103,18 @@ def test_most_similarities_are_never_held_at_once(monkeypatch):
     rows = np.random.default_rng(0).standard_normal((40_000, 4))
     neighbors._best_of(rows[:256], rows, np.arange(len(rows)), 16)
     assert sum(held) == 256 * len(rows) and max(held) <= 256 * neighbors._TILE
+
+
+@pytest.mark.parametrize("query", [queries.a7_cohesion, queries.a9_quality])
+def test_the_vector_graph_is_built_once(spark, tmp_path, monkeypatch, query):
+    vec = spark.createDataFrame(
+        [(i, [float(i % 3 == j) + i / 100 for j in range(3)]) for i in range(9)], "vec_id long, embedding array<float>"
+    )
+    vec.write.parquet(f"{tmp_path}/embeddings.parquet")
+    if query is queries.a9_quality:
+        monkeypatch.setattr(queries, "cleaned", lambda *_: spark.createDataFrame(
+            [(1, "red gear")], "row_ord long, normalized_keyword string"))
+    made, join = [], queries.knn_join
+    monkeypatch.setattr(queries, "knn_join", lambda *a: made.append(a) or join(*a))
+    assert query(spark, str(tmp_path)).count() == 3
+    assert len(made) == 1
