@@ -136,11 +136,13 @@ def svd_embed(
     With fewer than two components to be had, the stacked feature rows are the embedding.
     """
     components = min(settings.svd_components, rows - 1, size - 1)
-    tasks = features.rdd.getNumPartitions()
+    # A task passes on up to a row per feature, whatever its share, so a pass has one task per core.
+    dealt = features.coalesce(features.sparkSession.sparkContext.defaultParallelism)
+    tasks = dealt.rdd.getNumPartitions()
     directions = (
         np.eye(size)
         if components < 2
-        else leading_directions(features, size, components, tasks, settings)[0]
+        else leading_directions(dealt, size, components, tasks, settings)[0]
     )
     shared = features.sparkSession.sparkContext.broadcast(directions)
     scale_rows = components >= 2

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions import text
-from termloom.operators import neighbors, prepare
+from termloom.operators import neighbors, prepare, semantic
 from termloom.plans import queries
 
 KEYS = [9, 18, 9_000, 18_000, 36_000, 90_000]
@@ -118,3 +118,17 @@ def test_the_vector_graph_is_built_once(spark, tmp_path, monkeypatch, query):
     monkeypatch.setattr(queries, "knn_join", lambda *a: made.append(a) or join(*a))
     assert query(spark, str(tmp_path)).count() == 3
     assert len(made) == 1
+
+
+def test_passes_of_the_svd_have_a_task_per_core(spark, monkeypatch):
+    rows = [(i, [j for j in range(6) if (i >> j) & 1] or [0], 1) for i in range(60)]
+    rows = [(i, fids, [1.0 + (i + f) % 3 for f in fids], b) for i, fids, b in rows]
+    features = spark.createDataFrame(rows, "row_ord long, fids array<int>, weights array<double>, blocks int")
+    cores = spark.sparkContext.defaultParallelism
+    tasks, add = [], semantic._tree_sum
+    monkeypatch.setattr(semantic, "_tree_sum", lambda df, n, width: tasks.append(n) or add(df, n, width))
+    found = semantic.svd_embed(features.repartition(5 * cores), 6, 60).orderBy("row_ord").collect()
+    assert tasks and max(tasks) <= cores
+    whole = semantic.svd_embed(features.coalesce(1), 6, 60).orderBy("row_ord").collect()
+    got, want = (np.array([r["embedding"] for r in x]) for x in (found, whole))
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-9)
