@@ -11,7 +11,8 @@ Every query is searched in every shard by beam search; the best per shard are me
 about ``SHARD_ROWS`` vectors, however large the table. How wide a beam has to be depends on the
 vectors: once a shard's graph is built, ``PROBES`` of its own vectors are searched in it and by brute
 force, and the beam doubles from ``QUERY_BEAM`` until ``RECALL`` of their neighbours are found (at the
-width of the shard all are). Queries come to a shard in blocks of ``QUERY_BLOCK``.
+width of the shard all are). Queries come to a shard in blocks of ``QUERY_BLOCK``, and are searched
+and scored a slice at a time: as many as keep the vectors they found within ``SCORE_CELLS`` numbers.
 
 Vectors that are null, zero, of another length than the most frequent one (ties: the longer), or that
 hold null or non-finite components take no part, nor do rows without an id. Graphs are walked in
@@ -42,7 +43,10 @@ SHARD_ROWS = 16_384
 PROBES = 100
 RECALL = 0.97
 QUERY_BLOCK = 65_536
+# Bounds of a task's scratch memory: flags of vertices seen, numbers held for a step, numbers scored.
 SEEN_CELLS = 32 << 20
+STEP_CELLS = 8 << 20
+SCORE_CELLS = 4 << 20
 
 
 def shard_count(vectors: int) -> int:
@@ -54,7 +58,8 @@ def beam_search(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Vertices (-1: none) and negative inner products found from vertex 0, nearest first."""
     n, found, costs = len(vectors), [], []
-    step = max(1, min(256, SEEN_CELLS // (n + 1)))
+    held = max(8 * beam, EXPAND * edges.shape[1] * vectors.shape[1])
+    step = max(1, min(256, SEEN_CELLS // (n + 1), STEP_CELLS // held))
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
         rows = np.arange(len(q))
@@ -209,6 +214,53 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(rows, -1 if rows else 0)
 
 
+def best_ids(
+    own: list[int], want: np.ndarray, nodes: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int
+) -> pa.Table:
+    """query_id, vec_id and score of the ``k`` best other ids of the vertices each query found."""
+    found = {"query_id": [], "vec_id": [], "score": []}
+    if own:
+        row, col = np.nonzero(nodes >= 0)
+        score = inner_products(want[row], vectors[nodes[row, col]])
+        edges = np.searchsorted(row, np.arange(len(own) + 1))
+    for i, query in enumerate(own):
+        mine, best = slice(edges[i], edges[i + 1]), {}
+        some = sorted(zip((-score[mine]).tolist(), nodes[i, col[mine]].tolist(), strict=True))
+        for at, (s, v) in enumerate(some):
+            if len(best) >= k and s > some[at - 1][0]:
+                break
+            for c in ids[v]:
+                if c != query:
+                    best.setdefault(c, s)
+        for c, s in sorted(best.items(), key=lambda x: (x[1], x[0]))[:k]:
+            found["query_id"].append(query)
+            found["vec_id"].append(c)
+            found["score"].append(-s)
+    return pa.table([pa.array(found["query_id"], pa.int64()), pa.array(found["vec_id"], pa.int64()),
+                     pa.array(found["score"], pa.float64())], list(found))
+
+
+def search_shard(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """query_id, vec_id and score of the ``k`` best that each query finds in the graph of a shard."""
+    rows = rows.sort_by("node")
+    n, found = rows.num_rows, []
+    if n and len(asked):
+        x = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in rows.column("vector")])
+        near = x.astype(np.float32)
+        edges = np.full((n + 1, SLACK_DEGREE), n, np.int64)
+        for i, e in enumerate(rows.column("edges")):
+            own = np.frombuffer(e.as_buffer(), "<i4")
+            edges[i, : len(own)] = own
+        ids, reach = rows.column("ids").to_pylist(), rows.column("beam")[0].as_py()
+        step = max(1, SCORE_CELLS // (reach * x.shape[1]))
+        for at in range(0, len(asked), step):
+            some = asked.slice(at, step)
+            want = _matrix(some.column("vector"))
+            nodes, _ = beam_search(want.astype(np.float32), near, edges, reach)
+            found.append(best_ids(some.column("id").to_pylist(), want, nodes, x, ids, k))
+    return pa.concat_tables(found) if found else best_ids([], None, None, None, None, k)
+
+
 def _usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -266,36 +318,7 @@ def nearest(
             build, "shard int, node long, vector binary, ids array<long>, edges binary, beam int"), "ann-graph")
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node")
-        n, q = rows.num_rows, len(asked)
-        found = {"query_id": [], "vec_id": [], "score": []}
-        if n and q:
-            x = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in rows.column("vector")])
-            edges = np.full((n + 1, SLACK_DEGREE), n, np.int64)
-            for i, e in enumerate(rows.column("edges")):
-                own = np.frombuffer(e.as_buffer(), "<i4")
-                edges[i, : len(own)] = own
-            ids = rows.column("ids").to_pylist()
-            want = _matrix(asked.column("vector"))
-            nodes, _ = beam_search(
-                want.astype(np.float32), x.astype(np.float32), edges, rows.column("beam")[0].as_py())
-            row, col = np.nonzero(nodes >= 0)
-            score = inner_products(want[row], x[nodes[row, col]])
-            for i, own in enumerate(asked.column("id").to_pylist()):
-                mine, best = slice(*np.searchsorted(row, [i, i + 1])), {}
-                some = sorted(zip((-score[mine]).tolist(), nodes[i, col[mine]].tolist(), strict=True))
-                for at, (s, v) in enumerate(some):
-                    if len(best) >= k and s > some[at - 1][0]:
-                        break
-                    for c in ids[v]:
-                        if c != own:
-                            best.setdefault(c, s)
-                for c, s in sorted(best.items(), key=lambda x: (x[1], x[0]))[:k]:
-                    found["query_id"].append(own)
-                    found["vec_id"].append(c)
-                    found["score"].append(-s)
-        return pa.table([pa.array(found["query_id"], pa.int64()), pa.array(found["vec_id"], pa.int64()),
-                         pa.array(found["score"], pa.float64())], list(found))
+        return search_shard(rows, asked, k)
 
     asked = usable.where(is_query).select("id", "vector")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

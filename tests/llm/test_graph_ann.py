@@ -1,9 +1,11 @@
 """Graph search against brute force."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -110,3 +112,31 @@ def test_recall_without_structure_in_a_full_shard():
     hits = sum(len(set(a) & set(b)) for a, b in zip(nodes[:, :21].tolist(), best.tolist(), strict=True))
     assert hits >= 0.9 * best.size
     assert beam > graph_ann.QUERY_BEAM
+
+
+def test_search_holds_a_slice_of_the_vectors_found(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 32))
+    graph = graph_ann.build_graph(x.astype(np.float32))
+    rows = pa.table({
+        "node": np.arange(400), "vector": [v.tobytes() for v in x], "ids": [[i, 1000 + i] for i in range(400)],
+        "edges": [e[e < 400].astype("<i4").tobytes() for e in graph[:400]], "beam": np.full(400, 120, np.int32),
+    })
+    ask = rng.normal(size=(3000, 32))
+    asked = pa.table({"id": np.arange(3000), "vector": list(ask)})
+    monkeypatch.setattr(graph_ann, "SCORE_CELLS", 1 << 20)
+    tracemalloc.start()
+    got = graph_ann.search_shard(rows, asked, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The vectors found alone are 92 MB at once, and as many again for the queries.
+    assert most < 60 << 20
+    found = got.to_pydict()
+    assert found["query_id"] == np.repeat(np.arange(3000), 5).tolist()
+    scores = ask @ x.T
+    best = [sorted((-s, i) for v, s in enumerate(r) for i in (v, 1000 + v) if i != q)[:5] for q, r in enumerate(scores)]
+    hits = sum(len({i for _, i in b} & set(found["vec_id"][5 * q : 5 * q + 5])) for q, b in enumerate(best))
+    assert hits >= 0.97 * 15000
+    monkeypatch.setattr(graph_ann, "SCORE_CELLS", 64 << 20)
+    assert graph_ann.search_shard(rows, asked, 5).to_pydict() == found
+    assert graph_ann.search_shard(rows, asked.slice(0, 0), 5).schema == got.schema
