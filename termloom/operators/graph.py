@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..storage import materialize
+from ..storage import discard, materialize
 from .ordinals import with_dense_ordinal
 from .skew import join_unique
 
 # A sum of products may differ in the last bits with the order of its terms.
 DIGITS = 9
 BLOCK_ROWS = 4_096
+ROUND_ROWS = 1 << 18  # sparse rows sent in a round; more only if there are more rows
 _PAIRS = 4_096  # pairs multiplied at a time; bounds a task's scratch memory
 
 
@@ -100,7 +103,8 @@ def lexical_similarity(pairs: DataFrame, features: DataFrame, block_rows: int =
 
     Only given pairs are scored. Rows are cut into blocks that keep partners together; pairs are
     grouped by their two blocks, and a sparse row goes once to every group it has a pair in, not
-    once per pair. A group holds the rows of two blocks at most.
+    once per pair. A group holds the rows of two blocks at most. Groups are scored in rounds that
+    send about as many rows as there are, so what is on disk does not grow with the copies.
     """
     pairs = materialize(pairs, "pairs")
     blocks = _blocks(pairs, block_rows)
@@ -113,7 +117,6 @@ def lexical_similarity(pairs: DataFrame, features: DataFrame, block_rows: int =
     needed = dealt.select(F.col("src").alias("row_ord"), *met).unionByName(
         dealt.select(F.col("dst").alias("row_ord"), *met)
     ).distinct()
-    sent = needed.join(features.select("row_ord", "fids", "weights", "blocks"), "row_ord")
 
     def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
         lex = _products(rows, asked)
@@ -122,7 +125,26 @@ def lexical_similarity(pairs: DataFrame, features: DataFrame, block_rows: int =
 
     pairs_columns = pairs.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return sent.groupBy(*(f"met_{c}" for c in group)).cogroup(dealt.groupBy(*group)).applyInArrow(score, f"{schema}, lex double")
+
+    def scored(needed: DataFrame, dealt: DataFrame) -> DataFrame:
+        sent = needed.join(features.select("row_ord", "fids", "weights", "blocks"), "row_ord")
+        sent = sent.groupBy(*(f"met_{c}" for c in group))
+        return sent.cogroup(dealt.groupBy(*group)).applyInArrow(score, f"{schema}, lex double")
+
+    if 2 * pairs.count() <= ROUND_ROWS:
+        return scored(needed, dealt)
+    needed = materialize(needed, "needed-rows")
+    rounds = max(1, -(-needed.count() // max(ROUND_ROWS, blocks.count())))
+    turn = lambda *names: F.pmod(F.xxhash64(*names), F.lit(rounds))
+    parts = [
+        materialize(
+            scored(needed.where(turn("met_src_block", "met_dst_block") == at), dealt.where(turn(*group) == at)),
+            "scored-pairs",
+        )
+        for at in range(rounds)
+    ]
+    discard(needed, dealt, pairs, blocks)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def hybrid_edges(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..errors import InputError
 from ..functions.ngrams import char_wb_ngrams, word_ngrams
-from ..storage import materialize, spread_small
+from ..storage import freed_shuffles, materialize, spread_small
 
 BLOCKS = ("word", "char")
 # What a stored sparse vector looks like to a reader that names its parts.
@@ -73,7 +73,8 @@ def lexical_features(
         terms = f"{block}_terms"
         df = df.withColumn(terms, analyse(block, F.col("normalized_keyword"), settings))
         stats = term_statistics(df, terms)
-        vocabulary = cap_vocabulary(stats, cap, settings.min_df).collect()
+        with freed_shuffles(df.sparkSession):
+            vocabulary = cap_vocabulary(stats, cap, settings.min_df).collect()
         if not vocabulary:
             continue
         model = CountVectorizerModel.from_vocabulary(

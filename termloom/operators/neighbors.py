@@ -2,22 +2,24 @@
 
 Rows are assigned to the nearest of a bounded number of pivots. Each row first searches its own
 cell; its k-th best distance there then rules out, by the triangle inequality, the cells that
-cannot hold anything closer, and the row visits only the rest. Both sides of a cell are split
-into blocks of bounded size, so a cell that holds a large part of all rows becomes many tasks,
-and a task only ever emits the best k of its block per row, never all pairs. Identical vectors
-are searched once.
+cannot hold anything closer, and the row visits only the rest. Cells are dealt to chunks of bounded
+size, a large cell to several. One chunk after the other is sent to all tasks, which hold it while
+rows pass by with the best k they know; so a vector is never copied for a visit, and what is on
+disk grows with the rows only, whatever the triangle inequality rules out. Identical vectors are
+searched once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, spread_small
+from ..storage import discard, materialize, spread_small
 from . import skew
 
 DIGITS = 9  # similarities are compared at this precision, ties go to the smaller id
@@ -25,6 +27,8 @@ _SLACK = 1e-6  # on squared distances; far above rounding, only ever visits more
 _STRIP = 256  # query rows multiplied at a time
 _TILE = 8_192  # target rows they are multiplied with at a time
 _GROUP = 32  # columns of which the largest is looked at first
+_CHUNK_BYTES = 32 << 20  # target vectors that every task holds at once, and the driver when it sends them
+_KNOWN = "gid long, vec array<double>, cell int, chunk int, dst array<long>, sim array<double>"
 
 
 def _matrix(array: pa.ListArray) -> np.ndarray:
@@ -85,64 +89,92 @@ def _best_of(
     return found[0] if len(found) == 1 else _first(*map(np.concatenate, zip(*found, strict=True)), ids, k)
 
 
-def _to_visit(
-    cells: dict[str, np.ndarray], vectors: np.ndarray, home: np.ndarray, reach: np.ndarray
+def _away_bounds(
+    cells: dict[str, np.ndarray], only: np.ndarray, vectors: np.ndarray, home: np.ndarray
 ) -> np.ndarray:
-    """Mask of the cells that may hold rows within ``reach`` of each vector.
+    """How far the rows of each cell in ``only`` are at least from each vector; 0 for its home cell.
 
     ``cells`` has one entry per pivot in each array: the pivots, and the distance of the nearest
-    and farthest row and the number of rows of each cell.
+    and farthest row of each cell.
     """
-    to_pivot = _squared(vectors, cells["pivots"])
+    pivots = cells["pivots"][only]
+    to_pivot = _squared(vectors, pivots)
     away = np.sqrt(to_pivot)
-    own = np.take_along_axis(to_pivot, home[:, None], axis=1)
-    gap = np.maximum(np.sqrt(_squared(cells["pivots"][home], cells["pivots"])), 1e-12)
+    own = np.maximum(2.0 - 2.0 * np.einsum("nd,nd->n", vectors, cells["pivots"][home]), 0.0)
+    gap = np.maximum(np.sqrt(_squared(cells["pivots"][home], pivots)), 1e-12)
     bound = np.maximum.reduce(
         [
-            away - cells["farthest"],
-            cells["nearest"] - away,
-            (to_pivot - own) / (2 * gap),  # beyond the plane between the two pivots
+            away - cells["farthest"][only],
+            cells["nearest"][only] - away,
+            (to_pivot - own[:, None]) / (2 * gap),  # beyond the plane between the two pivots
         ]
     )
-    bound = np.maximum(bound, 0.0)
-    may = bound * bound <= (reach * reach)[:, None] + _SLACK
-    may &= cells["rows"] > 0
-    may[np.arange(len(vectors)), home] = False
-    return may
-
-
-def _search_blocks(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """Best k targets per query inside each (cell, block, salt) group."""
-
-    def work(query: pa.Table, target: pa.Table) -> pa.Table:
-        src, dst, sim = [], [], []
-        if query.num_rows and target.num_rows:
-            ids = target.column("gid").to_numpy()
-            order = np.argsort(ids)
-            ids = ids[order]
-            rows = _matrix(target.column("vec").combine_chunks())[order]
-            asking = query.column("gid").to_numpy()
-            vectors = _matrix(query.column("vec").combine_chunks())
-            for top in range(0, len(asking), _STRIP):
-                row, col, close = _best_of(vectors[top : top + _STRIP], rows, ids, k)
-                src.append(asking[top + row])
-                dst.append(ids[col])
-                sim.append(close)
-        empty = [np.zeros(0)]
-        return pa.table(
-            {
-                "src": pa.array(np.concatenate(src or empty).astype(np.int64)),
-                "dst": pa.array(np.concatenate(dst or empty).astype(np.int64)),
-                "sim": pa.array(np.concatenate(sim or empty)),
-            }
-        )
+    bound[home[:, None] == only] = 0.0
+    return np.maximum(bound, 0.0)
 
-    keys = ["cell", "block", "salt"]
-    return (
-        queries.groupBy(*keys)
-        .cogroup(targets.groupBy(*keys))
-        .applyInArrow(work, "src long, dst long, sim double")
-    )
+
+def _chunks_of_cells(rows: np.ndarray, chunk_rows: int) -> list[list[int]]:
+    """The chunks that hold each cell: chunks of about ``chunk_rows`` rows are filled cell by cell.
+
+    A cell of more rows is cut into parts of equal share.
+    """
+    found, chunk, held = [], 0, 0
+    for size in rows.astype(int).tolist():
+        parts = max(1, -(-size // chunk_rows))
+        found.append([])
+        for _ in range(parts):
+            if held and held + size / parts > chunk_rows:
+                chunk, held = chunk + 1, 0
+            held += size / parts
+            found[-1].append(chunk)
+    return found
+
+
+def _targets(rows: pa.Table) -> dict[str, np.ndarray]:
+    """The rows (gid, vec, cell) of a chunk, cell by cell."""
+    order = np.argsort(rows.column("cell").to_numpy(), kind="stable")
+    cells, counts = np.unique(rows.column("cell").to_numpy(), return_counts=True)
+    return {
+        "ids": rows.column("gid").to_numpy()[order],
+        "rows": _matrix(rows.column("vec").combine_chunks())[order],
+        "cells": cells,
+        "starts": np.append(0, np.cumsum(counts)),
+    }
+
+
+def _search_strip(
+    part: pa.RecordBatch, asks: np.ndarray, chunk: dict[str, np.ndarray], cells: dict[str, np.ndarray], k: int
+) -> pa.RecordBatch:
+    """The rows of a strip with the k best they know once those that ask visited a chunk.
+
+    A row that has k candidates cannot need anything farther than the last of them, so it skips
+    the cells that begin beyond; the nearest cells come first.
+    """
+    vectors, home = _matrix(part.column("vec")), part.column("cell").to_numpy()
+    known = part.column("dst")
+    vector = np.repeat(np.arange(len(vectors)), np.diff(known.offsets.to_numpy()))
+    dst, sim = known.flatten().to_numpy(), part.column("sim").flatten().to_numpy()
+    bound = _away_bounds(cells, chunk["cells"], vectors, home)
+    for at in np.argsort(bound.sum(axis=0), kind="stable"):
+        counts = np.bincount(vector, minlength=len(vectors))
+        reach = np.full(len(vectors), 3.0)
+        full = counts >= k
+        reach[full] = np.sqrt(np.maximum(2.0 - 2.0 * sim[np.cumsum(counts)[full] - 1], 0.0))
+        some = np.flatnonzero(asks & (bound[:, at] ** 2 <= reach * reach + _SLACK))
+        if not len(some):
+            continue
+        own = slice(chunk["starts"][at], chunk["starts"][at + 1])
+        found, row, close = _best_of(vectors[some], chunk["rows"][own], chunk["ids"][own], k)
+        ids = np.concatenate((dst, chunk["ids"][own][row]))
+        vector, row, sim = _first(
+            np.concatenate((vector, some[found])), np.arange(len(ids)), np.concatenate((sim, close)), ids, k
+        )
+        dst = ids[row]
+    counts = np.bincount(vector, minlength=len(vectors))
+    ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    best = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (dst, sim)]
+    kept = [part.column(c) for c in ("gid", "vec", "cell", "chunk")]
+    return pa.RecordBatch.from_arrays([*kept, *best], ["gid", "vec", "cell", "chunk", "dst", "sim"])
 
 
 def _search_small(reps: DataFrame, rows: int, k: int, others_only: bool) -> DataFrame:
@@ -220,76 +252,53 @@ def _distinct_search(
     for r in stats.collect():  # one row per pivot
         for name in ("rows", "nearest", "farthest"):
             cells[name][r["cell"]] = r[name]
-    bounds = spark.sparkContext.broadcast(cells)
-
-    blocks = np.maximum(1, -(-cells["rows"] // block_rows))
-    plan = spark.createDataFrame(
-        [(i, int(b)) for i, b in enumerate(blocks)], "cell int, blocks int"
+    # Every task holds the targets of one chunk at a time; rows carry the best k of the chunks so far.
+    chunk_rows = max(1, min(4 * block_rows, _CHUNK_BYTES // (8 * cells["pivots"].shape[1])))
+    chunks = _chunks_of_cells(cells["rows"], chunk_rows)
+    plan = spark.createDataFrame(list(enumerate(chunks)), "cell int, chunks array<int>")
+    part = F.pmod(F.xxhash64("gid"), F.size("chunks")).cast("int")
+    order = ["chunk", "cell", "gid"]
+    dealt = materialize(
+        placed.join(F.broadcast(plan), "cell")  # one row per pivot
+        .select("gid", "vec", "cell", F.get("chunks", part).alias("chunk"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order),
+        "knn-chunks",
     )
-    plan = F.broadcast(plan)  # one row per pivot
-
-    def grouped(asking: DataFrame, salts: DataFrame) -> DataFrame:
-        """Cogroup the asking rows (gid, vec, cell) with every block of their cell."""
-        sized = plan.join(F.broadcast(salts), "cell")  # one row per pivot
-        queries = asking.join(sized, "cell").select(
-            "gid", "vec", "cell",
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-            F.pmod(F.xxhash64("gid"), "salts").cast("int").alias("salt"),
-        )
-        targets = placed.join(sized, "cell").select(
-            *(F.col(c).alias(c) for c in ("gid", "vec", "cell")),  # own names for the cogroup
-            F.pmod(F.xxhash64("gid"), "blocks").cast("int").alias("block"),
-            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-        )
-        return _search_blocks(queries, targets, k)
+    discard(placed)
+    bounds = spark.sparkContext.broadcast(cells)
 
-    own_salts = plan.select("cell", F.col("blocks").alias("salts"))
-    home = materialize(
-        _top(grouped(placed.select("gid", "vec", "cell"), own_salts), k), "knn-home"
-    )
-    if pivots == 1:
-        return home.drop("rank")
-
-    # A row that found k candidates cannot need anything farther than the last of them.
-    reach = home.groupBy("src").agg(F.count("sim").alias("found"), F.min("sim").alias("least"))
-    asking = placed.join(reach, placed["gid"] == reach["src"]).select(
-        "gid", "vec", "cell",
-        F.when(F.col("found") >= k, F.sqrt(F.greatest(2 - 2 * F.col("least"), F.lit(0.0))))
-        .otherwise(F.lit(3.0))
-        .alias("reach"),
-    )
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for top in range(0, batch.num_rows, _STRIP):
-                part = batch.slice(top, _STRIP)
-                visit = _to_visit(
-                    bounds.value,
-                    _matrix(part.column("vec")),
-                    part.column("cell").to_numpy(),
-                    part.column("reach").to_numpy(),
-                )
-                row, cell = np.nonzero(visit)
-                for at in range(0, len(row), _TILE):  # a row may visit every cell
-                    some = pa.array(row[at : at + _TILE])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("gid").take(some),
-                            part.column("vec").take(some),
-                            pa.array(cell[at : at + _TILE].astype(np.int32)),
-                        ],
-                        ["gid", "vec", "cell"],
-                    )
-
-    visits = materialize(
-        asking.mapInArrow(route, "gid long, vec array<double>, cell int"), "knn-visits"
-    )
-    load = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asking"))
-    salts = load.select(
-        "cell", F.greatest(F.lit(1), F.ceil(F.col("asking") / block_rows)).cast("int").alias("salts")
-    )
-    away = grouped(visits, salts)
-    return _top(home.drop("rank").unionByName(away), k).drop("rank")
+    def visit(asking: DataFrame, at: int, first: bool) -> DataFrame:
+        """The asking rows with the best they know once they visited the chunk, their own one first."""
+        whole = dealt.where(F.col("chunk") == at).select("gid", "vec", "cell").toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast(_targets(whole))
+        del whole
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for top in range(0, batch.num_rows, _STRIP):
+                    strip = batch.slice(top, _STRIP)
+                    asks = (strip.column("chunk").to_numpy() == at) == first
+                    yield _search_strip(strip, asks, shared.value, bounds.value, k)
+
+        known = materialize(asking.mapInArrow(work, _KNOWN), "knn-known")
+        shared.destroy()
+        return known
+
+    there = sorted(r["chunk"] for r in dealt.select("chunk").distinct().collect())  # one row per chunk
+    nothing = {"dst": F.array().cast("array<long>"), "sim": F.array().cast("array<double>")}
+    cores = spark.sparkContext.defaultParallelism
+    known = []
+    for at in there:
+        own = dealt.where(F.col("chunk") == at).repartition(max(cores, -(-chunk_rows // block_rows)), "gid")
+        known.append(visit(own.sortWithinPartitions("cell", "gid").withColumns(nothing), at, True))
+    if len(there) > 1:
+        for at in there:
+            before, known = known, [visit(reduce(DataFrame.unionByName, known), at, False)]
+            discard(*before)
+    discard(dealt)
+    bounds.destroy()
+    return known[0].select(F.col("gid").alias("src"), F.inline(F.arrays_zip("dst", "sim"))).toDF("src", "dst", "sim")
 
 
 def _no_neighbours(spark: SparkSession) -> DataFrame:
@@ -386,6 +395,8 @@ def knn_join(
             share = groups // (2 * spark.sparkContext.defaultParallelism)
             cell_rows = min(block_rows, max(256, share))
         found = _distinct_search(nonzero, groups, k + 1, cell_rows, block_rows, max_pivots)
+        if plain:
+            discard(unit)
     if plain:
         return _top(found.where("src != dst"), k)
 

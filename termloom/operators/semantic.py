@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..storage import freed_shuffles
 
 _STEP = 256  # rows multiplied at a time; bounds a task's scratch memory
 _CHUNK = 1024  # features per partial sum
@@ -94,7 +95,9 @@ def _gram_product(features: DataFrame, basis: np.ndarray, tasks: int) -> np.ndar
         work, "chunk int, slot int, ids binary, part binary"
     )
     product = np.zeros((size, columns))
-    for r in _tree_sum(partials, tasks, columns).collect():  # one row per chunk of the vocabulary
+    with freed_shuffles(spark):
+        chunks = _tree_sum(partials, tasks, columns).collect()  # one row per chunk of the vocabulary
+    for r in chunks:
         at = np.frombuffer(r["ids"], np.int32)
         product[r["chunk"] + at] += np.frombuffer(r["part"]).reshape(-1, columns)
     shared.unpersist()

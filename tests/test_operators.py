@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.config import Settings
 from termloom import storage
-from termloom.operators import components, describe, graph, lexical, ordinals, prepare, semantic, skew, split
+from termloom.operators import components, describe, graph, lexical, neighbors, ordinals, prepare, semantic, skew, split
 from termloom.operators.components import connected_components
 from termloom.operators.neighbors import knn_join
 from termloom.operators.labels import single_label, topic_labels
@@ -215,6 +215,21 @@ def test_neighbours_equal_brute_force(spark, case, sizes):
     assert got == {ids[i]: [ids[j] for j, _ in near] for i, near in want.items()}
 
 
+@pytest.mark.parametrize("sizes", [{"cell_rows": 60, "block_rows": 40}, {"cell_rows": 400, "block_rows": 20, "max_pivots": 1}])
+def test_vectors_are_not_copied_for_their_visits(spark, monkeypatch, sizes):
+    """Without structure every row visits every cell; no table holds a row twice for that."""
+    matrix = np.random.default_rng(3).standard_normal((300, 24))
+    ids = np.arange(300)
+    written, write = [], neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda *a: written.append(write(*a).count()) or write(*a))
+    near = knn_join(vectors(spark, ids, matrix), 5, broadcast_bytes=0, **sizes)
+    got = {}
+    for r in near.orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append(r["dst"])
+    assert got == {i: [j for j, _ in near] for i, near in brute.nearest(matrix, 5).items()}
+    assert len(written) > 4 and max(written) <= 300
+
+
 def test_one_row_has_no_neighbours(spark):
     assert knn_join(vectors(spark, [5], np.ones((1, 3))), 15).count() == 0
 
@@ -253,6 +268,21 @@ def test_lexical_similarity_equals_brute_force(spark, block_rows):
         assert r["lex"] == pytest.approx(unit[r["src"]] @ unit[r["dst"]], abs=1e-9)
 
 
+def test_lexical_similarity_sends_rows_in_rounds(spark, monkeypatch):
+    """As many rows a round as there are, however many groups a row has a pair in; same result."""
+    rows, _ = lexical.lexical_features(prepared(spark, phrases(40, seed=5)))
+    df = spark.createDataFrame([(i, j, 0.5) for i in range(40) for j in range(i + 1, 40)], "src long, dst long, sem double")
+    want = sorted(graph.lexical_similarity(df, rows, 4).collect())
+    rounds, write = [], graph.materialize
+    monkeypatch.setattr(graph, "ROUND_ROWS", 30)
+    monkeypatch.setattr(graph, "materialize", lambda df, name: rounds.append(name) or write(df, name))
+    got = sorted(graph.lexical_similarity(df, rows, 4).collect())
+    # 40 rows in 10 blocks: each in 10 groups.
+    assert rounds.count("scored-pairs") == 10
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r["lex"] for r in got] == pytest.approx([r["lex"] for r in want], abs=1e-12)
+
+
 def test_edges_are_undirected_and_keep_the_larger_weight(spark):
     df = spark.createDataFrame([(1, 2, 0.4), (2, 1, 0.6), (3, 3, 1.0)], "src long, dst long, sim double")
     assert [tuple(r) for r in graph.symmetric_edges(df).collect()] == [(1, 2, 0.6)]

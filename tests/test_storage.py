@@ -33,3 +33,14 @@ def test_clearing_drops_files_and_registered_tables(spark, tmp_path, monkeypatch
     storage.clear_scratch(spark)
     assert not (tmp_path / "scratch").exists() and not spark.catalog.tableExists("scratch_named")
     storage.clear_scratch(spark)  # nothing left to clear
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    kept = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    spark.sparkContext._jvm.System.gc()
+    had = kept()
+    for _ in range(3):
+        storage.materialize(spark.range(1000).repartition(3, "id"), "freed")
+    assert kept() <= had and spark.conf.get(name, None) == before
